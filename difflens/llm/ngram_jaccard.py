@@ -85,7 +85,7 @@ def prefix_length(size: int, pct: int) -> int:
 
 
 def prefixes(docs: DataFrame, n: int, pct: int, common: np.ndarray) -> DataFrame:
-    """token, cls, size: each row's prefix shingles."""
+    """token, cls, size, room (shingles from this one on, itself included): each row's prefix shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +107,11 @@ def prefixes(docs: DataFrame, n: int, pct: int, common: np.ndarray) -> DataFrame
                     if cls not in seen:
                         seen.add(cls)
                         token = np.concatenate([s[~o], s[o]])[: prefix_length(s.size, pct)]
-                        out.append((token, np.full(token.size, cls), np.full(token.size, s.size)))
-                token, cls, size = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls, pa.int64()), pa.array(size, pa.int32())], ["token", "cls", "size"])
+                        out.append((token, np.full(token.size, cls), np.full(token.size, s.size), s.size - np.arange(token.size)))
+                token, cls, size, room = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(room, pa.int32())], ["token", "cls", "size", "room"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, size int")
+    return docs.select("text").mapInArrow(run, "token long, cls long, size int, room int")
 
 
 def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
@@ -171,6 +171,10 @@ def overlap_bound(size_a, bits_a, size_b, bits_b, both):
     return np.minimum(size_a - (bits_a - both), size_b - (bits_b - both))
 
 
+# A pair needs to be met only at its first common shingle, and there its overlap is at most the smaller `room`: the shingles
+# from there on. Where that is too little, the pair is dropped; at its first common shingle it isn't, if it is linked.
+
+
 def linkable(size_a, size_b, bound, pct: int):
     """Whether an overlap of `bound` could link sets of these sizes (of nodes: their smallest)."""
     return (100 + pct) * bound >= pct * (size_a + size_b)
@@ -179,10 +183,10 @@ def linkable(size_a, size_b, bound, pct: int):
 class Tree:
     """A signature tree over classes: rows sorted by size and bitmap, leaves of LEAF rows, two children a node."""
 
-    def __init__(self, size: np.ndarray, comp: np.ndarray, sig: np.ndarray):
+    def __init__(self, size: np.ndarray, comp: np.ndarray, room: np.ndarray, sig: np.ndarray):
         self.levels = []
         count = np.bitwise_count(sig).sum(1).astype(np.int64)
-        level = {"or": sig, "lo": size, "hi": size, "bits_lo": count, "bits_hi": count, "comp": comp}
+        level = {"or": sig, "lo": size, "hi": size, "bits_lo": count, "room": room, "comp": comp}
         self.rows = level
         step = LEAF
         while True:
@@ -196,7 +200,7 @@ class Tree:
                 "lo": np.minimum.reduceat(level["lo"], cuts),
                 "hi": np.maximum.reduceat(level["hi"], cuts),
                 "bits_lo": np.minimum.reduceat(level["bits_lo"], cuts),
-                "bits_hi": np.maximum.reduceat(level["bits_hi"], cuts),
+                "room": np.maximum.reduceat(level["room"], cuts),
                 "comp": np.where(same & (level["comp"][cuts] >= 0), level["comp"][cuts], -1),
             }
             self.levels.append((level, step))
@@ -216,6 +220,7 @@ def tree_pairs(a: Tree, b: Tree, pct: int, itself: bool) -> tuple[np.ndarray, np
             i, j = i[ok], j[ok]
         ok = (100 * x["hi"][i] >= pct * y["lo"][j]) & (100 * y["hi"][j] >= pct * x["lo"][i])
         ok &= (x["comp"][i] != y["comp"][j]) | (x["comp"][i] < 0)
+        ok &= linkable(x["lo"][i], y["lo"][j], np.minimum(x["room"][i], y["room"][j]), pct)
         i, j = i[ok], j[ok]
         if not i.size:
             return i, j
@@ -253,15 +258,15 @@ def _folded(sigs: list[bytes], size: np.ndarray) -> np.ndarray:
 
 
 def tree_candidates(rows: DataFrame, pct: int) -> DataFrame:
-    """a, b: candidate pairs of the groups in rows (token, cls, size, comp, sig, m); m: classes in the group."""
+    """a, b: candidate pairs of the groups in rows (token, cls, size, room, comp, sig, m); m: classes in the group."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     d = rows.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    d = d.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "size", "comp", "sig")
+    d = d.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "size", "room", "comp", "sig")
     d = d.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "size", "cls")
 
     def pairs_of(group: pa.RecordBatch, x: int, y: int):
-        size, cls, comp, block = (group[c].to_numpy() for c in ("size", "cls", "comp", "block"))
-        size = size.astype(np.int64)
+        size, room, cls, comp, block = (group[c].to_numpy() for c in ("size", "room", "cls", "comp", "block"))
+        size, room = size.astype(np.int64), room.astype(np.int64)
         _, comp = np.unique(comp, return_inverse=True)
         if len(size) < 2 or comp.max() == 0:
             return None
@@ -277,14 +282,14 @@ def tree_candidates(rows: DataFrame, pct: int) -> DataFrame:
             order = np.lexsort((sig[:, 0], size[near]))
             near, sig = near[order], sig[order]
             if x == y:
-                t = Tree(size[near], comp[near], sig)
+                t = Tree(size[near], comp[near], room[near], sig)
                 i, j = tree_pairs(t, t, pct, True)
             else:
                 left = block[near] == x
                 if left.all() or not left.any():
                     continue
                 p, q = near[left], near[~left]
-                i, j = tree_pairs(Tree(size[p], comp[p], sig[left]), Tree(size[q], comp[q], sig[~left]), pct, False)
+                i, j = tree_pairs(Tree(size[p], comp[p], room[p], sig[left]), Tree(size[q], comp[q], room[q], sig[~left]), pct, False)
                 found.append((cls[p[i]], cls[q[j]]))
                 continue
             found.append((cls[near[i]], cls[near[j]]))
@@ -343,25 +348,30 @@ def links_of(docs: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataFrame]:
     # shingles of several classes; sums a task first
     shared = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select(F.col("token").alias("s_token"))
     shared = materialise(shared, "shared")
-    met = materialise(tokens.join(shared, F.col("token") == F.col("s_token")).select("token", "cls", "size"), "met")
+    met = materialise(tokens.join(shared, F.col("token") == F.col("s_token")).select("token", "cls", "size", "room"), "met")
     step = -np.log(pct / 100)
     pivots = []
     for shift in (0.0, 0.5):
         band = F.floor(F.log("size") / F.lit(step) + shift)
         banded = met.withColumn("band", band)
-        heads = banded.groupBy("token", "band").agg(F.min("cls").alias("b"), F.max("cls").alias("hi")).where("b <> hi").select(F.col("token").alias("h_token"), F.col("band").alias("h_band"), "b")
-        pivots.append(banded.join(materialise(heads, "heads"), (F.col("token") == F.col("h_token")) & (F.col("band") == F.col("h_band"))).where("cls <> b").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")))
+        # the class with the fewest rare shingles before this one: of a text and its altered copies that is the text
+        head = F.min(F.struct((F.col("size") - F.col("room")).alias("at"), "cls", "size", "room")).alias("head")
+        heads = banded.groupBy("token", "band").agg(head, F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
+        heads = heads.select(F.col("token").alias("h_token"), F.col("band").alias("h_band"), F.col("head.cls").alias("b"), F.col("head.size").alias("h_size"), F.col("head.room").alias("h_room"))
+        met_head = banded.join(materialise(heads, "heads"), (F.col("token") == F.col("h_token")) & (F.col("band") == F.col("h_band"))).where("cls <> b")
+        met_head = met_head.where(linkable(F.col("size"), F.col("h_size"), F.least("room", "h_room"), pct))
+        pivots.append(met_head.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")))
     sigs = found.where("kind = 0 and cls <> 0").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("size").cast("int").alias("of"))
     sigs = materialise(sigs, "sigs")
     near = materialise(_possible(pivots[0].union(pivots[1]).distinct(), sigs, pct), "near")
     links = materialise(verified(docs, n, pct, near), "links")
     comps = components(links)
     # what is left: shingles whose classes lie in several components
-    labelled = met.select("token", "cls", "size").distinct().join(comps.withColumnsRenamed({"cls": "c_cls"}), F.col("cls") == F.col("c_cls"), "left").select("token", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
+    labelled = met.distinct().join(comps.withColumnsRenamed({"cls": "c_cls"}), F.col("cls") == F.col("c_cls"), "left").select("token", "cls", "size", "room", F.coalesce("comp", "cls").alias("comp"))
     labelled = materialise(labelled, "labelled")
     open_ = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select(F.col("token").alias("o_token"), "m")
-    rest = labelled.join(materialise(open_, "open"), F.col("token") == F.col("o_token")).select("token", "cls", "size", "comp", "m")
-    rest = rest.join(sigs.select(F.col("cls").alias("g_cls"), "sig"), F.col("cls") == F.col("g_cls")).select("token", "cls", "size", "comp", "sig", "m")
+    rest = labelled.join(materialise(open_, "open"), F.col("token") == F.col("o_token")).select("token", "cls", "size", "room", "comp", "m")
+    rest = rest.join(sigs.select(F.col("cls").alias("g_cls"), "sig"), F.col("cls") == F.col("g_cls")).select("token", "cls", "size", "room", "comp", "sig", "m")
     tried = near.withColumnsRenamed({"a": "t_a", "b": "t_b"})
     left = tree_candidates(rest, pct).join(tried, (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
     more = materialise(verified(docs, n, pct, materialise(left, "left")), "links")
