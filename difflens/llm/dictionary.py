@@ -45,14 +45,14 @@ def bucket_starts(buckets: int) -> np.ndarray:
     return np.array([(i << 64) // buckets for i in range(buckets)], dtype=np.uint64)
 
 
-def batches_by_block(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Consecutive row runs of a task with about BLOCK_BYTES of text, and their block numbers."""
+def batches_by_block(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES, text: str = "text") -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Consecutive row runs of a task with about `most` bytes of text, and their block numbers."""
     task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
         first, col = 0, batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         for i, n in enumerate(sizes):
-            if size and size + n > BLOCK_BYTES:
+            if size and size + n > most:
                 yield task << 32 | number, [*held, batch.slice(first, i - first)]
                 number, held, size, first = number + 1, [], 0, i
             size += int(n)
@@ -80,11 +80,11 @@ def block_words(docs: DataFrame, count: Callable[[list[pa.RecordBatch]], tuple[n
     return docs.mapInArrow(run, PACKED)
 
 
-def compressed_blocks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def compressed_blocks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block, bucket (-1), data: the rows of each block as compressed Arrow streams of about chunk_bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, parts in batches_by_block(batches):
+        for block, parts in batches_by_block(batches, block_bytes):
             for p in pa.Table.from_batches(parts).combine_chunks().to_batches():
                 for s in slices(p, "text", chunk_bytes):
                     sink = pa.BufferOutputStream()
@@ -95,10 +95,10 @@ def compressed_blocks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     return docs.mapInArrow(run, "block long, bucket int, data binary")
 
 
-def meet(docs: DataFrame, answers: DataFrame, finish: Callable[[dict[int, bytes]], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def meet(docs: DataFrame, answers: DataFrame, finish: Callable[[dict[int, bytes]], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, chunk_bytes: int = CHUNK_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """answers: block, bucket, data. finish gets a block's answers by bucket and returns what is applied to its rows, some MB at a time."""
     # the blocks come first in the union, so that their tasks have the numbers of docs' partitions
-    rows = compressed_blocks(docs, chunk_bytes).unionByName(answers.select("block", "bucket", "data"))
+    rows = compressed_blocks(docs, chunk_bytes, block_bytes).unionByName(answers.select("block", "bucket", "data"))
     rows = rows.repartition(buckets_of(docs), "block").sortWithinPartitions("block", F.desc("bucket"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text becomes units that no piece crosses: a run of spaces with the word after it (pieces hold the space sign only at
-their beginning), and newlines. The distinct units of all texts are encoded once: their substrings of bounded length are
+A text becomes units that no piece crosses: it is cut at newlines, before a run of spaces (pieces hold the space sign only
+at their beginning), and between characters whose bytes never stand side by side in a piece. The distinct units of all texts are encoded once: their substrings of bounded length are
 exploded and equi-joined to the piece table, the edges are grouped by unit, and a fold over them (Spark's `aggregate`)
 picks the path. For unigram models it is the Viterbi path. A BPE model's encoder doesn't maximise a sum of scores, so
 there the fold applies the edges in the order of their scores to the unit's set of boundaries, as the merges do.
@@ -29,6 +29,8 @@ from .common import materialise, stretch_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 60
+#: Bytes of text in a block; a block's units and ids are in a task's memory at once.
+BLOCK_BYTES = 5 << 20
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,14 @@ class Pieces:
         rows = [(t, i, float(s)) for i, (t, s, n) in enumerate(zip(self.texts, self.scores, self.normal)) if n]
         return spark.createDataFrame(rows, "piece string, id int, score double")
 
+    def joints(self) -> np.ndarray:
+        """Whether bytes a and b stand side by side in some piece, at 256 * a + b; between others no piece reaches."""
+        held = np.zeros(1 << 16, dtype=bool)
+        for t, n in zip(self.texts, self.normal):
+            raw = np.frombuffer(t.replace(SPACE, " ").encode(), np.uint8).astype(np.int64) if n else np.zeros(0, np.int64)
+            held[raw[:-1] << 8 | raw[1:]] = True
+        return held
+
     def bytes_of(self) -> list[bytes]:
         """What each id decodes to."""
         out = [t.replace(SPACE, " ").encode() if n else b"" for t, n in zip(self.texts, self.normal)]
@@ -73,22 +83,23 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(texts, tuple(p.get_score(i) for i in range(n)), normal, tuple(by[f"<0x{b:02X}>"] for b in range(256)), p.unk_id())
 
 
-def units_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def units_of(texts: list[bytes], joints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all texts (a space before each that isn't empty), where units begin, and the unit at which each text begins (one more at the end)."""
     held = [b" " + t.replace(SPACE.encode(), b" ") if t else b"" for t in texts]
     data = np.frombuffer(b"".join(held), dtype=np.uint8)
     begins = np.concatenate([[0], np.cumsum([len(t) for t in held])]).astype(np.int64)
     space, line = data == 32, data == 10
     start = line.copy()
-    start[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    apart = ~joints[data[:-1].astype(np.int64) << 8 | data[1:]] & ((data[1:] & 0xC0) != 0x80)
+    start[1:] |= line[:-1] | (space[1:] & ~space[:-1]) | apart
     start[begins[:-1][np.diff(begins) > 0]] = True
     starts = np.flatnonzero(start)
     return data, starts, np.searchsorted(starts, begins)
 
 
-def distinct_units(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def distinct_units(texts: list[bytes], joints: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct units but the newline, by rising hash; their hashes; each unit's index among them (the number of them: a newline); text starts."""
-    data, starts, begins = units_of(texts)
+    data, starts, begins = units_of(texts, joints)
     h = stretch_hashes(data, starts)
     newline = data[starts] == 10 if starts.size else np.zeros(0, bool)
     u, first, back = np.unique(h, return_index=True, return_inverse=True)
@@ -100,10 +111,10 @@ def distinct_units(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndar
     return units, u[keep], index, begins
 
 
-def _packed_units(docs: DataFrame, buckets: int) -> DataFrame:
+def _packed_units(docs: DataFrame, joints: np.ndarray, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, parts in dic.batches_by_block(batches):
-            units, hashes, _, _ = distinct_units(dic.texts_of(parts))
+        for block, parts in dic.batches_by_block(batches, BLOCK_BYTES):
+            units, hashes, _, _ = distinct_units(dic.texts_of(parts), joints)
             cuts = np.searchsorted(hashes, dic.bucket_starts(buckets))
             rows = [(block, b, dic.pack(b"\n".join(units[x:y]))) for b, (x, y) in enumerate(zip(cuts, [*cuts[1:], len(units)])) if y > x]
             if rows:
@@ -135,10 +146,10 @@ def _bucket_units(packed: DataFrame, buckets: int) -> DataFrame:
 
 def lattice(units: DataFrame, pieces: Pieces, least: int) -> DataFrame:
     """units with `edges`: array of (order, start, end, id, score) of all pieces in the unit with `least` characters or more."""
-    n = F.length("unit")
-    sizes = lambda s: F.sequence(F.lit(least), F.least(F.lit(pieces.longest), n - s))
-    places = F.transform(F.sequence(F.lit(0), n - least), lambda s: F.transform(sizes(s), lambda k: F.struct(s.alias("s"), k.alias("k"), F.substring("unit", s + 1, k).alias("piece"))))
-    cut = units.where(n >= least).select("bucket", "unit", F.explode(F.flatten(places)).alias("x")).select("bucket", "unit", "x.s", "x.k", "x.piece")
+    # rows all the way: starts, then lengths, then the substring
+    starts = units.withColumn("n", F.length("unit")).where(F.col("n") >= least).select("bucket", "unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("s"))
+    cut = starts.select("bucket", "unit", "s", F.explode(F.sequence(F.lit(least), F.least(F.lit(pieces.longest), F.col("n") - F.col("s")))).alias("k"))
+    cut = cut.select("bucket", "unit", "s", "k", F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
     # the piece table has a fixed size, that of the model
     met = cut.join(F.broadcast(pieces.frame(units.sparkSession)), "piece")
     edge = F.struct((-F.col("score")).alias("order"), F.col("s").alias("start"), (F.col("s") + F.col("k")).alias("end"), F.col("id"))
@@ -282,7 +293,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_name: str = "doc_id") -> DataFram
     """id, ids (array of int), n_ids, decoded_equal (decoding gives the text back, space signs as spaces)."""
     d = docs.select(F.col(id_name).alias("doc_id"), "text")
     buckets = dic.buckets_of(docs)
-    packed = materialise(_packed_units(d, buckets), "units")
+    joints = pieces.joints()
+    packed = materialise(_packed_units(d, joints, buckets), "units")
     units = _bucket_units(packed, buckets).repartition(buckets, "unit")
     coded = encode_units(units, pieces)
     newline = pieces.byte_ids[10]
@@ -291,7 +303,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_name: str = "doc_id") -> DataFram
     def finish(told: dict[int, bytes]):
         def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = dic.texts_of([part])
-            units, _, index, begins = distinct_units(texts)
+            units, _, index, begins = distinct_units(texts, joints)
             sizes, flat = [], []
             for b in sorted(told):
                 data = dic.unpack(told[b])
@@ -305,7 +317,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_name: str = "doc_id") -> DataFram
             at = np.cumsum(size) - size
             each = size[index]
             offset = np.concatenate([[0], np.cumsum(each)])
-            out = ids[np.repeat(at[index] - offset[:-1], each) + np.arange(offset[-1])]
+            out = ids[np.repeat((at[index] - offset[:-1]).astype(np.int32), each) + np.arange(offset[-1], dtype=np.int32)]
             ends = offset[begins]
             same = []
             for i, t in enumerate(texts):
@@ -317,7 +329,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_name: str = "doc_id") -> DataFram
         return run
 
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_ids long, decoded_equal boolean"
-    return dic.meet(d, _answers(packed, coded, buckets), finish, schema, 1 << 40)
+    return dic.meet(d, _answers(packed, coded, buckets), finish, schema, 1 << 40, BLOCK_BYTES)
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
