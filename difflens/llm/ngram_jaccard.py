@@ -257,6 +257,38 @@ def _folded(sigs: list[bytes], size: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sigs])
 
 
+def leaf_pairs(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct candidate pairs of many groups of at most LEAF rows, trees of a single leaf each: all leaves are compared in one go."""
+    size, room, cls, comp = (rows[c].to_numpy().astype(np.int64) for c in ("size", "room", "cls", "comp"))
+    inside = np.repeat(begin, end - begin) + np.arange((end - begin).sum()) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin)
+    stop = np.repeat(end, end - begin)
+    near = [(inside[k], inside[k] + d) for d in range(1, LEAF) if (k := inside + d < stop).any()]
+    if not near:
+        return cls[:0], cls[:0]
+    i, j = (np.concatenate(x) for x in zip(*near))
+    ok = (comp[i] != comp[j]) & (100 * size[i] >= pct * size[j]) & (100 * size[j] >= pct * size[i])
+    ok &= linkable(size[i], size[j], np.minimum(room[i], room[j]), pct)
+    i, j = i[ok], j[ok]
+    a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+    order = np.lexsort((b, a))
+    once = order[np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])] if order.size else order
+    i, j, a, b = i[once], j[once], a[once], b[once]
+    used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    sigs = rows["sig"].take(pa.array(used)).to_pylist()
+    p, q = back[: i.size], back[i.size :]
+    width = np.array([len(x) for x in sigs], dtype=np.int64)
+    keep = np.zeros(i.size, bool)
+    for wide in {(int(x), int(y)) for x, y in zip(width[p], width[q])}:
+        at = np.flatnonzero((width[p] == wide[0]) & (width[q] == wide[1]))
+        for s in range(0, at.size, 4096):
+            k = at[s : s + 4096]
+            x, y = (np.bitwise_or.reduce(np.frombuffer(b"".join([sigs[r] for r in side[k]]), np.uint8).reshape(k.size, -1, min(wide)), axis=1) for side in (p, q))
+            bits = lambda m: np.bitwise_count(m).sum(1).astype(np.int64)
+            m, n = size[i[k]], size[j[k]]
+            keep[k] = linkable(m, n, overlap_bound(m, bits(x), n, bits(y), bits(x & y)), pct)
+    return a[keep], b[keep]
+
+
 def tree_candidates(rows: DataFrame, pct: int) -> DataFrame:
     """a, b: candidate pairs of the groups in rows (token, cls, size, room, comp, sig, m); m: classes in the group."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -310,8 +342,15 @@ def tree_candidates(rows: DataFrame, pct: int) -> DataFrame:
         held, now = [], None
         for batch in batches:
             keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("token", "x", "y")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
-            for s, e in zip(cuts, cuts[1:]):
+            cuts = np.array([0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)])
+            s, e = cuts[:-1], cuts[1:]
+            # neither the first nor the last, which can reach beyond this batch
+            small = (e - s <= LEAF) & (keys[s, 1] == keys[s, 2]) & (s > 0) & (e < len(keys)) if len(keys) else np.zeros(len(s), bool)
+            if small.any():
+                a, b = leaf_pairs(batch, s[small], e[small], pct)
+                if a.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for s, e in zip(s[~small].tolist(), e[~small].tolist()):
                 if e > s:
                     if now is not None and (keys[s] != now).any():
                         yield from out(held)

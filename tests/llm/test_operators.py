@@ -101,6 +101,30 @@ def test_signature_tree_loses_no_pair():
     assert len(found) < 80 * 79 / 2
 
 
+def test_leaves_lose_no_pair():
+    """Many small groups in one go: every linked pair of two components is found, once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sets, rows, begin = {}, [], []
+    for g in range(60):
+        begin.append(len(rows))
+        base = rng.integers(0, 1 << 63, int(rng.integers(20, 300))).astype(np.uint64)
+        for _ in range(int(rng.integers(1, ngram_jaccard.LEAF + 1))):
+            s = np.unique(np.concatenate([base[rng.random(base.size) > 0.06], rng.integers(0, 1 << 63, 2).astype(np.uint64)]))
+            cls = len(sets)
+            sets[cls] = s
+            rows.append((s.size, s.size, cls, cls // 2, ngram_jaccard.bitmap(s)))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["size", "room", "cls", "comp", "sig"])
+    end = [*begin[1:], len(rows)]
+    found = list(zip(*(c.tolist() for c in ngram_jaccard.leaf_pairs(batch, np.array(begin), np.array(end), 85))))
+    assert len(found) == len(set(found))
+    both = lambda a, b: np.intersect1d(sets[a], sets[b]).size
+    linked = {(a, b) for s, e in zip(begin, end) for a in range(s, e) for b in range(a + 1, e) if a // 2 != b // 2 and 100 * both(a, b) >= 85 * (sets[a].size + sets[b].size - both(a, b))}
+    assert linked and linked <= set(found)
+
+
 def test_pieces_equal_the_library(odd, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     table = pieces.load()
