@@ -495,3 +495,6 @@ def io1_diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select f.range_id, count(*) as hunks, sum(h.count) as head_lines, sum(h.other_count) as base_lines from c_hunks2 h join c_files f using (doc_id) group by all")
 def io1_diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_diff(_diff_texts(spark, sf_dir))[1].groupBy("range_id").agg(F.count("*").alias("hunks"), F.sum("head_count").alias("head_lines"), F.sum("base_count").alias("base_lines"))
+
+
+from difflens import catalog_book  # noqa: E402,F401  registers its queries here

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,9 +13,10 @@ def section_progress(chunks: DataFrame) -> DataFrame:
 
 
 def batchable_sections(chunks: DataFrame) -> DataFrame:
-    """section, n_chunks, reasons: sections whose unreviewed chunks are all stubs or auto-read. chunks: section, chunk_id, reviewed, auto_read, stub_reason."""
+    """section, n_chunks, reasons, stubs, read: sections whose unreviewed chunks are all stubs or auto-read. chunks: section, chunk_id, reviewed, auto_read, stub_reason."""
     open_ = chunks.where("not reviewed")
-    g = open_.groupBy("section").agg(F.bool_and(F.coalesce("auto_read", F.lit(False)) | F.col("stub_reason").isNotNull()).alias("ok"), F.count_distinct("chunk_id").alias("n_chunks"), F.array_sort(F.collect_set("stub_reason")).alias("reasons"))
+    g = open_.groupBy("section").agg(F.bool_and(F.coalesce("auto_read", F.lit(False)) | F.col("stub_reason").isNotNull()).alias("ok"), F.count_distinct("chunk_id").alias("n_chunks"), F.array_sort(F.collect_set("stub_reason")).alias("reasons"), F.count_distinct(F.when(F.col("stub_reason").isNotNull(), F.col("chunk_id"))).alias("stubs"))
+    g = g.withColumn("read", F.col("n_chunks") - F.col("stubs"))
     return g.where("ok").drop("ok")
 
 
@@ -60,3 +61,39 @@ def stub_states(deferrals: DataFrame) -> DataFrame:
     """chunk_id, n, state (ready, answering, failed, note: the first that any has), first_seq. deferrals: chunk_id, seq, kind, status."""
     state = F.when(F.bool_or(F.col("status") == "done"), "ready").when(F.bool_or(F.col("status") == "running"), "answering").when(F.bool_or(F.col("status") == "failed"), "failed").otherwise("note")
     return deferrals.groupBy("chunk_id").agg(F.count("*").alias("n"), state.alias("state"), F.min("seq").alias("first_seq"))
+
+
+def status_counts(units: DataFrame) -> DataFrame:
+    """kind, queued, running, done, failed. units: kind, status."""
+    return units.groupBy("kind").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("queued", "running", "done", "failed")))
+
+
+def floor_percentiles(rows: DataFrame, group: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """group, share, value: the sorted values' element number floor(share * n). Equal values are counted first; nothing is collected."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(group).orderBy(value)
+    c = counts.withColumn("upto", F.sum("n").over(w)).join(counts.groupBy(group).agg(F.sum("n").alias("total")), group)
+    d = c.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
+    at = F.least(F.floor(F.col("share") * F.col("total")), F.col("total") - 1)
+    return d.where(F.col("upto") > at).groupBy(group, "share").agg(F.min(value).alias("value"))
+
+
+def narration_coverage(units: DataFrame, jobs: DataFrame) -> DataFrame:
+    """section, kind (null while nothing is engaged, partial, complete), narrated, narratable. units: section, narrated; jobs: section, status."""
+    g = units.groupBy("section").agg(F.count_if("narrated").alias("narrated"), F.count("*").alias("narratable")).join(jobs, "section", "left")
+    engaged = F.col("status").isNotNull() | (F.col("narrated") > 0)
+    kind = F.when(engaged, F.when((F.col("status") == "running") | (F.col("narrated") < F.col("narratable")), "partial").otherwise("complete"))
+    return g.select("section", kind.alias("kind"), "narrated", "narratable")
+
+
+def valid_scores(scores: DataFrame, floor: int = 4) -> DataFrame:
+    """scores with valid: each of orientation, register, faithfulness is 1 to 5, and a faithfulness below the floor has a quote."""
+    whole = [F.coalesce((F.col(c) == F.floor(c)) & F.col(c).between(1, 5), F.lit(False)) for c in ("orientation", "register", "faithfulness")]
+    quoted = (F.col("faithfulness") >= floor) | (F.trim(F.coalesce("quote", F.lit(""))) != "")
+    return scores.withColumn("valid", whole[0] & whole[1] & whole[2] & quoted)
+
+
+def label_precision(labels: DataFrame, group: str, gate: float = 0.9) -> DataFrame:
+    """group, n, precision, passed. labels: relevant."""
+    g = labels.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(F.col("relevant").cast("double")), 6).alias("precision"))
+    return g.withColumn("passed", F.col("precision") >= gate)

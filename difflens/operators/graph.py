@@ -126,3 +126,44 @@ def depth(edges: DataFrame, sccs: DataFrame) -> DataFrame:
 def dependency_order(edges: DataFrame, depths: DataFrame) -> DataFrame:
     """range_id, node, position: what is depended on first, ties in the nodes' own order."""
     return depths.select("range_id", "node", F.row_number().over(Window.partitionBy("range_id").orderBy("depth", "node")).alias("position"))
+
+
+def behind(edges: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """range_id, focus, node, kind, direction, n: for each neighbor (node) of each focus, the unreviewed nodes past it along its kind and direction, the focus left out. reviewed: range_id, node."""
+    hop = _cut(neighbors(edges))
+    seeds = hop.select("range_id", F.col("node").alias("focus"), F.col("other").alias("node"), "kind", "direction")
+    step = hop.select("range_id", F.col("node").alias("at"), F.col("other").alias("next"), "kind", "direction")
+    keys = ["range_id", "focus", "node", "kind", "direction", "at"]
+    seen = fresh = _cut(seeds.withColumn("at", F.col("node")))
+    while not fresh.isEmpty():
+        far = fresh.join(step, ["range_id", "at", "kind", "direction"]).where("next <> focus").drop("at").withColumnRenamed("next", "at").select(*keys).distinct()
+        fresh = _cut(far.join(seen, keys, "left_anti"))
+        seen = _cut(seen.unionByName(fresh))
+    done = reviewed.select("range_id", F.col("node").alias("at"), F.lit(True).alias("done"))
+    n = F.count_if((F.col("at") != F.col("node")) & F.col("done").isNull())
+    return seen.join(done, ["range_id", "at"], "left").groupBy(*keys[:-1]).agg(n.alias("n"))
+
+
+def chips(edges: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """range_id, focus, node, kind, direction, action, file_level, state, frontier, rank: each focus's neighbors in reading order. edges: with source."""
+    e = edges.where("src <> dst").groupBy(*KEYS, "kind").agg(F.min("source").alias("source"))  # references before test-anchor
+    out = e.select("range_id", F.col("src").alias("focus"), F.col("dst").alias("node"), "kind", "source", F.lit("out").alias("direction"))
+    both = out.unionByName(e.select("range_id", F.col("dst").alias("focus"), F.col("src").alias("node"), "kind", "source", F.lit("in").alias("direction")))
+    mark = lambda end: reviewed.select("range_id", F.col("node").alias(end), F.lit(True).alias(f"{end}_done"))
+    j = both.join(mark("node"), ["range_id", "node"], "left").join(mark("focus"), ["range_id", "focus"], "left")
+    done, mine = F.coalesce("node_done", F.lit(False)), F.coalesce("focus_done", F.lit(False))
+    reveal = (F.col("kind") == "exercises") & (F.col("source") == "test-anchor")
+    order = F.array_position(F.array(*map(F.lit, ("calls:out", "calls:in", "exercises:in", "exercises:out", "file-imports:out", "file-imports:in"))), F.concat_ws(":", "kind", "direction"))
+    rank = F.row_number().over(Window.partitionBy("range_id", "focus").orderBy(order, "node"))
+    return j.select(
+        "range_id", "focus", "node", "kind", "direction", F.when(reveal, "reveal").otherwise("jump").alias("action"), (reveal | (F.col("kind") == "file-imports")).alias("file_level"),
+        F.when(done, "reviewed").otherwise("unreviewed").alias("state"), (~reveal & F.col("kind").isin("calls", "exercises") & (done != mine)).alias("frontier"), rank.alias("rank"),
+    )
+
+
+def islands(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """range_id, nodes, alone, share: nodes that no call or exercise edge touches. nodes: range_id, node."""
+    e = edges.where("src <> dst and kind in ('calls', 'exercises')")
+    ends = e.select("range_id", F.col("src").alias("node")).union(e.select("range_id", "dst")).distinct().withColumn("linked", F.lit(True))
+    g = nodes.distinct().join(ends, ["range_id", "node"], "left").groupBy("range_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("linked").isNull()).alias("alone"))
+    return g.withColumn("share", F.round(F.col("alone") / F.col("nodes"), 6))

@@ -30,6 +30,28 @@ def diff_text(rows: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("diff"))
 
 
+def changed_span(rows: DataFrame) -> DataFrame:
+    """doc_id, start, end of the changed lines."""
+    return rows.where("type in ('add', 'del')").groupBy("doc_id").agg(F.min("line_no").alias("start"), F.max("line_no").alias("end"))
+
+
+def scope(selection: DataFrame, span: DataFrame) -> DataFrame:
+    """doc_id, scope: whole without a selection or where it covers the changed span, else slice. selection: doc_id, from_line, to_line."""
+    part = (F.col("from_line") > F.col("start")) | (F.col("to_line") < F.col("end"))
+    return selection.join(span, "doc_id", "left").select("doc_id", F.when(part, "slice").otherwise("whole").alias("scope"))
+
+
+def slice_rows(rows: DataFrame, selection: DataFrame, context: int = 3) -> DataFrame:
+    """doc_id, row_no, type, line_no: rows near the selection; of the gaps between kept rows one stays, outer ones go."""
+    near = F.col("line_no").between(F.col("from_line") - context, F.col("to_line") + context)
+    d = rows.join(selection, "doc_id").withColumn("gaps", F.sum((F.col("type") == "gap").cast("int")).over(Window.partitionBy("doc_id").orderBy("row_no"))).where(near)
+    cut = F.col("gaps") > F.lag("gaps").over(Window.partitionBy("doc_id").orderBy("row_no"))
+    row = F.struct("type", "line_no")
+    gap = F.struct(F.lit("gap").alias("type"), F.lit(None).cast("int").alias("line_no"))
+    both = d.withColumn("cut", cut).select("doc_id", "row_no", F.posexplode(F.when(F.col("cut"), F.array(gap, row)).otherwise(F.array(row))).alias("p", "r"))
+    return both.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("row_no", "p")).alias("row_no"), "r.type", F.col("r.line_no").alias("line_no"))
+
+
 def book_text(rows: DataFrame, title: str = "Reading order") -> DataFrame:
     """range_id, text of rows (range_id, pos, heading, body): markdown with fences one back-tick longer than any in the body."""
     runs = F.transform(F.regexp_extract_all("body", F.lit("`+"), F.lit(0)), lambda x: F.length(x))
