@@ -138,7 +138,7 @@ def jn19_test_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with i as (select range_id, path || '::' || doc_id % 7 || '::' || doc_id as id, doc_id from c_files), k as (select range_id, doc_id, id, case doc_id % 4 when 0 then id when 1 then 'chunk ' || id when 2 then doc_id::varchar else case when range_id % 3 = 0 then 'x' else doc_id % 7 || '::' || doc_id end end as key from i)
 select range_id as reply, count(*) as n_keys, bool_and(key <> 'x') as accepted, case when bool_and(key <> 'x') then list(id order by id) else [] end as ids from k group by range_id""")
 def jn20_reply_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-20, 21: keys as whole ids, labelled ids, and ends of ids; an unknown key in every third reply."""
+    """JN-20: keys as whole ids, labelled ids, and ends of ids; an unknown key in every third reply."""
     n, s = F.col("doc_id") % 7, F.col("doc_id").cast("string")
     f = corpus.files(spark, sf_dir).select(F.col("range_id").alias("reply"), "doc_id", F.concat_ws("::", "path", n.cast("string"), s).alias("chunk_id"))
     kind = F.col("doc_id") % 4
@@ -257,7 +257,7 @@ def tx6_ai_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", book.ai_line(F.when(third, F.col("text")).otherwise("  "), F.when(~third & even, F.concat(F.lit("r"), F.col("conv_id").cast("string")))).alias("line"))
 
 
-@query("with u as (select *, chunk_id % 4 < 2 as stub from c_state where coalesce(state, 'unseen') <> 'reviewed') select range_id * 10 + chunk_id // 10 as section, count(*) as n_chunks, list_sort(list_distinct(list(case chunk_id % 4 when 0 then 'lockfile' when 1 then 'generated' end) filter (stub))) as reasons, count(*) filter (stub) as stubs, count(*) filter (not stub) as read from u group by range_id * 10 + chunk_id // 10 having bool_and(stub or coalesce(auto_read, false))")
+@query("with u as (select *, chunk_id % 4 < 2 as stub from c_state where coalesce(state, 'unseen') <> 'reviewed') select range_id * 10 + chunk_id // 10 as section, count(*) as n_chunks, coalesce(list_sort(list_distinct(list(case chunk_id % 4 when 0 then 'lockfile' when 1 then 'generated' end) filter (stub))), []) as reasons, count(*) filter (stub) as stubs, count(*) filter (not stub) as read from u group by range_id * 10 + chunk_id // 10 having bool_and(stub or coalesce(auto_read, false))")
 def ag3_batchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-3, AG-4."""
     s = state.review_state(corpus.review_patches(spark, sf_dir))
