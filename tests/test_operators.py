@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from difflens.functions import paths, text
-from difflens.operators import chunking, evaluation, graph, imports, ordering
+from difflens.operators import chunking, evaluation, graph, imports, ordering, references
 from difflens.sources import readers
 from difflens.streaming import state
 
@@ -121,3 +121,17 @@ def test_readers(spark, tmp_path):
     assert readers.read_ledger(spark, str(p)).select("kind", "usage.input", "usage.cost").collect() == [("a", 1, None)]
     p.write_text('{"version":1,"key":"a"}\n{"version":2,"key":"b"}\nbroken\n')
     assert [r.key for r in readers.read_overlay(spark, str(p), "key string", 1).collect()] == ["a"]
+
+
+def test_definitions_need_one_span(spark):
+    scoped = spark.createDataFrame([(1, 0, "a", 3), (1, 0, "b", 4), (1, 0, "c", 5), (1, 0, "d", 6)], "doc_id long, sym int, name string, line int")
+    spans = spark.createDataFrame([(2, 7, "a", 1), (2, 8, "b", 1), (2, 9, "b", 5), (1, 4, "c", 9), (2, 6, "c", 2), (3, 5, "d", 1)], "doc_id long, sym_id int, name string, start_line int")
+    found = references.resolve(scoped, spans, spark.createDataFrame([(1, 2)], "doc_id long, to_doc long"))
+    # b twice in a file, c in two files, d in a file that isn't imported
+    assert [(r["name"], r["to_doc"], r["to_sym"]) for r in found.collect()] == [("a", 2, 7)]
+
+
+def test_behind_stops_at_cycles_and_the_focus(spark):
+    e = spark.createDataFrame([(1, 1, 2, "calls"), (1, 2, 3, "calls"), (1, 3, 2, "calls"), (1, 3, 1, "calls"), (1, 3, 4, "calls")], "range_id long, src long, dst long, kind string")
+    n = graph.behind(e, spark.createDataFrame([(1, 4)], "range_id long, node long"))
+    assert {(r["focus"], r["node"]): r["n"] for r in n.where("direction = 'out'").collect()}[1, 2] == 1
