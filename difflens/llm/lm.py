@@ -1,14 +1,15 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
+"""Language-model scores from Elias-Fano n-gram tries, one a part of the contexts.
 
-Unigrams: every word's count among all training tokens, looked up for every text's words (see dictionary.py). Longer
-n-grams: all training texts are counted, and those kept whose share of all training tokens is at least `share`. No more
-than 1 / share n-grams of an order can have it, at any corpus size, so the trie that each task maps is bounded (2**20
-n-grams an order by default, some MB) while all counts are of the whole corpus. Probabilities interpolate by absolute
-discounting: P(w | h) = max(c(hw) - D, 0) / c(h) + g(h) P(w | shorter h), down to (c + 0.1) / (N + 0.1 (V + 1)).
+Unigrams: every word's count among all training tokens, looked up for every text's words (see dictionary.py). Bigrams and
+trigrams: every one of the training texts is kept, at any corpus size. Each block of texts sends its distinct contexts and
+their successors, packed, to parts by ranges of the context's hash; the number of parts grows with the tokens. A task
+adds up a part, builds its trie and answers each block with one-byte codes; nothing but totals reaches the driver.
+Probabilities interpolate by absolute discounting: P(w | h) = (c(hw) - D) / c(h) + g(h) P(w | shorter h), g(h) = D N(h) / c(h)
+with N(h) distinct successors, down to (c + 0.1) / (N + 0.1 (V + 1)). Unseen n-grams add nothing, unseen contexts have g = 1.
 
-The trie's levels: bigrams as one monotone sequence (context, word), pointers from a word to its successors, trigrams as
-(bigram, rank of the word among the successors of the middle word): all three Elias-Fano coded; probabilities and the
-weights g quantised to one byte. Tasks write the levels to an unlinked file and map it.
+A part's trie: its contexts' hashes, rising, and the successors as one Elias-Fano coded sequence (context, 40 bits of the
+word's hash). The first summands and the weights g are quantised to one byte by a fixed code, so that no result depends
+on how the corpus is cut into blocks and parts.
 
 A null or empty text is one end token. Repeated rows count and score each; an empty table gives an empty result; if no
 row is for training, N = V = 0 and all scores are those of unseen words. Only doc_id and text are read.
@@ -30,9 +31,16 @@ from .common import as_bytes, materialise, mix, slices, word_hashes
 
 #: Stands for the hash of a text's end.
 END = np.uint64(0x5BD1E995A1C3F7E5)
-SHARE = 2.0**-20
 DISCOUNT = 0.5
 ADD = 0.1
+#: Bits of a successor's hash beside its context; training tokens a part; entries of a part that are added up at once.
+WORD_BITS, PART_TOKENS, MERGE = 40, 1 << 20, 1 << 21
+#: Codes of shares from 1 to 1e-12, finer for the larger ones; NOTHING stands for 0.
+NOTHING = 255
+_STEPS = 254
+SHARES = np.append(10.0 ** (-12 * (np.arange(_STEPS + 1) / _STEPS) ** 2), 0.0)
+#: Bucket numbers of the parts in a block's answers begin here; those of the words are below.
+PARTS = 1 << 24
 
 
 class EliasFano:
@@ -83,20 +91,23 @@ class EliasFano:
         return ((self._select(i, self.ones, False) - i) << self.bits) | self.lows(i)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 if it isn't there: a successor search from the start of its high part."""
+        """Index of each value, -1 if it isn't there: a successor search within its high part."""
         out = np.full(len(values), -1, dtype=np.int64)
         if not self.n or not len(values):
             return out
         high, low = values >> self.bits, values & ((1 << self.bits) - 1)
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True) - high + 1, 0)
         stop = self._select(high, self.zeros, True) - high
-        todo = np.flatnonzero(start < stop)
-        while todo.size:
-            at = self.lows(start[todo])
-            hit = at == low[todo]
-            out[todo[hit]] = start[todo[hit]]
-            start[todo] += 1
-            todo = todo[(at < low[todo]) & (start[todo] < stop[todo])]
+        end, todo = stop.copy(), np.flatnonzero(start < stop)
+        while todo.size:  # halves what is left, as a frequent context has many successors
+            mid = (start[todo] + end[todo]) >> 1
+            below = self.lows(mid) < low[todo]
+            start[todo[below]] = mid[below] + 1
+            end[todo[~below]] = mid[~below]
+            todo = todo[start[todo] < end[todo]]
+        at = np.flatnonzero(start < stop)
+        at = at[self.lows(start[at]) == low[at]]
+        out[at] = start[at]
         return out
 
 
@@ -229,15 +240,14 @@ def summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return w[start], np.add.reduceat(c, start) if len(w) else c
 
 
-def total_counts(packed: DataFrame, least: int, buckets: int) -> DataFrame:
+def total_counts(packed: DataFrame, buckets: int) -> DataFrame:
     """PACKED rows: a block's words with their totals over all blocks; with block -1, a bucket's number of distinct
-    training words (as tokens) and its words with `least` or more."""
+    training words (as tokens)."""
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
 
     def answers(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
         words, total = summed([w for _, w, _ in rows], [c.astype(np.int64) for _, _, c in rows])
-        big = total >= least
-        out = [(-1, bucket, words[big].tobytes(), dic.pack(total[big].tobytes()), int((total > 0).sum()))]
+        out = [(-1, bucket, b"", b"", int((total > 0).sum()))]
         out += [(block, bucket, w.tobytes(), dic.pack(total[np.searchsorted(words, w)].tobytes()), 0) for block, w, _ in rows]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "bucket", "words", "counts", "tokens"])
 
@@ -265,88 +275,210 @@ def numbered(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == u, at, -1)[back]
 
 
-def ngrams(docs: DataFrame, known: np.ndarray, least: int, buckets: int) -> DataFrame:
-    """order, key, n: bigrams and trigrams of frequent words in the training rows that occur `least` times or more.
-
-    Each stretch of rows sends every n-gram once, with its count, packed by bucket; no n-gram is hot in its bucket.
-    """
-    shared, size = docs.sparkSession.sparkContext.broadcast(known), len(known)
-
-    def packed(order: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(keys, return_counts=True)
-        bucket = (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int16)
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        keys, n = keys[by], n[by]
-        rows = [(order, b, dic.pack(np.diff(keys[x:y], prepend=0).tobytes(), 1), dic.pack(n[x:y].astype(np.uint32).tobytes(), 1)) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["order", "bucket", "keys", "counts"])
+def gram_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all bigrams, then all trigrams within texts: hash of the context, the word's bits, place of the word; and of how many are bigrams."""
+    place = np.arange(len(h)) - np.repeat(first, np.diff([*first, len(h)]))
+    two, three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+    with np.errstate(over="ignore"):
+        one = mix(h + _BIGRAM)
+        context = np.concatenate([one[two - 1], mix(one[three - 2] * _TRIGRAM + h[three - 1])])
+    at = np.concatenate([two, three])
+    return context, h[at] >> np.uint64(64 - WORD_BITS), at, len(two)
+
+
+_BIGRAM, _TRIGRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _starts(v: np.ndarray) -> np.ndarray:
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = v[1:] != v[:-1]
+    return new
+
+
+def grouped(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct contexts, rising; where the successors of each begin (one more at the end); the distinct successors, rising in each; index of every given n-gram among them."""
+    order = np.argsort(context)
+    sorted_ = context[order]
+    new = _starts(sorted_)
+    contexts, rank = sorted_[new], np.cumsum(new) - 1
+    if len(contexts) < 1 << 64 - WORD_BITS:
+        key = (rank.astype(np.uint64) << np.uint64(WORD_BITS)) | word[order]
+        by = np.argsort(key)
+        order, key = order[by], key[by]
+        first = _starts(key)
+    else:  # of one very long text
+        order = np.lexsort((word, context))
+        first = _starts(context[order]) | _starts(word[order])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(first) - 1
+    held = order[first]
+    return contexts, np.append(np.flatnonzero(_starts(context[held])), len(held)), word[held], back
+
+
+def planes(a: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of numbers, first bytes first, so that they compress."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplaned(data: bytes, n: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def pack_grams(contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray) -> bytes:
+    gaps = np.diff(contexts, prepend=np.uint64(0))
+    return dic.pack(len(contexts).to_bytes(8, "big") + len(words).to_bytes(8, "big") + planes(gaps, 8) + planes(sizes, 4) + planes(words, WORD_BITS // 8) + planes(counts, 4), 1)
+
+
+def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = dic.unpack(data)
+    n, m = int.from_bytes(raw[:8], "big"), int.from_bytes(raw[8:16], "big")
+    with np.errstate(over="ignore"):
+        contexts = np.cumsum(unplaned(raw, n, 8, 16), dtype=np.uint64)
+    return contexts, unplaned(raw, n, 4, 16 + 8 * n).astype(np.int64), unplaned(raw, m, WORD_BITS // 8, 16 + 12 * n), unplaned(raw, m, 4, 16 + 12 * n + WORD_BITS // 8 * m).astype(np.int64)
+
+
+def coded(shares: np.ndarray) -> np.ndarray:
+    """One-byte codes of shares above 0 up to 1."""
+    return np.rint(np.sqrt(np.clip(-np.log10(shares), 0, 12) / 12) * _STEPS).astype(np.uint8)
+
+
+class Part:
+    """The trie of a part of the contexts, from all its n-grams with their counts."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray):
+        """Distinct n-grams, rising by context and word."""
+        new = _starts(context)
+        self.contexts = context[new]
+        begin = np.flatnonzero(new)
+        if len(begin) >= 1 << 63 - WORD_BITS:
+            raise ValueError("a part has too many contexts")
+        rank = np.cumsum(new) - 1
+        of = np.add.reduceat(count, begin) if len(begin) else count
+        self.share = coded((count - DISCOUNT) / of[rank])
+        self.rest = coded(DISCOUNT * np.diff(np.append(begin, len(context))) / of)
+        self.successors = EliasFano.of((rank << WORD_BITS) | word.astype(np.int64), max(1, len(begin) << WORD_BITS))
+
+    def codes(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> bytes:
+        """Weights of the contexts, then shares of the n-grams."""
+        at = np.full(len(contexts), -1, np.int64)
+        if len(self.contexts):
+            near = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+            at = np.where(self.contexts[near] == contexts, near, -1)
+        rest, share = np.zeros(len(contexts), np.uint8), np.full(len(words), NOTHING, np.uint8)
+        rest[at >= 0] = self.rest[at[at >= 0]]
+        owner = np.repeat(at, sizes)
+        asked = np.flatnonzero(owner >= 0)
+        for i in range(0, len(asked), 1 << 15):
+            some = asked[i : i + (1 << 15)]
+            found = self.successors.find((owner[some] << WORD_BITS) | words[some].astype(np.int64))
+            share[some[found >= 0]] = self.share[found[found >= 0]]
+        return rest.tobytes() + share.tobytes()
+
+
+def added(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams (context, word, count), rising, with the sums of their counts."""
+    context, word, count = (np.concatenate(c) for c in zip(*rows))
+    contexts, begin, words, back = grouped(context, word)
+    return np.repeat(contexts, np.diff(begin)), words, np.bincount(back, count, len(words)).astype(np.int64)
+
+
+def block_grams(docs: DataFrame, parts: int) -> DataFrame:
+    """block, bucket (a part), data: a block's distinct n-grams of a part with their counts in training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, most=8 << 20):
-                h, first = tokens_of(part)
-                ids = numbered(h, shared.value)
-                left = ids.copy()  # as context: a text's end is none
-                left[np.concatenate([first[1:], [len(h)]]) - 1] = -1
-                two = (left[:-1] >= 0) & (ids[1:] >= 0)
-                three = two[1:] & (left[:-2] >= 0)
-                yield from packed(2, left[:-1][two] * size + ids[1:][two])
-                yield from packed(3, (left[:-2][three] * size + left[1:-1][three]) * size + ids[2:][three])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(order: int, rows: list[tuple]) -> pa.RecordBatch:
-            keys, n = summed([np.cumsum(np.frombuffer(dic.unpack(k), np.int64)).astype(np.uint64) for k, _ in rows], [np.frombuffer(dic.unpack(c), np.uint32).astype(np.int64) for _, c in rows])
-            keep = n >= least
-            return pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), order, np.int32)), pa.array(keys[keep].astype(np.int64)), pa.array(n[keep])], ["order", "key", "n"])
+        for block, held in dic.batches_by_block(batches):
+            tokens, begins, train, n = [], [], [], 0
+            for p in held:
+                for part in slices(p):
+                    h, first = tokens_of(part)
+                    tokens.append(h)
+                    begins.append(first + n)
+                    train.append(np.repeat(part["train"].to_numpy(zero_copy_only=False).astype(bool), np.diff([*first, len(h)])))
+                    n += len(h)
+            context, word, at, _ = gram_keys(np.concatenate(tokens), np.concatenate(begins))
+            contexts, begin, words, back = grouped(context, word)
+            counts = np.bincount(back[np.concatenate(train)[at]], minlength=len(words))
+            cuts = [*np.searchsorted(contexts, dic.bucket_starts(parts)), len(contexts)]
+            sizes = np.diff(begin)
+            for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                if y > x:
+                    data = pack_grams(contexts[x:y], sizes[x:y], words[begin[x] : begin[y]], counts[begin[x] : begin[y]])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
+
+    return docs.mapInArrow(run, "block long, bucket int, data binary")
+
+
+def gram_answers(grams: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket (PARTS and the part), data: codes of the block's contexts and n-grams in the part, in their order."""
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def answers(part: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        total, new, size = none, [], 0
+        for _, data in rows:
+            contexts, sizes, words, counts = unpack_grams(data)
+            seen = counts > 0
+            new.append((np.repeat(contexts, sizes)[seen], words[seen], counts[seen]))
+            size += int(seen.sum())
+            if size >= max(MERGE, len(total[0])):
+                total, new, size = added([total, *new]), [], 0
+        trie = Part(*(added([total, *new]) if new else total))
+        for block, data in rows:
+            contexts, sizes, words, _ = unpack_grams(data)
+            codes = len(contexts).to_bytes(8, "big") + dic.pack(trie.codes(contexts, sizes, words))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([PARTS + part], pa.int32()), pa.array([codes], pa.binary())], ["block", "bucket", "data"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for order, bucket, keys, counts in zip(*(batch[c].to_pylist() for c in ("order", "bucket", "keys", "counts"))):
-                if (order, bucket) != now and rows:
-                    yield out(now[0], rows)
+            for block, bucket, data in zip(*(batch[c].to_pylist() for c in ("block", "bucket", "data"))):
+                if bucket != now and rows:
+                    yield from answers(now, rows)
                     rows = []
-                now = (order, bucket)
-                rows.append((keys, counts))
+                now = bucket
+                rows.append((block, data))
         if rows:
-            yield out(now[0], rows)
+            yield from answers(now, rows)
 
-    found = docs.where("train").select("text").mapInArrow(run, "order int, bucket int, keys binary, counts binary")
-    return found.repartition(buckets, "order", "bucket").sortWithinPartitions("order", "bucket").mapInArrow(total, "order int, key long, n long")
+    return grams.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, data binary")
 
 
-def lm_scores(docs: DataFrame, train: Column, share: float = SHARE) -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows where `train` holds."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
-    sc, buckets = docs.sparkSession.sparkContext, dic.buckets_of(docs)
+    buckets = dic.buckets_of(docs)
     packed = materialise(dic.block_words(d, count_block, buckets), "words")
     n_train = packed.agg(F.sum("tokens")).first()[0] or 0
-    least = max(2, int(np.ceil(n_train * share)))
-    totals = materialise(total_counts(packed, least, buckets), "totals")
+    totals = materialise(total_counts(packed, buckets), "totals")
     distinct = totals.where("block = -1").agg(F.sum("tokens")).first()[0] or 0
-    # at most 1 / share words and n-grams of each order: bounded by the share, whatever the corpus
-    found = [(np.frombuffer(r["words"], np.uint64), np.frombuffer(dic.unpack(r["counts"]), np.int64)) for r in totals.where("block = -1").select("words", "counts").toLocalIterator()]
-    known, counts = summed([w for w, _ in found], [c for _, c in found])
     bottom = n_train + ADD * (distinct + 1)
-    kept = ngrams(d, known, least, buckets).toPandas() if len(known) else None
-    level = lambda o: (lambda g: (g["key"].to_numpy(np.int64), g["n"].to_numpy(np.int64)))(kept[kept["order"] == o].sort_values("key")) if kept is not None else (np.zeros(0, np.int64),) * 2
-    trie = Trie.build(counts, (counts + ADD) / bottom, level(2), level(3))
-    shared = sc.broadcast((*trie.to_bytes(), known))
+    grams = materialise(gram_answers(block_grams(d, max(buckets, -(-n_train // PART_TOKENS))), buckets), "grams")
 
     def finish(told: dict[int, bytes]):
-        data, index, frequent = shared.value
-        model = Trie.mapped(data, index)
-        words, total = summed(*zip(*((np.frombuffer(x[8 : 8 + (n := int.from_bytes(x[:8], "big"))], np.uint64), np.frombuffer(dic.unpack(x[8 + n :]), np.int64)) for x in told.values())))
-        prior = np.log10((total + ADD) / bottom)
-        numbers = numbered(words, frequent)
+        of_words = [x for b, x in told.items() if b < PARTS]
+        words, total = summed(*zip(*((np.frombuffer(x[8 : 8 + (n := int.from_bytes(x[:8], "big"))], np.uint64), np.frombuffer(dic.unpack(x[8 + n :]), np.int64)) for x in of_words)))
+        prior = (total + ADD) / bottom
+        rest, share = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
+        for b in sorted(b for b in told if b >= PARTS):
+            n, codes = int.from_bytes(told[b][:8], "big"), np.frombuffer(dic.unpack(told[b][8:]), np.uint8)
+            rest.append(codes[:n])
+            share.append(codes[n:])
+        rest, share = np.concatenate(rest), np.concatenate(share)
 
         def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             h, first = tokens_of(part)
             at = numbered(h, words)
-            if (at < 0).any():
+            context, word, place, n_two = gram_keys(h, first)
+            contexts, begin, held, back = grouped(context, word)
+            if (at < 0).any() or len(contexts) != len(rest) or len(held) != len(share):
                 raise ValueError("a block holds other words than when they were counted; write the documents first")
-            base = prior[at]
-            each = model.log10(numbers[at], first, base)
+            p = prior[at]
+            base = np.log10(p)
+            add, weight = SHARES[share][back], SHARES[np.repeat(rest, np.diff(begin))][back]
+            for x in (slice(0, n_two), slice(n_two, None)):  # trigrams build on bigrams
+                p[place[x]] = add[x] + weight[x] * p[place[x]]
+            each = np.log10(p)
             n = np.diff([*first, len(h)])
             rows = [part["doc_id"], pa.array(n, pa.int64()), pa.array(np.add.reduceat((total[at] > 0).astype(np.int64), first)), pa.array(np.full(len(n), n_train, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(each, first))]
             yield pa.RecordBatch.from_arrays(rows, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -356,4 +488,5 @@ def lm_scores(docs: DataFrame, train: Column, share: float = SHARE) -> DataFrame
     size = F.octet_length("words").cast("long")
     answers = totals.where("block >= 0").select("block", "bucket", F.concat(F.unhex(F.lpad(F.hex(size), 16, "0")), "words", "counts").alias("data"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dic.meet(d.select("doc_id", "text"), answers, finish, schema)
+    # a block is one piece, as its codes stand in the order of its distinct n-grams
+    return dic.meet(d.select("doc_id", "text"), answers.unionByName(grams), finish, schema, chunk_bytes=1 << 60)

@@ -253,6 +253,36 @@ def test_lm(spark, odd, empty, tmp_path):
     assert lm.lm_scores(empty, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("part_tokens", [1 << 20, 5000])
+def test_lm_keeps_every_ngram(spark, tmp_path, monkeypatch, part_tokens):
+    """Scores by all n-grams, those that occur once too, whatever the corpus's size and its parts."""
+    monkeypatch.setattr(lm, "PART_TOKENS", part_tokens, raising=False)
+    d = written(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(2), tmp_path / "d")
+    rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), b""]) for r in d.collect()]
+    one, grams, after = Counter(), Counter(), {}
+    for i, ws in rows:
+        if i % 10:
+            one.update(ws)
+            for k in (1, 2):
+                for j in range(k, len(ws)):
+                    grams[tuple(ws[j - k : j + 1])] += 1
+    of = Counter()
+    for g, n in grams.items():
+        of[g[:-1]] += n
+        after[g[:-1]] = after.get(g[:-1], 0) + 1
+    bottom = sum(one.values()) + 0.1 * (len(one) + 1)
+    for r in lm.lm_scores(d, F.col("doc_id") % 10 != 0).collect():
+        ws = dict(rows)[r.doc_id]
+        total = 0.0
+        for j, w in enumerate(ws):
+            p = (one[w] + 0.1) / bottom
+            for h in (tuple(ws[j - 1 : j]), tuple(ws[j - 2 : j])):
+                if len(h) and j >= len(h) and h in of:
+                    p = max(grams[(*h, w)] - 0.5, 0) / of[h] + 0.5 * after[h] / of[h] * p
+            total += math.log10(p)
+        assert abs(r.score - total) < 0.02 * len(ws), r.doc_id
+
+
 def test_trie_probabilities_sum_to_about_one():
     rng = np.random.default_rng(4)
     text = rng.zipf(1.5, 4000) % 12
