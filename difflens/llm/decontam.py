@@ -3,9 +3,10 @@
 A seed is a mask over consecutive words; its hash ignores the positions that the mask leaves out, so a passage with some
 words replaced still shares hashes with its source. Hashes of all benchmark positions form a table and a Bloom bitmap of
 fixed size; a pass over the texts keeps the hashes that the bitmap knows, with the words around them; Spark joins these
-with the benchmark's table, and each (passage, item, diagonal) is verified by the best-scoring stretch of equal words.
+with the benchmark's table, and each (passage, item, diagonal) is verified: the item's words are equal to LEAST_SHARE of
+all, or some stretch has LEAST_WORDS equal ones and as large a share.
 
-Benchmark items with fewer words than a mask spans are searched as exact runs of all their words. Null and empty texts
+Benchmark items shorter than the longest mask are searched by the masks that fit and as exact runs of all their words. Null and empty texts
 and items hold nothing; repeated rows and ids each get a row of their own; an empty benchmark finds nothing. Columns
 other than doc_id, text, item_id aren't read.
 """
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, materialise, mix, slices, word_hashes
 
-#: Masks of seven or eight words; words around a hit that are kept; equal words that make a leak (or share of a short item's).
+#: Masks of seven or eight words; words around a hit that are kept at least; equal words that make a leak, and their share of a stretch or a whole item.
 MASKS = ("11101011011", "110110010111", "1011000111011", "11110111")
 AROUND = 80
-LEAST_WORDS, LEAST_SHARE, MISMATCH = 20, 0.8, 2.0
+LEAST_WORDS, LEAST_SHARE = 20, (4, 5)
 BITS = 1 << 25
 SPAN = max(map(len, MASKS))
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -64,13 +65,15 @@ def benchmark_items(bench: DataFrame) -> DataFrame:
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """h, item, at: every seed of every item; of an item shorter than the masks the run of all its words."""
+    """h, item, at: every seed of every item by the masks that fit; of an item shorter than the longest also the run of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, tokens in zip(batch["item"].to_pylist(), batch["tokens"].to_pylist()):
                 t = np.frombuffer(tokens, dtype=np.uint64)
-                every = [(seeds(t, tuple(range(t.size)), t.size, 1000 + t.size))] if t.size < SPAN else [seeds(t, _kept(m), len(m), i) for i, m in enumerate(MASKS)]
+                every = [seeds(t, _kept(m), len(m), i) for i, m in enumerate(MASKS)]  # none of a mask that is longer
+                if t.size < SPAN:
+                    every.append(seeds(t, tuple(range(t.size)), t.size, 1000 + t.size))
                 h = np.concatenate(every)
                 at = np.concatenate([np.arange(x.size) for x in every]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(h.size, item)), pa.array(at)], ["h", "item", "at"])
@@ -98,7 +101,7 @@ def seed_bitmap(table: DataFrame) -> np.ndarray:
     return out
 
 
-def passages(docs: DataFrame, bitmap: np.ndarray, short: list[int]) -> DataFrame:
+def passages(docs: DataFrame, bitmap: np.ndarray, short: list[int], around: int = AROUND) -> DataFrame:
     """Rows of every document: row, doc_id, key, and for each passage around known hashes first, tokens, hs, ats; one row without any."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)
@@ -134,9 +137,9 @@ def passages(docs: DataFrame, bitmap: np.ndarray, short: list[int]) -> DataFrame
                     if lo == hi:
                         out.append((*me, None, None, None, None))
                         continue
-                    cuts = [lo, *(np.flatnonzero(np.diff(at[lo:hi]) > 2 * AROUND) + 1 + lo), hi]
+                    cuts = [lo, *(np.flatnonzero(np.diff(at[lo:hi]) > 2 * around) + 1 + lo), hi]
                     for x, y in zip(cuts, cuts[1:]):
-                        start, end = max(first[i], at[x] - AROUND), min(first[i + 1], at[y - 1] + SPAN + AROUND)
+                        start, end = max(first[i], at[x] - around), min(first[i + 1], at[y - 1] + SPAN + around)
                         out.append((*me, int(start - first[i]), h[start:end].tobytes(), hs[x:y].tolist(), (at[x:y] - start).tolist()))
                 row += part.num_rows
                 kinds = (pa.int64(), part["doc_id"].type, pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
@@ -146,17 +149,19 @@ def passages(docs: DataFrame, bitmap: np.ndarray, short: list[int]) -> DataFrame
     return d.mapInArrow(run, f"row long, doc_id {id_type}, key long, first long, tokens binary, hs array<long>, ats array<int>")
 
 
-def best_stretch(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int]:
-    """Equal words and length of the best stretch of a against b, where a[i] stands at b[i + shift]."""
+def leaked_words(a: np.ndarray, b: np.ndarray, shift: int) -> int:
+    """Equal words of the largest leak of item b in passage a, where a[i] stands at b[i + shift]; 0 if it is none."""
     lo, hi = max(0, -shift), min(a.size, b.size - shift)
     if hi <= lo:
-        return 0, 0
-    same = a[lo:hi] == b[lo + shift : hi + shift]
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -MISMATCH))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return int(same[start:end].sum()), end - start
+        return 0
+    up, down = LEAST_SHARE
+    same = np.concatenate([[0], np.cumsum(a[lo:hi] == b[lo + shift : hi + shift])]).astype(np.int64)
+    # from i to j a stretch has the share if over[j] >= over[i]; for each j the first such i has the most equal words
+    over = down * same - up * np.arange(same.size)
+    first = np.searchsorted(-np.minimum.accumulate(over), -over)
+    most = int((same - same[first]).max())
+    whole = int(same[-1]) if down * same[-1] >= up * b.size else 0
+    return max(most if most >= LEAST_WORDS else 0, whole)
 
 
 def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -164,7 +169,8 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     items = materialise(benchmark_items(bench), "items")
     table = materialise(item_seeds(items), "seeds")
     short = sorted(r[0] for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())  # fewer lengths than SPAN
-    found = materialise(passages(docs, seed_bitmap(table), short), "passages")
+    longest = items.agg(F.max("n")).first()[0] or 0
+    found = materialise(passages(docs, seed_bitmap(table), short, max(AROUND, longest)), "passages")
     hits = found.where("tokens is not null").select("row", "first", F.explode(F.arrays_zip("hs", "ats")).alias("x")).select("row", "first", F.col("x.hs").alias("h"), F.col("x.ats").alias("pos"))
     pairs = hits.join(table, "h").groupBy("row", "first", "item", (F.col("at") - F.col("pos")).alias("shift")).agg(F.count("*").alias("seeds"))
     held = found.where("tokens is not null").select("row", "first", F.col("tokens").alias("a"))
@@ -173,10 +179,8 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch["n"].to_pylist()
-            got = [best_stretch(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), s) for a, b, s in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["shift"].to_pylist())]
-            ok = np.array([m >= min(LEAST_WORDS, LEAST_SHARE * k) and m >= LEAST_SHARE * size for (m, size), k in zip(got, n)], dtype=bool)
-            words = pa.array([m for m, _ in got], pa.int32())
+            got = [leaked_words(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), s) for a, b, s in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["shift"].to_pylist())]
+            ok, words = np.array(got, dtype=np.int64) > 0, pa.array(got, pa.int32())
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in (batch["row"], batch["item_id"], words)], ["row", "item_id", "words"])
 
     id_type = bench.schema["item_id"].dataType.simpleString()

@@ -310,6 +310,19 @@ def test_decontamination(spark, odd, empty):
     assert decontam.leaks(empty, bench).count() == 0 and decontam.drop_leaks(odd, bench).count() == odd.count()
 
 
+def test_decontamination_of_altered_copies(spark):
+    """Mismatches near the ends, runs parted by other words, and items shorter than the longest mask."""
+    item = lambda k, n: [f"i{k}w{i}" for i in range(n)]
+
+    def altered(words, places):
+        return " ".join("other" if i in places else w for i, w in enumerate(words))
+
+    bench = spark.createDataFrame([(k, " ".join(item(k, n))) for k, n in ((1, 20), (2, 83), (3, 12), (4, 40))], "item_id long, text string")
+    rows = [(1, altered(item(1, 20), {1, 3, 16, 18})), (2, altered(item(2, 83), {*range(21, 31), *range(52, 62)})), (3, altered(item(3, 12), {0, 1})), (4, altered(item(1, 20), {1, 2, 3, 16, 18})), (5, " ".join(item(4, 40)[:19]))]
+    got = {r.doc_id: list(r["items"]) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [], 5: []}
+
+
 def test_pipeline_keeps_clean_rows(spark):
     import corpus_pipeline
 
