@@ -9,12 +9,13 @@ Characters outside the table become byte pieces. See dictionary.py for how units
 
 A null or empty text has no pieces. Units longer than LONG characters (rare: long runs without a space) are merged by a
 heap instead, since their boundaries don't fit a 64-bit set. Repeated rows get equal ids; an empty table gives an empty
-result. Only doc_id and text are read.
+result. Only doc_id and text are read. Units that hold pieces of equal scores (runs of spaces) are merged by the heap too.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -250,9 +251,23 @@ def merge_long(unit: str, pieces: Pieces, rank: dict[str, tuple[float, int]]) ->
     return [k for t in text if t is not None for k in ((rank[t][1],) if t in rank else [pieces.byte_ids[b] for b in t.replace(SPACE, " ").encode()])]
 
 
+def holds_tied(unit: Column, pieces: Pieces) -> Column:
+    """Whether a unit holds a piece whose score others share (runs of spaces): the fold's order of edges isn't that of the merges there."""
+    if pieces.kind != "bpe":
+        return F.lit(False)
+    long = [(t, s) for t, s, ok in zip(pieces.texts, pieces.scores, pieces.normal) if ok and len(t) > 1]
+    often = Counter(s for _, s in long)
+    tied: list[str] = []
+    for t in sorted((t for t, s in long if often[s] > 1), key=len):
+        if not any(x in t for x in tied):
+            tied.append(t)
+    return F.lit(False) if not tied else F.exists(F.array(*map(F.lit, tied)), lambda t: F.contains(unit, t))
+
+
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """bucket, unit, ids of distinct units."""
-    short = path_ids(units.where(F.length("unit") <= LONG), pieces)
+    folds = (F.length("unit") <= LONG) & ~holds_tied(F.col("unit"), pieces)
+    short = path_ids(units.where(folds), pieces)
     rank = {t: (s, i) for i, (t, s, ok) in enumerate(zip(pieces.texts, pieces.scores, pieces.normal)) if ok}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +275,7 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
             ids = [merge_long(u, pieces, rank) for u in batch["unit"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["bucket"], batch["unit"], pa.array(ids, pa.list_(pa.int32()))], ["bucket", "unit", "ids"])
 
-    long = units.where(F.length("unit") > LONG)
+    long = units.where(~folds)
     if pieces.kind != "bpe":
         return short  # unigram tables here are for words
     return short.unionByName(long.mapInArrow(run, "bucket int, unit string, ids array<int>"))

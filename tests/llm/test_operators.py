@@ -137,6 +137,15 @@ def test_pieces_equal_the_library(odd, empty):
     assert pieces.encode(empty, table).count() == 0
 
 
+def test_runs_of_spaces_equal_the_library(spark, tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = [(100 * k + i, a + " " * k + b) for k in range(1, 61) for i, (a, b) in enumerate((("", "x"), ("def f():\n", "return 1"), ("a", "")))]
+    d = written(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path / "d")
+    got = {r.doc_id: list(r.ids) for r in pieces.encode(d, pieces.load()).collect()}
+    assert got == {i: model.encode(t) for i, t in rows}
+
+
 def test_viterbi_equals_all_paths(spark):
     texts = ("a", "b", "ab", "ba", "aba", "bb", "▁a")
     table = pieces.Pieces(texts + ("<u>",) + tuple(f"<{i}>" for i in range(256)), (-3.0, -3.1, -4.0, -4.5, -5.2, -7.0, -3.3) + (0.0,) * 257, (True,) * 7 + (False,) * 257, tuple(range(8, 264)), 7, "unigram")
