@@ -99,7 +99,7 @@ def sc_links_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = corpus.table(spark, sf_dir, "pages"), F.col("page_id")
     url = F.when(i % 2 == 0, F.concat(F.lit("https://h/x/pull/"), i.cast("string"), F.when(i % 4 == 0, "/").otherwise(""))).otherwise(F.col("url"))
     messy = F.concat(F.when(i % 3 == 0, "./a/").otherwise("../"), F.when(i % 5 == 0, "b/./").otherwise("z/../"), F.lit("c"))
-    return d.select("page_id", paths.files_changed_url(url).alias("files_url"), paths.normalize(messy).alias("plain"), text.preview(F.substring("html", 1, 200)).alias("preview"), text.token_estimate(F.col("html")).cast("long").alias("tokens"))
+    return d.select("page_id", paths.files_changed_url(url).alias("files_url"), paths.normalize(messy).alias("plain"), text.preview(F.col("html")).alias("preview"), text.token_estimate(F.col("html")).cast("long").alias("tokens"))
 
 
 @query(r"""with t as (select conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) || case (conv_id + turn) % 9 when 0 then ' simply' when 1 then ' looks good' when 2 then ' simplify' else '' end as t, case turn % 3 when 0 then 'opener' when 1 then 'section' else 'chunk' end as kind from conversations),

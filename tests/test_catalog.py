@@ -35,3 +35,10 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(df.columns) == sorted(said.columns)
     at = [said.columns.index(c) for c in df.columns]
     assert sorted(repr(plain(tuple(r))) for r in df.collect()) == sorted(repr(plain(tuple(r[i] for i in at))) for r in said.fetchall())
+
+
+def test_previews_read_the_whole_page(spark, tmp_path):
+    rows = [(1, "u", " " * 300 + "late"), (2, "u", "a" + "\n" * 250 + "b" * 60), (3, "u", "short")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.preview for r in catalog.queries()["sc_links_previews"](spark, str(tmp_path)).collect()}
+    assert got == {1: "late", 2: "a " + "b" * 40 + "…", 3: "short"}
