@@ -436,20 +436,45 @@ def _possible(pairs: DataFrame, sigs: DataFrame, pct: int) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), cls of every row."""
+def _labelled_rows(docs: DataFrame, n: int, pct: int) -> DataFrame:
+    """doc_id, n_shingles, cls of every row, head (smallest doc_id of its component) and comp of those with shingles."""
     rows, links = links_of(docs, n, pct)
     comps = components(links).withColumnsRenamed({"cls": "c_cls"})
     rows = rows.withColumnRenamed("size", "n_shingles")
     labelled = materialise(rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(comps, F.col("cls") == F.col("c_cls"), "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp")), "least")
     heads = labelled.groupBy(F.col("comp").alias("h_comp")).agg(F.min("least").alias("head"))
-    named = materialise(labelled.join(materialise(heads, "heads"), F.col("comp") == F.col("h_comp")).select(F.col("cls").alias("n_cls"), "head"), "named")
-    out = rows.join(named, F.col("cls") == F.col("n_cls"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("head")).alias("component_id"), "cls")
+    named = materialise(labelled.join(materialise(heads, "heads"), F.col("comp") == F.col("h_comp")).select(F.col("cls").alias("n_cls"), "head", "comp"), "named")
+    return rows.join(named, F.col("cls") == F.col("n_cls"), "left").select("doc_id", "n_shingles", "cls", "head", "comp")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), cls of every row."""
+    return _labelled_rows(docs, n, pct).select("doc_id", "n_shingles", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("head")).alias("component_id"), "cls")
+
+
+def _with_class(docs: DataFrame, n: int) -> DataFrame:
+    """docs with row_cls, the class of each row's text."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "row_cls long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, most=8 << 20):
+                cls = pa.array([class_of(s) for s in _sets(part, n)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, cls], [*part.schema.names, "row_cls"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """docs with one row of each component: that with the smallest doc_id (of rows with the same id, any one of the same text). Rows without shingles all stay."""
-    found = jaccard_components(docs, n, pct)
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """docs with one row of each component: that with the smallest doc_id (null ids last), then the smallest class, then the smallest text. Rows without shingles all stay."""
+    # each id and class of a component once, with its number of rows
+    keys = materialise(_labelled_rows(docs, n, pct).where("cls <> 0").groupBy("comp", "doc_id", "cls").agg(F.count("*").alias("m")), "keys")
+    best = keys.groupBy(F.col("comp").alias("b_comp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("best"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("cls") == F.col("best.cls"))
+    marked = keys.join(best, F.col("comp") == F.col("b_comp")).select(F.col("doc_id").alias("k_id"), F.col("cls").alias("k_cls"), chosen.alias("chosen"), "m")
+    marks = materialise(marked.where("not chosen or m > 1"), "marks")
+    met = _with_class(docs, n).join(marks, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row_cls") == F.col("k_cls")), "left")
+    met = materialise(met.where("chosen is null or chosen").drop("k_id", "k_cls"), "met")
+    rows = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")
+    repeated = met.where("chosen").groupBy(F.col("doc_id").alias("k_id"), "row_cls").agg(rows).select("row.*")
+    return met.where("chosen is null").select(*docs.columns).unionByName(repeated)

@@ -83,6 +83,14 @@ def test_jaccard_altered_copies(spark, tmp_path):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 4, 85)
 
 
+def test_keep_one_of_repeated_null_and_shared_ids(spark, tmp_path):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, c), (None, c), (5, ""), (5, "")]
+    d = written(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path / "d")
+    got = Counter((r.doc_id, r.text) for r in ngram_jaccard.keep_one(d).collect())
+    assert got == Counter({(1, a): 1, (2, b): 1, (None, c): 1, (5, ""): 2})
+
+
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
