@@ -63,6 +63,24 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
+def label_sample(labels: DataFrame, value: str, rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id and value (0 or 1; of several the largest) of about `rows` ids of each value, 4 * rows in all at the very most, and the ids of each value.
+
+    Ids are dealt by their hash, before any text is read; a null id is none.
+    """
+    ids = labels.where(f"doc_id is not null and {value} in (0, 1)").groupBy("doc_id").agg(F.max(F.col(value).cast("int")).alias(value))
+    counts = {r[value]: r["count"] for r in ids.groupBy(value).count().collect()}
+    share = F.when(F.col(value) == 1, F.lit(rows / counts.get(1, 1))).otherwise(F.lit(rows / counts.get(0, 1)))
+    return ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * rows), counts
+
+
+def texts_of_sample(docs: DataFrame, sample: DataFrame, value: str) -> DataFrame:
+    """doc_id, text, value of the sampled ids (of several rows with one id the smallest text), written: docs' texts don't move but for these."""
+    few = F.broadcast(sample.withColumnRenamed("doc_id", "s_id"))  # label_sample bounds it
+    met = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("s_id"))
+    return materialise(met.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max(value).alias(value)), "sample")
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES):
     """Consecutive parts of a batch with about `most` bytes of text each (a longer text stands alone)."""
     col = batch.column(batch.schema.get_field_index(text))

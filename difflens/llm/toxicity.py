@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import label_sample, slices, texts_of_sample
 
 #: Letters that look like Latin ones (Cyrillic, Greek and others), and digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝпткмвнгαβεικνορτυχωıłøđðſɑɡ", "aeopcyxijshdqwntkmbhraβeiknoptyxwiloddsag")) | {"β": "b"}
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 #: Phrases in which words of abuse are harmless.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "take out the trash", "clown fish", "circus clown", "sore loser", "pathetic fallacy")
-#: Labelled rows of each label that the fit uses at most, entries at most, rows with an entry at least, lengths of stems.
-ROWS_A_LABEL, ENTRIES, LEAST_ROWS, STEMS = 6000, 4000, 4, range(4, 9)
+#: Labelled rows of each label that the fit uses (about; twice that at most), rows with an entry and its weight at least, lengths of stems.
+ROWS_A_LABEL, LEAST_ROWS, LEAST_WEIGHT, STEMS = 6000, 4, 3, range(4, 9)
 THRESHOLD = 0.7
 
 _table = None
@@ -114,14 +114,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, rows: int = ROWS_A_LABEL) -> Model | None:
-    """labelled: doc_id, text, toxic. Texts stay on the executors; the driver gets at most ENTRIES entries and three figures a sampled row."""
-    labelled = labelled.where("text is not null and toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_A_LABEL) -> Model | None:
+    """docs: doc_id, text; labels: doc_id, toxic. Ids are sampled before a text is read; the driver gets the entries and three figures a sampled row."""
+    ids, counts = label_sample(labels, "toxic", rows)
     if len(counts) < 2:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, rows / n)])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("toxic")) * (1 << 20))
+    sample = texts_of_sample(docs, ids, "toxic")
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     total = {k: max(1, n.get(k, 0)) for k in (0, 1)}
 
@@ -137,11 +135,10 @@ def fit(labelled: DataFrame, rows: int = ROWS_A_LABEL) -> Model | None:
     by = sample.mapInArrow(count, "entry string, n0 long, n1 long").groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # up to two imagined rows without the label for each entry, so that chance and copies of a few rows give none
     weight = F.log((F.col("n1") / total[1]) / ((F.col("n0") + min(2.0, total[0] / 3000)) / total[0]))
-    top = by.where(f"n1 >= {LEAST_ROWS}").withColumn("w", F.least(weight, F.lit(6.0))).where("w > 3").orderBy(F.desc(F.col("w") * F.log("n1")), "entry").limit(ENTRIES)
-    found = top.collect()
+    found = by.where(f"n1 >= {LEAST_ROWS}").withColumn("w", F.least(weight, F.lit(6.0))).where(F.col("w") > LEAST_WEIGHT).collect()
     lexicon = {r["entry"]: float(r["w"]) for r in found}
     model = Model(lexicon, np.zeros(3))
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(shared.value.lexicon)
@@ -149,14 +146,14 @@ def fit(labelled: DataFrame, rows: int = ROWS_A_LABEL) -> Model | None:
             e = [evidence(a, t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in e], pa.float64()), "b": pa.array([x[1] for x in e], pa.float64()), "toxic": batch["toxic"]})
 
-    got = np.array(sorted((r["a"], r["b"], r["toxic"]) for r in sample.mapInArrow(measure, "a double, b double, toxic int").collect()))
+    got = np.array(sorted((r["a"], r["b"], r["toxic"]) for r in sample.mapInArrow(measure, "a double, b double, toxic int").collect())).reshape(-1, 3)
     model.curve = _logistic(np.column_stack([np.ones(len(got)), got[:, :2]]), got[:, 2])
     return model
 
 
 def score(docs: DataFrame, model: Model | None, exceptions=EXCEPTIONS) -> DataFrame:
     """doc_id, score, matches of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # entries of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -171,5 +168,4 @@ def score(docs: DataFrame, model: Model | None, exceptions=EXCEPTIONS) -> DataFr
 
 def toxicity(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     """doc_id, score, matches; learns from the labelled rows where `train` (over doc_id) holds."""
-    marked = labels.where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return score(docs, fit(docs.select("doc_id", "text").join(marked, "doc_id")))
+    return score(docs, fit(docs, labels.where(train)))
