@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, slices
+from .common import as_bytes, label_sample, materialise, slices, texts_of_sample
 
 #: Labelled rows of each label that the fit uses at most (in expectation; twice that at the very most).
 ROWS_A_LABEL = 4000
@@ -53,14 +53,12 @@ def features(text: bytes) -> np.ndarray:
 N_FEATURES = len(features(b""))
 
 
-def fit(labelled: DataFrame, rows: int = ROWS_A_LABEL) -> np.ndarray | None:
-    """labelled: doc_id, text, quality. The driver gets the features of at most about 2 * rows rows."""
-    labelled = labelled.where("quality in (0, 1)")
-    counts = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_A_LABEL) -> np.ndarray | None:
+    """docs: doc_id, text; labels: doc_id, quality. Ids are sampled before a text is read; the driver gets the features of at most about 2 * rows rows."""
+    ids, counts = label_sample(labels, "quality", rows)
     if len(counts) < 2:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, rows / n)])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("quality")) * (1 << 20)).limit(4 * rows)
+    sample = texts_of_sample(docs, ids, "quality")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,6 +66,8 @@ def fit(labelled: DataFrame, rows: int = ROWS_A_LABEL) -> np.ndarray | None:
             yield pa.RecordBatch.from_pydict({"x": pa.array([v.tolist() for v in x], pa.list_(pa.float64())), "y": batch["quality"].cast(pa.int32())})
 
     got = sorted((r["x"], r["y"]) for r in sample.select("text", "quality").mapInArrow(measure, "x array<double>, y int").collect())
+    if not got:
+        return None
     x, y = np.array([r[0] for r in got]), np.array([r[1] for r in got], dtype=float)
     weight = np.where(y == 1, counts[1] / max(1, y.sum()), counts[0] / max(1, (1 - y).sum()))  # back to the labels' true shares
     weight /= weight.mean()
@@ -112,8 +112,7 @@ def _logit(p: Column) -> Column:
 def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD, most_shift: float = MOST_SHIFT) -> DataFrame:
     """doc_id, q, n_path, host_post, path_post, score, kept of every row of docs (doc_id, text and what host and path need)."""
     d = docs.select("doc_id", "text", host.cast("string").alias("host"), path.cast("string").alias("path"))
-    marked = labels.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    q = materialise(evidence(d, fit(docs.select("doc_id", "text").join(marked, "doc_id"))), "evidence")
+    q = materialise(evidence(d, fit(docs, labels)), "evidence")
     sums = [F.count("*").alias("n"), F.sum("q").alias("s"), F.sum(F.col("q") * F.col("q")).alias("ss")]
     paths = materialise(q.groupBy("host", "path").agg(*sums), "paths")  # sums a task first: a hot host is no hot task
     hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss")))
