@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths in the shared folder with what removes them, oldest first; the rest go when the driver's Python ends.
+_paths: dict[str, Callable[[], None]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/difflens-{name}-{uuid.uuid4().hex}"
@@ -43,7 +49,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(hadoop).delete(p, True)
 
-    atexit.register(drop)
+    if not _paths:
+        atexit.register(lambda: forget(*_paths))
+    _paths[path] = drop
     return path
 
 
@@ -51,7 +59,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*held: DataFrame | str) -> None:
+    """Removes materialised tables, or paths, that nothing reads any more."""
+    for x in held:
+        if drop := _paths.pop(x if isinstance(x, str) else x.scratch, None):
+            drop()
+
+
+@contextlib.contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Adds to `paths` what is written in the shared folder within the block."""
+    before = set(_paths)
+    try:
+        yield
+    finally:
+        paths += [p for p in _paths if p not in before]
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """docs, if it is a plain read of files (projected or filtered), whose partitions hold the same rows each time; else docs written and read again."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    nodes = [line.strip(" +-:*()0123456789") for line in plan.splitlines() if line.strip()]
+    plain = all(re.match(r"Project|Filter|FileScan|ColumnarToRow|WholeStageCodegen|InputAdapter", x) for x in nodes) and any(x.startswith("FileScan") for x in nodes)
+    return docs if plain else materialise(docs, "docs")
 
 
 def ascii_lower(text: Column) -> Column:

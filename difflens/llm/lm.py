@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dictionary as dic
-from .common import as_bytes, materialise, mix, slices, word_hashes
+from .common import as_bytes, materialise, mix, slices, stable, word_hashes
 
 #: Stands for the hash of a text's end.
 END = np.uint64(0x5BD1E995A1C3F7E5)
@@ -315,28 +315,17 @@ def grouped(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return contexts, np.append(np.flatnonzero(_starts(context[held])), len(held)), word[held], back
 
 
-def planes(a: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of numbers, first bytes first, so that they compress."""
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def unplaned(data: bytes, n: int, width: int, at: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
-    return out.reshape(-1).view("<u8")
-
-
 def pack_grams(contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray) -> bytes:
     gaps = np.diff(contexts, prepend=np.uint64(0))
-    return dic.pack(len(contexts).to_bytes(8, "big") + len(words).to_bytes(8, "big") + planes(gaps, 8) + planes(sizes, 4) + planes(words, WORD_BITS // 8) + planes(counts, 4), 1)
+    return dic.pack(len(contexts).to_bytes(8, "big") + len(words).to_bytes(8, "big") + dic.planes(gaps, 8) + dic.planes(sizes, 4) + dic.planes(words, WORD_BITS // 8) + dic.planes(counts, 4), 1)
 
 
 def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = dic.unpack(data)
     n, m = int.from_bytes(raw[:8], "big"), int.from_bytes(raw[8:16], "big")
     with np.errstate(over="ignore"):
-        contexts = np.cumsum(unplaned(raw, n, 8, 16), dtype=np.uint64)
-    return contexts, unplaned(raw, n, 4, 16 + 8 * n).astype(np.int64), unplaned(raw, m, WORD_BITS // 8, 16 + 12 * n), unplaned(raw, m, 4, 16 + 12 * n + WORD_BITS // 8 * m).astype(np.int64)
+        contexts = np.cumsum(dic.unplaned(raw, n, 8, 16), dtype=np.uint64)
+    return contexts, dic.unplaned(raw, n, 4, 16 + 8 * n).astype(np.int64), dic.unplaned(raw, m, WORD_BITS // 8, 16 + 12 * n), dic.unplaned(raw, m, 4, 16 + 12 * n + WORD_BITS // 8 * m).astype(np.int64)
 
 
 def coded(shares: np.ndarray) -> np.ndarray:
@@ -446,7 +435,7 @@ def gram_answers(grams: DataFrame, buckets: int) -> DataFrame:
 
 def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows where `train` holds."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
+    d = stable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), train.alias("train")))
     buckets = dic.buckets_of(docs)
     packed = materialise(dic.block_words(d, count_block, buckets), "words")
     n_train = packed.agg(F.sum("tokens")).first()[0] or 0
