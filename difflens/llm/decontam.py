@@ -195,4 +195,6 @@ def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark passage."""
     bad = leaks(docs, bench).where(F.size("items") > 0).select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
     bad = materialise(bad, "bad")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_key")), "left_anti")
+    # the whole row is one column, so that no name of its own can clash
+    d = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_key"), F.struct("*").alias("row"))
+    return d.join(bad, F.col("d_id").eqNullSafe(F.col("bad_id")) & (F.col("d_key") == F.col("bad_key")), "left_anti").select("row.*")

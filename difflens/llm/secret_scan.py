@@ -136,17 +136,22 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """Every row of docs (its columns kept) with `secret_spans`: array of (start, number, end, kind), by start and then rule."""
-    d = docs.withColumns({n: c for n, c in row_key(F.col("text")).items()})
+def _scanned(docs: DataFrame, rules) -> DataFrame:
+    """row (docs' columns as one struct, so that no name of theirs can clash) and secret_spans of every row."""
+    d = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in row_key(F.col("text")).items()])
     c = candidates(docs, rules).withColumnsRenamed({k: f"c_{k[2:]}" for k in ("k_id", "k_hash", "k_len")})
     same = [d[f"k_{x}"].eqNullSafe(c[f"c_{x}"]) for x in ("id", "hash", "len")]
-    d = d.join(c, same, "left").drop("k_id", "k_hash", "k_len", "c_id", "c_hash", "c_len")
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("row")["text"], F.lit(""))
     none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
     each = [F.when(F.array_contains("kinds", r.kind) if trigram_clauses(r.pattern) else text.rlike(r.pattern), spans(text, r, i)).otherwise(none) for i, r in enumerate(rules)]
     found = F.sort_array(F.concat(*[F.coalesce(x, none) for x in each]))
-    return d.withColumn("secret_spans", found).drop("kinds")
+    return d.join(c, same, "left").select("row", found.alias("secret_spans"))
+
+
+def scan(docs: DataFrame, rules=RULES) -> DataFrame:
+    """Every row of docs with `secret_spans`: array of (start, number, end, kind), by start and then rule. All columns are kept but one of that name."""
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "secret_spans"]
+    return _scanned(docs, rules).select(*kept, "secret_spans")
 
 
 def digest_columns(found: DataFrame, rules=RULES) -> DataFrame:
@@ -159,7 +164,8 @@ def digest_columns(found: DataFrame, rules=RULES) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
     """docs with each stretch of overlapping spans in `text` replaced by the mask; all other columns and rows as they are."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    own = F.col("row")["text"]
+    text = F.coalesce(own, F.lit(""))
 
     def step(acc, s):
         start = F.greatest(acc["at"], s["start"])
@@ -169,4 +175,5 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return scan(docs, rules).withColumn("text", F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text"))).drop("secret_spans")
+    masked = F.when(F.size("secret_spans") > 0, done).otherwise(own)
+    return _scanned(docs, rules).select(*[(masked if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -354,3 +354,62 @@ def test_pipeline_keeps_clean_rows(spark):
 
 def test_blocks_cover_all_rows():
     assert dictionary.bucket_starts(7)[0] == 0 and len(set(dictionary.bucket_starts(7).tolist())) == 7
+
+
+CLASHING = "doc_id long, text string, lang string, score double, lang_pred string, covered double, kinds string, k_id long, k_hash string, gone_id long, bad_id long, d_key string, row string, secret_spans string, cls long"
+
+
+def clashing(spark, path, texts):
+    rows = [(i, t, "en", -7.0, "p", 1.0, "k", 5, "h", 1, 2, "d", "r", "s", 3) for i, t in texts]
+    return written(spark.createDataFrame(rows, CLASHING), path)
+
+
+def test_stages_keep_clashing_columns_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    base = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    texts = [(1, base), (2, base), (2, base), (None, base), (3, None), (4, ""), (5, "12 34 !!"), (6, base + " password = hunter22x"), (7, "γειά σου κόσμε " * 20)]
+    bench = spark.createDataFrame([(1, " ".join(base.split()[5:45]))], "item_id long, text string")
+    d = clashing(spark, tmp_path / "d", texts)
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    said = {}
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, d, str(tmp_path))
+        assert out.columns == d.columns, name
+        rows = out.collect()
+        said[name] = Counter((r.doc_id, r.text) for r in rows)
+        assert all(tuple(r)[2:] == ("en", -7.0, "p", 1.0, "k", 5, "h", 1, 2, "d", "r", "s", 3) for r in rows), name
+    every = Counter(texts)
+    assert all(not n or said["language"][k] == n for k, n in ((k, 0 if k[0] in (3, 4, 5) else n) for k, n in every.items() if k[0] != 7))
+    assert not {3, 4, 5} & {i for i, _ in said["language"]}
+    assert said["near_duplicates"] == Counter([texts[0], *texts[4:7], texts[8]])  # 6 differs from 1 by four shingles of 60
+    assert said["benchmark_leaks"] == Counter({k: n for k, n in every.items() if k[0] in (3, 4, 5, 7)})
+    assert said["secrets"] == Counter([(i, t.replace("password = hunter22x", "[SECRET]") if t else t) for i, t in texts])
+    out = corpus_pipeline.encoded(spark, d, str(tmp_path))
+    assert out.where("decoded_equal").count() == len(texts) and out.columns == ["doc_id", "ids", "n_ids", "decoded_equal"]
+    none = written(d.limit(0), tmp_path / "none")
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, none, str(tmp_path)).count() == 0, name
+
+
+def test_language_rejects_an_unlearned_script(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(d.where(common.crc_mod(F.col("doc_id"), 3) != 1))
+    other = spark.createDataFrame([(1, "съешь ещё этих мягких французских булок да выпей чаю " * 5), (2, "我能吞下玻璃而不伤身体" * 9), (3, "γειά σου κόσμε " * 20)], "doc_id long, text string")
+    assert langid.predict(other, model).where(F.col("covered") >= model.least_covered).count() == 0
+    known = langid.predict(d, model).where(common.crc_mod(F.col("doc_id"), 3) == 1)
+    assert known.agg(F.avg((F.col("covered") >= model.least_covered).cast("double"))).first()[0] > 0.99
+
+
+def test_kernel_against_plain_sets(spark):
+    """Scores from hashed presence vectors equal those from plain sets of places."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "a"), ("le chat est sur le tapis", "b"), ("a dog in the house", "a"), ("un chien dans la maison", "b")] * 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d)
+    sets = [set(np.flatnonzero(g).tolist()) for g in model.landmarks > 0]
+    for r in langid.predict(d, model).collect():
+        own = set(np.flatnonzero(langid.grams(r.text)).tolist())
+        at = {int(p): k for k, p in enumerate(model.places)}
+        mine = {at[p] for p in own if p in at}
+        kernel = np.array([len(mine & s) / math.sqrt(len(own) * len(s)) for s in sets])
+        assert math.isclose(r.score, np.clip(((kernel @ model.weights).max() + 1) / 2, 0, 1), abs_tol=1e-4) and r.lang_pred == r.lang
