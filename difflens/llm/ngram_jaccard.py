@@ -2,36 +2,49 @@
 
 Texts with the same set of shingles are one class. In one order of all shingles (common ones last, else by hash), two
 linked classes share a shingle among the first of each (all but the last ceil(share * size) - 1), so these prefixes route
-classes to each other: that is the tree's upper level, spread over tasks. In two rounds, one class of each (shingle, band of sizes) is compared with all
-others there and links are verified on whole sets; so a group of n copies costs n comparisons. What the rounds leave in
-several components of a shingle's group goes to signature trees: a node holds the OR of its classes' bitmaps and their
-range of sizes and of bits, and a dual traversal drops a pair of nodes if even the largest possible overlap is too small.
-Surviving pairs are verified on whole sets. A group with many classes is dealt in blocks, each pair of blocks to a task.
+classes to each other: that is the tree's upper level, spread over tasks. Each shingle's group is a signature tree: a node
+holds the OR of its classes' bitmaps and their range of sizes and of bits, and a dual traversal drops a pair of nodes if
+even the largest possible overlap is too small. First, in the groups of each class's ROUTES
+rarest shared shingles, a class is paired with the nearest class before it (largest possible overlap), so that a group of n
+copies costs n comparisons; these pairs are verified on whole sets. Then the trees of all groups that still hold several
+components are traversed, pairs of nodes within one component being dropped, and every surviving pair is verified. A group
+with many classes is dealt in blocks; the last traversal gives each pair of blocks to a task.
 
 Common shingles are found by counting all; a shingle counts as common with a share of 2**-20 of all occurrences, so their
-list holds at most 2**20 hashes. The order only moves work; links are complete for any order.
+list holds at most 2**20 hashes. The order and the first traversals only move work; links are complete for any of them.
 
 A null or empty text has no shingles, links with nothing and is its own component (by its doc_id; null if that is null).
 With fewer than n words the whole sequence is one shingle. Equal rows fall into one class. An empty table gives an empty
-result. Shingles are compared by 64-bit hashes. Only doc_id and text are read.
+result. Shingles are compared by 64-bit hashes. Only doc_id and text are read; keep_one passes all columns on, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, mix, shingle_hashes, slices, word_hashes
+from .common import as_bytes, forget, materialise, mix, shingle_hashes, slices, word_hashes
 
 COMMON_SHARE = 2.0**-20
+#: Share of all occurrences from which on a shingle's rows are spread over tasks before its trees are built.
+HOT_SHARE = 2.0**-17
 #: Classes of a group that one tree holds at most; larger groups are dealt in blocks of about so many.
 BLOCK = 512
 LEAF = 8
 BLOOM_BITS = 1 << 23
+#: Shared shingles of a class by which the first traversal meets it; pairs of one class that a task verifies at once.
+ROUTES, FAN = 4, 1024
+#: Further first traversals, of all open groups and between components, before the whole one.
+ROUNDS = 1
+#: Rows of a shingle that are compared by size alone before any tree is built.
+WIDE = 64
+#: Places of a bitmap a shingle: of those in the trees, and of those that a pair must pass before whole sets move.
+COARSE, FINE = 2, 8
 
 
 def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -54,29 +67,30 @@ def class_of(s: np.ndarray) -> int:
         return int(mix(np.array([total + np.uint64(s.size)], np.uint64)).view(np.int64)[0]) or 1
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each shingle in a bitmap as wide as the set (a power of two, 64 at least)."""
-    width = 1 << max(6, int(s.size - 1).bit_length())
+def bitmap(s: np.ndarray, times: int = 1) -> bytes:
+    """A bit for each shingle in a bitmap `times` as wide as the set (a power of two, 64 at least)."""
+    width = times << max(6, int(s.size - 1).bit_length())
     flags = np.zeros(width, dtype=bool)
     flags[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").tobytes()
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: doc_id, cls, size, sig of each row. kind 1: cls is a shingle that occurs often in a stretch of rows, size its number there. kind 2: size is the number of shingles of a stretch."""
+    """kind 0: doc_id, row_key (hash of the text), cls, size, sig of each row. kind 1: cls is a shingle that occurs often in a stretch of rows, size its number there. kind 2: size is the number of shingles of a stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=8 << 20):
                 sets = _sets(part, n)
-                rows = [(0, i, class_of(s), s.size, bitmap(s)) for i, s in zip(part["doc_id"].to_pylist(), sets)]
+                rows = [(0, i, k, class_of(s), s.size, bitmap(s, COARSE)) for i, k, s in zip(part["doc_id"].to_pylist(), part["row_key"].to_pylist(), sets)]
                 u, c = np.unique(np.concatenate(sets), return_counts=True)
-                rows += [(1, None, int(h), int(k), None) for h, k in zip(u[c >= 4].view(np.int64), c[c >= 4])]
-                rows.append((2, None, 0, sum(s.size for s in sets), None))
-                kinds = (pa.int32(), part["doc_id"].type, pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["kind", "doc_id", "cls", "size", "sig"])
+                rows += [(1, None, None, int(h), int(k), None) for h, k in zip(u[c >= 4].view(np.int64), c[c >= 4])]
+                rows.append((2, None, None, 0, sum(s.size for s in sets), None))
+                kinds = (pa.int32(), part["doc_id"].type, pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["kind", "doc_id", "row_key", "cls", "size", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, size long, sig binary")
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
+    return d.mapInArrow(run, f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key long, cls long, size long, sig binary")
 
 
 def prefix_length(size: int, pct: int) -> int:
@@ -84,12 +98,12 @@ def prefix_length(size: int, pct: int) -> int:
     return size - -(-size * pct // 100) + 1
 
 
-def prefixes(docs: DataFrame, n: int, pct: int, common: np.ndarray) -> DataFrame:
-    """token, cls, size, room (shingles from this one on, itself included): each row's prefix shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def prefixes(docs: DataFrame, n: int, pct: int, common: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """token, cls, size, room (shingles from this one on, itself included), often (the token is hot): each row's prefix shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast((common, hot))  # at most 1 / COMMON_SHARE hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, hottest = shared.value
         for batch in batches:
             for part in slices(batch):
                 sets = [s for s in _sets(part, n) if s.size]
@@ -107,15 +121,76 @@ def prefixes(docs: DataFrame, n: int, pct: int, common: np.ndarray) -> DataFrame
                     if cls not in seen:
                         seen.add(cls)
                         token = np.concatenate([s[~o], s[o]])[: prefix_length(s.size, pct)]
-                        out.append((token, np.full(token.size, cls), np.full(token.size, s.size), s.size - np.arange(token.size)))
-                token, cls, size, room = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(room, pa.int32())], ["token", "cls", "size", "room"])
+                        out.append((token, np.full(token.size, cls), np.full(token.size, s.size), s.size - np.arange(token.size), np.isin(token, hottest)))
+                if out:
+                    token, cls, size, room, common = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(room, pa.int32()), pa.array(common)], ["token", "cls", "size", "room", "often"])
+
+    return docs.select("text").mapInArrow(run, "token long, cls long, size int, room int, often boolean")
+
+
+def with_partner(rows: pa.RecordBatch, pct: int) -> np.ndarray:
+    """Of rows (token, cls, size, room, often, comp) by token, each (token, cls) once: which can be linked with a row of their token in another component, by size and room.
+
+    Common tokens' rows all stay, as do those of groups of more than WIDE rows, whose trees tell.
+    """
+    token, often, comp = (rows[c].to_numpy(zero_copy_only=False) for c in ("token", "often", "comp"))
+    size, room = (rows[c].to_numpy().astype(np.int64) for c in ("size", "room"))
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    begin = np.flatnonzero(new)
+    m = np.diff(np.append(begin, len(token)))
+    end = np.repeat(begin + m, m)
+    keep = often.astype(bool) | np.repeat(m > WIDE, m)
+    i = np.flatnonzero(np.repeat((m > 1) & (m <= WIDE), m))
+    for d in range(1, WIDE):
+        i = i[i + d < end[i]]
+        if not i.size:
+            break
+        j = i + d
+        ok = (comp[i] != comp[j]) & (100 * size[i] >= pct * size[j]) & (100 * size[j] >= pct * size[i]) & linkable(size[i], size[j], np.minimum(room[i], room[j]), pct)
+        keep[i[ok]] = keep[j[ok]] = True
+    return keep
+
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, size int, room int")
+def shared_tokens(tokens: DataFrame, pct: int) -> DataFrame:
+    """The rows of `tokens` (token, cls, size, room, often, comp), once each, that have a possible partner; common tokens' rows are spread by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, told = None, False  # the last group so far; told: it is a wide one, of which only the last row is held, and that is out already
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+            if not rows:
+                continue
+            token, cls = (rows[0][c].to_numpy() for c in ("token", "cls"))
+            rows = rows[0].filter(pa.array(np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])))
+            token = rows["token"].to_numpy()
+            last = int(np.searchsorted(token, token[-1]))
+            first = 0
+            if told:  # the rest of a wide group, as it is
+                first = int(np.searchsorted(token, token[0], "right"))
+                if first > 1:
+                    yield rows.slice(1, first - 1)
+                if first == len(token):
+                    held = rows.slice(first - 1)
+                    continue
+            told = len(token) - last > WIDE
+            if last > first:
+                done = rows.slice(first, last - first)
+                yield done.filter(pa.array(with_partner(done, pct)))
+            if told:
+                yield rows.slice(last)
+            held = rows.slice(len(token) - 1 if told else last)
+        if held is not None and not told:
+            yield held.filter(pa.array(with_partner(held, pct)))
+
+    spread = F.when(F.col("often"), F.pmod("cls", F.lit(64))).otherwise(F.lit(0))
+    by = tokens.withColumn("spread", spread).repartition("token", "spread").sortWithinPartitions("token", "spread", "cls")
+    by = by.select("token", "cls", "size", "room", "often", "comp")
+    return by.mapInArrow(run, "token long, cls long, size int, room int, often boolean, comp long")
 
 
 def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """cls, held (packed shingle hashes) of the classes that `wanted` (cls) names, once each, and some others that its Bloom bitmap lets pass."""
+    """cls, size, fine (a bitmap FINE times as wide as the set), held (packed shingle hashes) of the classes that `wanted` (cls) names, once each, and some others that its Bloom bitmap lets pass."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(BLOOM_BITS, dtype=bool)
@@ -138,32 +213,64 @@ def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                     cls = class_of(s)
                     if cls and flags[cls % BLOOM_BITS] and cls not in sent:
                         sent.add(cls)
-                        out.append((cls, s.tobytes()))
+                        out.append((cls, s.size, bitmap(s, FINE), s.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["cls", "held"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["cls", "size", "fine", "held"])
 
-    found = docs.select("text").mapInArrow(run, "cls long, held binary")
-    return found.groupBy("cls").agg(F.first("held").alias("held"))
+    found = docs.select("text").mapInArrow(run, "cls long, size int, fine binary, held binary")
+    return found.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("size", "fine", "held")))
 
 
 def verified(docs: DataFrame, n: int, pct: int, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = materialise(whole_sets(docs, n, wanted), "sets")
-    left, right = sets.withColumnsRenamed({"cls": "a", "held": "held_a"}), sets.withColumnsRenamed({"cls": "b", "held": "held_b"})
+    """The pairs (a, b) whose whole sets are linked. A set moves once a pair, to its partner with more pairs; one with many meets them in parts."""
+    ends = pairs.select(F.col("a").alias("e")).union(pairs.select("b")).groupBy("e").agg(F.count("*").alias("n"))
+    ends = materialise(ends, "ends")
+    known = pairs.join(ends.toDF("e_a", "n_a"), F.col("a") == F.col("e_a")).join(ends.toDF("e_b", "n_b"), F.col("b") == F.col("e_b"))
+    pairs = known.select(F.when(F.col("n_a") >= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("n_a") >= F.col("n_b"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    fans = pairs.groupBy(F.col("a").alias("f_a")).agg(F.ceil(F.count("*") / FAN).alias("fans"))
+    dealt = pairs.join(fans, F.col("a") == F.col("f_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("fans")).alias("fan"))
+    dealt = materialise(dealt, "dealt")
+    sets = materialise(whole_sets(docs, n, dealt.select(F.col("a").alias("cls")).union(dealt.select("b")).distinct()), "sets")
+
+    def possible(x: tuple, y: tuple) -> bool:
+        s, t = np.frombuffer(x[1], np.uint8), np.frombuffer(y[1], np.uint8)
+        width = min(s.size, t.size)
+        s, t = (np.bitwise_or.reduce(v.reshape(-1, width), axis=0) for v in (s, t))
+        bits = lambda v: int(np.bitwise_count(v.view(np.uint64)).sum())
+        return bool(linkable(x[0], y[0], overlap_bound(x[0], bits(s), y[0], bits(t), bits(s & t)), pct))
+
+    def linked(x: tuple, y: tuple) -> bool:
+        s, t = np.frombuffer(x[1], np.uint64), np.frombuffer(y[1], np.uint64)
+        same = int((s[np.minimum(np.searchsorted(s, t), s.size - 1)] == t).sum())
+        return 100 * same >= pct * (s.size + t.size - same)
+
+    near = materialise(_at_hub(dealt, sets.select("cls", "size", F.col("fine").alias("held")), possible), "possible")
+    found = materialise(_at_hub(near, sets.select("cls", "size", "held"), linked).select("a", "b"), "linked")
+    forget(ends, dealt, sets, near)
+    return found
+
+
+def _at_hub(pairs: DataFrame, sets: DataFrame, test: Callable[[tuple, tuple], bool]) -> DataFrame:
+    """The pairs (a, b, fan) that pass test((size, held) of a, of b); each a meets its b by fans."""
+    sent = pairs.select(F.col("a").alias("hub"), "fan", F.lit(1).alias("role"), F.col("b").alias("cls"))
+    sent = sent.unionByName(pairs.select(F.col("a").alias("hub"), "fan", F.lit(0).alias("role"), F.col("a").alias("cls")).distinct())
+    met = sent.join(sets.withColumnRenamed("cls", "s_cls"), F.col("cls") == F.col("s_cls")).select("hub", "fan", "role", "cls", "size", "held")
+    met = met.repartition("hub", "fan").sortWithinPartitions("hub", "fan", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch["held_a"].to_pylist(), batch["held_b"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= pct * (x.size + y.size - same))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
+            out = []
+            for hub, fan, role, cls, size, held in zip(*(batch[c].to_pylist() for c in ("hub", "fan", "role", "cls", "size")), batch["held"]):
+                y = (size, held.as_buffer())
+                if role == 0:
+                    x = (size, held.as_py())
+                elif test(x, y):
+                    out.append((hub, cls, fan))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "fan"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long, fan long")
 
 
 def overlap_bound(size_a, bits_a, size_b, bits_b, both):
@@ -257,7 +364,13 @@ def _folded(sigs: list[bytes], size: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sigs])
 
 
-def leaf_pairs(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest(first: np.ndarray, second: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Of pairs, for each `second` the one with the largest bound (of equal ones that with the smallest `first`)."""
+    order = np.lexsort((first, -bound, second))
+    return order[np.concatenate([[True], second[order][1:] != second[order][:-1]])] if order.size else order
+
+
+def leaf_pairs(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray, pct: int, near_only: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct candidate pairs of many groups of at most LEAF rows, trees of a single leaf each: all leaves are compared in one go."""
     size, room, cls, comp = (rows[c].to_numpy().astype(np.int64) for c in ("size", "room", "cls", "comp"))
     inside = np.repeat(begin, end - begin) + np.arange((end - begin).sum()) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin)
@@ -269,7 +382,9 @@ def leaf_pairs(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray, pct: in
     ok = (comp[i] != comp[j]) & (100 * size[i] >= pct * size[j]) & (100 * size[j] >= pct * size[i])
     ok &= linkable(size[i], size[j], np.minimum(room[i], room[j]), pct)
     i, j = i[ok], j[ok]
-    a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+    at = size - room  # shingles before this one: of a text and its altered copies the text has the fewest
+    later = (at[i] > at[j]) | ((at[i] == at[j]) & (cls[i] > cls[j]))
+    a, b = np.where(later, cls[j], cls[i]), np.where(later, cls[i], cls[j])
     order = np.lexsort((b, a))
     once = order[np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])] if order.size else order
     i, j, a, b = i[once], j[once], a[once], b[once]
@@ -277,7 +392,7 @@ def leaf_pairs(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray, pct: in
     sigs = rows["sig"].take(pa.array(used)).to_pylist()
     p, q = back[: i.size], back[i.size :]
     width = np.array([len(x) for x in sigs], dtype=np.int64)
-    keep = np.zeros(i.size, bool)
+    most = np.zeros(i.size, np.int64)
     for wide in {(int(x), int(y)) for x, y in zip(width[p], width[q])}:
         at = np.flatnonzero((width[p] == wide[0]) & (width[q] == wide[1]))
         for s in range(0, at.size, 4096):
@@ -285,14 +400,23 @@ def leaf_pairs(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray, pct: in
             x, y = (np.bitwise_or.reduce(np.frombuffer(b"".join([sigs[r] for r in side[k]]), np.uint8).reshape(k.size, -1, min(wide)), axis=1) for side in (p, q))
             bits = lambda m: np.bitwise_count(m).sum(1).astype(np.int64)
             m, n = size[i[k]], size[j[k]]
-            keep[k] = linkable(m, n, overlap_bound(m, bits(x), n, bits(y), bits(x & y)), pct)
+            most[k] = overlap_bound(m, bits(x), n, bits(y), bits(x & y))
+    keep = np.flatnonzero(linkable(size[i], size[j], most, pct))
+    if near_only:
+        keep = keep[nearest(a[keep], b[keep], most[keep])]
     return a[keep], b[keep]
 
 
-def tree_candidates(rows: DataFrame, pct: int) -> DataFrame:
-    """a, b: candidate pairs of the groups in rows (token, cls, size, room, comp, sig, m); m: classes in the group."""
+def tree_candidates(rows: DataFrame, pct: int, near_only: bool = False) -> DataFrame:
+    """a, b: candidate pairs of the groups in rows (token, cls, size, room, comp, sig, m); m: classes in the group.
+
+    near_only: b once a group, with the nearest class before it. There blocks are trees of their own, and rows with a
+    `block` belong to that block.
+    """
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    d = rows.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    d = rows.withColumn("block", F.coalesce("block", own) if "block" in rows.columns else own)
+    d = d.withColumn("other", F.col("block") if near_only else F.explode(F.sequence(F.lit(0), blocks - 1)))
     d = d.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "size", "room", "comp", "sig")
     d = d.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "size", "cls")
 
@@ -315,20 +439,29 @@ def tree_candidates(rows: DataFrame, pct: int) -> DataFrame:
             near, sig = near[order], sig[order]
             if x == y:
                 t = Tree(size[near], comp[near], room[near], sig)
-                i, j = tree_pairs(t, t, pct, True)
+                p, q = tree_pairs(t, t, pct, True)
+                sig_p = sig_q = sig
+                i, j = near[p], near[q]
             else:
                 left = block[near] == x
                 if left.all() or not left.any():
                     continue
-                p, q = near[left], near[~left]
-                i, j = tree_pairs(Tree(size[p], comp[p], room[p], sig[left]), Tree(size[q], comp[q], room[q], sig[~left]), pct, False)
-                found.append((cls[p[i]], cls[q[j]]))
-                continue
-            found.append((cls[near[i]], cls[near[j]]))
+                sig_p, sig_q = sig[left], sig[~left]
+                p, q = tree_pairs(Tree(size[near[left]], comp[near[left]], room[near[left]], sig_p), Tree(size[near[~left]], comp[near[~left]], room[near[~left]], sig_q), pct, False)
+                i, j = near[left][p], near[~left][q]
+            if near_only and i.size:
+                bits_p, bits_q = (np.bitwise_count(v).sum(1).astype(np.int64) for v in (sig_p, sig_q))
+                both = np.concatenate([np.bitwise_count(sig_p[p[k : k + 65536]] & sig_q[q[k : k + 65536]]).sum(1) for k in range(0, p.size, 65536)]).astype(np.int64)
+                bound = overlap_bound(size[i], bits_p[p], size[j], bits_q[q], both)
+                at = size - room
+                later = (at[i] > at[j]) | ((at[i] == at[j]) & (cls[i] > cls[j]))
+                i, j = np.where(later, j, i), np.where(later, i, j)
+                best = nearest(cls[i], j, bound)
+                i, j = i[best], j[best]
+            found.append((cls[i], cls[j]))
         if not found:
             return None
-        a, b = (np.concatenate(c) for c in zip(*found))
-        return np.minimum(a, b), np.maximum(a, b)
+        return tuple(np.concatenate(c) for c in zip(*found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
@@ -347,7 +480,7 @@ def tree_candidates(rows: DataFrame, pct: int) -> DataFrame:
             # neither the first nor the last, which can reach beyond this batch
             small = (e - s <= LEAF) & (keys[s, 1] == keys[s, 2]) & (s > 0) & (e < len(keys)) if len(keys) else np.zeros(len(s), bool)
             if small.any():
-                a, b = leaf_pairs(batch, s[small], e[small], pct)
+                a, b = leaf_pairs(batch, s[small], e[small], pct, near_only)
                 if a.size:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             for s, e in zip(s[~small].tolist(), e[~small].tolist()):
@@ -371,80 +504,72 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(seen, F.col("cls") == F.col("a")).select("cls", "comp", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("cls").alias("l_cls"), F.col("comp").alias("l_comp"))
         new = materialise(step.join(jump, F.col("low") == F.col("l_cls"), "left").select("cls", F.least("low", F.coalesce("l_comp", "low")).alias("comp"), F.col("comp").alias("old")), "labels")
-        if new.where("comp <> old").limit(1).count() == 0:
+        forget(labels)
+        if new.where("comp <> old").isEmpty():
+            forget(edges)
             return new.select("cls", "comp")
-        labels = new.select("cls", "comp")
+        labels = new
+
+
+def near_pairs(met: DataFrame, sigs: DataFrame, pct: int) -> DataFrame:
+    """a, b: each class b with the nearest class before it, in the groups of its ROUTES rarest shared shingles."""
+    first = met.withColumn("i", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("room"), "token"))).where(F.col("i") <= ROUTES)
+    routed = first.join(sigs.withColumnRenamed("cls", "g_cls"), F.col("cls") == F.col("g_cls")).select("token", "cls", "size", "room", F.col("cls").alias("comp"), "sig")
+    routed = materialise(routed, "routed")
+    # of a large group, dealt in blocks, the class with the fewest rare shingles before this one goes to every block
+    head = F.min(F.struct((F.col("size") - F.col("room")).alias("at"), "cls", "size", "room", "sig")).alias("head")
+    groups = materialise(routed.groupBy("token").agg(F.count("*").alias("m"), head).where("m > 1"), "groups")
+    rows = routed.join(groups.select(F.col("token").alias("g_token"), "m", F.col("head.cls").alias("h_cls")), F.col("token") == F.col("g_token"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    heads = groups.where(F.col("m") > BLOCK).select("token", *(F.col(f"head.{c}").alias(c) for c in ("cls", "size", "room")), F.col("head.cls").alias("comp"), F.col("head.sig").alias("sig"), "m", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    rows = rows.where((F.col("m") <= BLOCK) | (F.col("cls") != F.col("h_cls"))).select("token", "cls", "size", "room", "comp", "sig", "m", F.lit(None).cast("int").alias("block"))
+    found = materialise(tree_candidates(rows.unionByName(heads), pct, True), "near")
+    forget(routed, groups)
+    return found
 
 
 def links_of(docs: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, cls, size) and links between classes (a, b) that give all components: every linked pair is a link or joined by links."""
+    """Rows (doc_id, row_key, cls, size), and cls, comp of the classes that are linked with others."""
     found = materialise(classes(docs, n), "classes")
-    rows = found.where("kind = 0").select("doc_id", "cls", F.col("size"))
+    rows = found.where("kind = 0").select("doc_id", "row_key", "cls", "size")
     total = found.where("kind = 2").agg(F.sum("size")).first()[0] or 0
-    often = found.where("kind = 1").groupBy("cls").agg(F.sum("size").alias("n")).where(F.col("n") >= max(8, total * COMMON_SHARE)).select("cls")
-    common = np.sort(np.fromiter((r[0] for r in often.toLocalIterator()), np.int64).view(np.uint64))
-    tokens = prefixes(docs, n, pct, common)
-    # shingles of several classes; sums a task first
-    shared = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select(F.col("token").alias("s_token"))
-    shared = materialise(shared, "shared")
-    met = materialise(tokens.join(shared, F.col("token") == F.col("s_token")).select("token", "cls", "size", "room"), "met")
-    step = -np.log(pct / 100)
-    pivots = []
-    for shift in (0.0, 0.5):
-        band = F.floor(F.log("size") / F.lit(step) + shift)
-        banded = met.withColumn("band", band)
-        # the class with the fewest rare shingles before this one: of a text and its altered copies that is the text
-        head = F.min(F.struct((F.col("size") - F.col("room")).alias("at"), "cls", "size", "room")).alias("head")
-        heads = banded.groupBy("token", "band").agg(head, F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-        heads = heads.select(F.col("token").alias("h_token"), F.col("band").alias("h_band"), F.col("head.cls").alias("b"), F.col("head.size").alias("h_size"), F.col("head.room").alias("h_room"))
-        met_head = banded.join(materialise(heads, "heads"), (F.col("token") == F.col("h_token")) & (F.col("band") == F.col("h_band"))).where("cls <> b")
-        met_head = met_head.where(linkable(F.col("size"), F.col("h_size"), F.least("room", "h_room"), pct))
-        pivots.append(met_head.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")))
-    sigs = found.where("kind = 0 and cls <> 0").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("size").cast("int").alias("of"))
-    sigs = materialise(sigs, "sigs")
-    near = materialise(_possible(pivots[0].union(pivots[1]).distinct(), sigs, pct), "near")
-    links = materialise(verified(docs, n, pct, near), "links")
-    comps = components(links)
-    # what is left: shingles whose classes lie in several components
-    labelled = met.distinct().join(comps.withColumnsRenamed({"cls": "c_cls"}), F.col("cls") == F.col("c_cls"), "left").select("token", "cls", "size", "room", F.coalesce("comp", "cls").alias("comp"))
-    labelled = materialise(labelled, "labelled")
-    open_ = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select(F.col("token").alias("o_token"), "m")
-    rest = labelled.join(materialise(open_, "open"), F.col("token") == F.col("o_token")).select("token", "cls", "size", "room", "comp", "m")
-    rest = rest.join(sigs.select(F.col("cls").alias("g_cls"), "sig"), F.col("cls") == F.col("g_cls")).select("token", "cls", "size", "room", "comp", "sig", "m")
-    tried = near.withColumnsRenamed({"a": "t_a", "b": "t_b"})
-    left = tree_candidates(rest, pct).join(tried, (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
-    more = materialise(verified(docs, n, pct, materialise(left, "left")), "links")
-    return rows, links.union(more)
-
-
-def _possible(pairs: DataFrame, sigs: DataFrame, pct: int) -> DataFrame:
-    """Of pairs (a, b) those that the sizes and bitmaps allow."""
-    a, b = sigs.toDF("a", "sig_a", "of_a"), sigs.toDF("b", "sig_b", "of_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y, m, n in zip(*(batch[c].to_pylist() for c in ("sig_a", "sig_b", "of_a", "of_b"))):
-                s = _folded([x, y], None)
-                bits = np.bitwise_count(s).sum(1)
-                both = int(np.bitwise_count(s[0] & s[1]).sum())
-                ok.append(bool(linkable(m, n, overlap_bound(m, int(bits[0]), n, int(bits[1]), both), pct)))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
-
-    sized = pairs.join(a, "a").join(b, "b").where((100 * F.col("of_a") >= pct * F.col("of_b")) & (100 * F.col("of_b") >= pct * F.col("of_a")))
-    return sized.select("a", "b", "sig_a", "sig_b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    often = found.where("kind = 1").groupBy("cls").agg(F.sum("size").alias("n")).where(F.col("n") >= max(8, total * COMMON_SHARE))
+    held = [(r["cls"], r["n"]) for r in often.toLocalIterator()]
+    common = np.sort(np.array([h for h, _ in held], np.int64).view(np.uint64))
+    hot = np.sort(np.array([h for h, k in held if k >= max(WIDE, total * HOT_SHARE)], np.int64).view(np.uint64))
+    met = materialise(shared_tokens(prefixes(docs, n, pct, common, hot).withColumn("comp", F.col("cls")), pct), "met")
+    sigs = materialise(found.where("kind = 0 and cls <> 0").groupBy("cls").agg(F.first("sig").alias("sig")), "sigs")
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = near_pairs(met, sigs, pct)
+    links = verified(docs, n, pct, tried)
+    comps, tried = components(links), tried.select(*pair)
+    for near_only in [True] * ROUNDS + [False]:
+        # what is left: shingles whose classes lie in several components
+        labelled = met.drop("comp").join(comps.withColumnsRenamed({"cls": "c_cls"}), F.col("cls") == F.col("c_cls"), "left").withColumn("comp", F.coalesce("comp", "cls"))
+        rest = materialise(shared_tokens(labelled, pct), "rest")
+        open_ = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select(F.col("token").alias("o_token"), "m")
+        held = rest.join(open_, F.col("token") == F.col("o_token")).join(sigs.withColumnRenamed("cls", "g_cls"), F.col("cls") == F.col("g_cls")).select("token", "cls", "size", "room", "comp", "sig", "m")
+        found = tree_candidates(held, pct, near_only).select(*pair).distinct()
+        left = materialise(found.join(tried.toDF("t_a", "t_b"), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti"), "left")
+        forget(rest)
+        if left.isEmpty():
+            continue
+        new = verified(docs, n, pct, left)
+        links, tried = links.union(new), tried.union(left)
+        comps = components(links)
+    forget(met, sigs)
+    return rows, comps
 
 
 def _labelled_rows(docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """doc_id, n_shingles, cls of every row, head (smallest doc_id of its component) and comp of those with shingles."""
-    rows, links = links_of(docs, n, pct)
-    comps = components(links).withColumnsRenamed({"cls": "c_cls"})
+    """doc_id, row_key, n_shingles, cls of every row, head (smallest doc_id of its component) and comp of those with shingles."""
+    rows, comps = links_of(docs, n, pct)
+    comps = comps.withColumnsRenamed({"cls": "c_cls"})
     rows = rows.withColumnRenamed("size", "n_shingles")
     labelled = materialise(rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(comps, F.col("cls") == F.col("c_cls"), "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp")), "least")
     heads = labelled.groupBy(F.col("comp").alias("h_comp")).agg(F.min("least").alias("head"))
     named = materialise(labelled.join(materialise(heads, "heads"), F.col("comp") == F.col("h_comp")).select(F.col("cls").alias("n_cls"), "head", "comp"), "named")
-    return rows.join(named, F.col("cls") == F.col("n_cls"), "left").select("doc_id", "n_shingles", "cls", "head", "comp")
+    return rows.join(named, F.col("cls") == F.col("n_cls"), "left").select("doc_id", "row_key", "n_shingles", "cls", "head", "comp")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
@@ -452,29 +577,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     return _labelled_rows(docs, n, pct).select("doc_id", "n_shingles", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("head")).alias("component_id"), "cls")
 
 
-def _with_class(docs: DataFrame, n: int) -> DataFrame:
-    """docs with row_cls, the class of each row's text."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "row_cls long"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, most=8 << 20):
-                cls = pa.array([class_of(s) for s in _sets(part, n)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, cls], [*part.schema.names, "row_cls"])
-
-    return docs.mapInArrow(run, schema)
-
-
 def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """docs with one row of each component: that with the smallest doc_id (null ids last), then the smallest class, then the smallest text. Rows without shingles all stay."""
-    # each id and class of a component once, with its number of rows
-    keys = materialise(_labelled_rows(docs, n, pct).where("cls <> 0").groupBy("comp", "doc_id", "cls").agg(F.count("*").alias("m")), "keys")
-    best = keys.groupBy(F.col("comp").alias("b_comp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("best"))
-    chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("cls") == F.col("best.cls"))
-    marked = keys.join(best, F.col("comp") == F.col("b_comp")).select(F.col("doc_id").alias("k_id"), F.col("cls").alias("k_cls"), chosen.alias("chosen"), "m")
+    """docs with one row of each component: that with the smallest doc_id (null ids last), then the smallest class and hash of the text, then the smallest text and row.
+
+    Rows without shingles all stay. Texts move once, to meet the ids and hashes of the rows that go.
+    """
+    # each id and text of a component once, with its number of rows
+    keys = materialise(_labelled_rows(docs, n, pct).where("cls <> 0").groupBy("comp", "doc_id", "cls", "row_key").agg(F.count("*").alias("m")), "keys")
+    best = keys.groupBy(F.col("comp").alias("b_comp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "row_key")).alias("best"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
+    marked = keys.join(best, F.col("comp") == F.col("b_comp")).select(F.col("doc_id").alias("k_id"), F.col("row_key").alias("k_key"), chosen.alias("chosen"), "m")
     marks = materialise(marked.where("not chosen or m > 1"), "marks")
-    met = _with_class(docs, n).join(marks, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row_cls") == F.col("k_cls")), "left")
-    met = materialise(met.where("chosen is null or chosen").drop("k_id", "k_cls"), "met")
-    rows = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")
-    repeated = met.where("chosen").groupBy(F.col("doc_id").alias("k_id"), "row_cls").agg(rows).select("row.*")
-    return met.where("chosen is null").select(*docs.columns).unionByName(repeated)
+    forget(keys)
+    # the whole row is one column, so that no name of its own can clash
+    d = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_key"), F.struct("*").alias("row"))
+    same = F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_key") == F.col("k_key"))
+    if marks.where("chosen").isEmpty():
+        return d.join(marks, same, "left_anti").select("row.*")
+    met = materialise(d.join(marks, same, "left").where("chosen is null or chosen").select("d_id", "d_key", "row", "chosen"), "met")
+    row = F.col("row")
+    once = F.min_by(row, F.struct(row["text"], F.xxhash64("row"), F.to_json("row"))).alias("row")
+    repeated = met.where("chosen").groupBy("d_id", "d_key").agg(once).select("row.*")
+    return met.where("chosen is null").select("row.*").unionByName(repeated)
