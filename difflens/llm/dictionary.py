@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 CHUNK_BYTES = 2 << 20
 PACKED = "block long, bucket int, words binary, counts binary, tokens long"
 
