@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dictionary as dic
-from .common import forget, materialise, stable, stretch_hashes
+from .common import materialise, stable, stretch_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -368,8 +368,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_name: str = "doc_id") -> DataFram
     joints = pieces.joints()
     numbered = materialise(number_units(_packed_units(d, joints, buckets), buckets), "units")
     units = numbered.where("kind = 1").select("uid", "unit", "plain").repartition(buckets, "uid")
-    answers = materialise(_answers(numbered, encode_units(units, pieces), buckets), "answers")
-    forget(numbered)
+    answers = _answers(numbered, encode_units(units, pieces), buckets)
     newline = pieces.byte_ids[10]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
