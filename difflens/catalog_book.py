@@ -244,9 +244,9 @@ def se2_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- notes, progress, evaluation (FR-*, TX-*, AG-*, ST-*)
 
 
-@query("select doc_id as unit, case when doc_id % 3 = 0 then 'running' when doc_id % 4 = 1 then 'failed' when doc_id % 4 = 2 then 'done' else 'failed' end as status from documents where doc_id % 4 > 0")
+@query("select doc_id as unit, case when doc_id % 3 = 0 then 'running' when doc_id % 4 = 1 then 'failed' when doc_id % 4 = 3 then 'failed' else 'done' end as status from documents")
 def fr11_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus.table(spark, sf_dir, "documents").where("doc_id % 4 > 0").select(F.col("doc_id").alias("unit"), F.when(F.col("doc_id") % 4 == 1, "running").when(F.col("doc_id") % 4 == 2, "done").otherwise("failed").alias("status"))
+    d = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.when(F.col("doc_id") % 4 == 1, "running").when(F.col("doc_id") % 4 == 3, "failed").otherwise("done").alias("status"))
     return freshness.orphans(d, d.where("unit % 3 = 0"))
 
 
