@@ -93,7 +93,7 @@ def sc1_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""select page_id, case when page_id % 2 = 0 then 'https://h/x/pull/' || page_id || '/files' end as files_url, array_to_string(list_filter([case when page_id % 3 = 0 then 'a' end, case when page_id % 5 = 0 then 'b' end, 'c'], lambda x: x is not null), '/') as plain,
-case when length(f) > 42 then substr(f, 1, 42) || '…' else f end as preview, cast(ceil(length(html) / 4) as bigint) as tokens from (select *, trim(regexp_replace(substr(html, 1, 200), '\s+', ' ', 'g')) as f from pages)""")
+case when length(f) > 42 then substr(f, 1, 42) || '…' else f end as preview, cast(ceil(length(html) / 4) as bigint) as tokens from (select *, trim(regexp_replace(html, '\s+', ' ', 'g')) as f from pages)""")
 def sc_links_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO-9, SC-11, SC-16, SC-18."""
     d, i = corpus.table(spark, sf_dir, "pages"), F.col("page_id")
@@ -164,7 +164,7 @@ def ch14_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.coverage(chunking.changed_lines(corpus.hunks(spark, sf_dir)), _owned(spark, sf_dir))
 
 
-@query("select f.range_id, count(*) as expected, count(*) as covered, true as ok from c_hunk_lines join c_files f using (doc_id) group by f.range_id")
+@query("select range_id, count(*) as expected, count(*) filter (owners = 1) as covered, bool_and(coalesce(owners = 1, false)) as ok from c_hunk_lines join c_files using (doc_id) left join (select doc_id, line_no, count(*) as owners from (select doc_id, unnest(range(start, start + count)) as line_no from c_parts where count > 0) group by all) o using (doc_id, line_no) group by range_id")
 def ch14_coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the parts of every range own each changed line exactly once."""
     h = corpus.hunks(spark, sf_dir)
@@ -497,4 +497,4 @@ def io1_diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_diff(_diff_texts(spark, sf_dir))[1].groupBy("range_id").agg(F.count("*").alias("hunks"), F.sum("head_count").alias("head_lines"), F.sum("base_count").alias("base_lines"))
 
 
-from difflens import catalog_book, catalog_items  # noqa: E402,F401  register their queries here
+from difflens import catalog_book, catalog_items, catalog_story, catalog_work  # noqa: E402,F401  register their queries here

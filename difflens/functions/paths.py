@@ -70,7 +70,7 @@ def generated_reason(path: Column, head: Column) -> Column:
         (name.endswith("modelsnapshot.cs"), "migration snapshot"),
         (name.rlike(r"\.(g|generated|designer)\.(cs|ts|js)$"), "generated"),
         (name.rlike(r"\.min\.(js|mjs|css)$|\.map$"), "minified"),
-        (name.endswith(".snap") | path.contains("__snapshots__/"), "snapshot"),
+        (name.endswith(".snap") | path.rlike("(^|/)__snapshots__/"), "snapshot"),
         (name.endswith(".po") & ~name.rlike(r"^en([-_][a-z0-9]+)?\.po$"), "translations"),
         (F.lower(dirname(path)).rlike(r"(^|[-_./])generated([-_./]|$)"), "generated"),
         (F.lower(head).rlike(r"<auto-generated|@generated|\bgenerated by\b|do not edit"), "generated"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases that a generated note may not hold, placeholder badges, and the caps by kind (characters, sentences).
@@ -13,12 +13,23 @@ MOST_WORDS = 22
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the characters, in base 36."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda c: F.ascii(c).cast("bigint"))
-    h = F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")))
+    """32-bit FNV-1a over the UTF-16 code units, in base 36."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("bigint"))
+    h = F.aggregate(units, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")))
     return F.lower(F.conv(h.cast("string"), 10, 36))
 
 
+def salvage(texts: DataFrame) -> DataFrame:
+    """section, kept (keys of passing texts, in order), dropped (`key: checks`, in order). texts: section, seq, key, failures.
+
+    A text fails alone: the section keeps its other ones.
+    """
+    bad = F.concat("key", F.lit(": "), F.array_join("failures", ","))
+    rows = F.array_sort(F.collect_list(F.struct("seq", "key", F.when(F.size("failures") > 0, bad).alias("bad"))))
+    g = texts.groupBy("section").agg(rows.alias("rows"))
+    return g.select("section", F.transform(F.filter("rows", lambda r: r["bad"].isNull()), lambda r: r["key"]).alias("kept"), F.transform(F.filter("rows", lambda r: r["bad"].isNotNull()), lambda r: r["bad"]).alias("dropped"))
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
 

@@ -36,6 +36,39 @@ def parts(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     return joined.select("doc_id", "hunk_no", "part_no", "sym_id", "sym_kind", "start", "count", F.when(F.col("part_no") == 1, F.col("all_other")).otherwise(0).alias("other_count"))
 
 
+def split_oversize(hunks: DataFrame, lines: DataFrame, cap: int = 40, reach: int = 8) -> DataFrame:
+    """doc_id, hunk_no, piece_no, start, count, other_count: hunks of more than cap lines in pieces of at most cap.
+
+    A piece ends after the last blank line among its last `reach` ones, else after the last that ends a statement, else at the cap.
+    The other side's lines stay with the first piece. lines: doc_id, line_no, text.
+    """
+    small = hunks.where(F.col("count") <= cap).select("doc_id", "hunk_no", F.lit(1).alias("piece_no"), "start", "count", "other_count")
+    flag = F.when(~F.col("text").rlike(r"\S"), 2).when(F.col("text").rlike(r"[;{}]\s*$"), 1).otherwise(0)
+    held = changed_lines(hunks.where(F.col("count") > cap)).join(lines, ["doc_id", "line_no"]).select("doc_id", "hunk_no", "line_no", flag.alias("flag"))
+    g = held.groupBy("doc_id", "hunk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "flag"))), lambda r: r["flag"]).alias("flags"))
+    n = F.size("flags")
+
+    def step(acc, _):
+        ideal = acc["at"] + cap
+        cuts = F.sequence(ideal, F.greatest(F.least(acc["at"] + 2, ideal), ideal - reach + 1), F.lit(-1))
+        ends = lambda f: F.get(F.filter(cuts, lambda c: F.get("flags", c - 1) == f), F.lit(0))
+        to = F.when(ideal >= n, n).otherwise(F.coalesce(ends(2), ends(1), ideal))
+        grown = F.array_append(acc["out"], F.struct(acc["at"].alias("from"), to.alias("to")))
+        return F.when(acc["at"] >= n, acc).otherwise(F.struct(to.alias("at"), grown.alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out"))
+    rounds = F.sequence(F.lit(1), F.ceil(n / max(cap - reach + 1, 1)).cast("int"))
+    cut = g.select("doc_id", "hunk_no", F.posexplode(F.aggregate(rounds, start, step, lambda acc: acc["out"])).alias("i", "p"))
+    j = cut.join(hunks.select("doc_id", "hunk_no", F.col("start").alias("top"), "other_count"), ["doc_id", "hunk_no"])
+    other = F.when(F.col("i") == 0, F.col("other_count")).otherwise(0)
+    return small.unionByName(j.select("doc_id", "hunk_no", (F.col("i") + 1).alias("piece_no"), (F.col("top") + F.col("p.from")).alias("start"), (F.col("p.to") - F.col("p.from")).alias("count"), other.alias("other_count")))
+
+
+def fragment_label(bucket: Column, n_buckets: Column) -> Column:
+    """`fragment N` of a symbol in several buckets, else null."""
+    return F.when(n_buckets > 1, F.concat(F.lit("fragment "), (bucket + 1).cast("string")))
+
+
 def bucketize(weights: Column, cap: int) -> Column:
     """Bucket number of each weight: filled in order up to cap, a new one where the next doesn't fit."""
     none = F.array().cast("array<int>")

@@ -44,11 +44,10 @@ def neighbors(edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """range_id, src, dst: all pairs with a path: each round takes the newest pairs one edge further, until none is new."""
-    reach = _cut(edges.where("src <> dst").select(*KEYS).distinct())
-    fresh = reach
-    step = reach.select("range_id", F.col("src").alias("dst"), F.col("dst").alias("far"))
+    """range_id, src, dst: all pairs with a path. Each round joins the newest pairs to all known ones, so lengths double and rounds grow with the logarithm of the longest shortest path."""
+    reach = fresh = _cut(edges.where("src <> dst").select(*KEYS).distinct())
     while True:
+        step = reach.select("range_id", F.col("src").alias("dst"), F.col("dst").alias("far"))
         longer = fresh.join(step, ["range_id", "dst"]).select("range_id", "src", F.col("far").alias("dst")).distinct()
         fresh = _cut(longer.join(reach, KEYS, "left_anti"))
         if fresh.isEmpty():
@@ -63,6 +62,24 @@ def cycles(reach: DataFrame) -> DataFrame:
     return both.groupBy("range_id", F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("scc"))
 
 
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """range_id, node, component: the smallest node that edges lead to in either direction. nodes: range_id, node.
+
+    Each round takes the least label around and then that label's own, so that long paths need few rounds.
+    """
+    e = edges.where("src <> dst")
+    both = _cut(e.select("range_id", F.col("src").alias("node"), F.col("dst").alias("other")).union(e.select("range_id", "dst", "src")).distinct())
+    label = _cut(nodes.select("range_id", "node", F.col("node").alias("component")).distinct())
+    while True:
+        near = both.join(label, ["range_id", "node"]).groupBy("range_id", F.col("other").alias("node")).agg(F.min("component").alias("near"))
+        least = label.join(near, ["range_id", "node"], "left").select("range_id", "node", "component", F.least("component", "near").alias("to"))
+        root = label.select("range_id", F.col("node").alias("to"), F.col("component").alias("root"))
+        new = _cut(least.join(root, ["range_id", "to"]).select("range_id", "node", "component", F.least("to", "root").alias("new")))
+        label = new.select("range_id", "node", F.col("new").alias("component"))
+        if new.where("new <> component").isEmpty():
+            return label
+
+
 def source_cycles(edges: DataFrame, sccs: DataFrame) -> DataFrame:
     """range_id, scc, first_node: cycles that no edge enters from outside, with their earliest node."""
     e = edges.where("src <> dst").select(*KEYS).distinct()

@@ -11,11 +11,26 @@ from difflens.functions import paths
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".svelte")
 
 
+#: What import statements look like.
+FROM, SIDE_EFFECT = r"\bfrom\s*['\"]([^'\"]+)['\"]", r"(?:^|[\n;])\s*import\s*['\"]([^'\"]+)['\"]"
+SCRIPT = r"<script[^>]*>([\s\S]*?)</script>"
+USING, NAMESPACE = r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?([A-Za-z_][A-Za-z0-9_.]*)\s*;", r"(?m)^\s*namespace\s+([A-Za-z_][A-Za-z0-9_.]*)\s*[;{]"
+MODULES = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts")
+
+
 def extract(sources: DataFrame) -> DataFrame:
-    """range_id, path, specifier: of `from '…'` and `import '…'` in sources (range_id, path, text)."""
-    code = sources.where(F.col("path").rlike(paths.CODE_EXTENSION))
-    found = F.concat(F.regexp_extract_all("text", F.lit(r"from\s+['\"]([^'\"]+)['\"]"), F.lit(1)), F.regexp_extract_all("text", F.lit(r"import\s+['\"]([^'\"]+)['\"]"), F.lit(1)))
-    return code.select("range_id", "path", F.explode(found).alias("specifier"))
+    """range_id, path, kind (specifier or namespace), specifier: what sources (range_id, path, text) import or declare, copies included.
+
+    Modules: `from '…'` and `import '…'`; Svelte: the same within its scripts; C#: `using`, and the namespaces it declares; other files: nothing.
+    """
+    every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    kind, text = paths.extension(F.col("path")), F.col("text")
+    code = F.when(kind == "svelte", F.array_join(every(text, SCRIPT), "\n")).otherwise(text)
+    tagged = lambda names, tag: F.transform(names, lambda s: F.struct(F.lit(tag).alias("kind"), s.alias("specifier")))
+    module = tagged(F.concat(every(code, FROM), every(code, SIDE_EFFECT)), "specifier")
+    sharp = F.concat(tagged(every(text, USING), "specifier"), tagged(every(text, NAMESPACE), "namespace"))
+    found = F.when(kind == "cs", sharp).when(kind.isin("svelte", *MODULES), module)
+    return sources.select("range_id", "path", F.explode(found).alias("s")).select("range_id", "path", "s.*")
 
 
 def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
