@@ -146,7 +146,7 @@ def ch5_symbol_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ch7_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CH-6, 7, 8: greedy buckets of at most four lines; tests compare it with a loop."""
+    """CH-7: greedy buckets of at most four lines; tests compare it with a loop too."""
     return chunking.chunks(chunking.parts(corpus.hunks(spark, sf_dir), corpus.symbols(spark, sf_dir)), cap=4)
 
 
@@ -230,7 +230,7 @@ def jn6_import_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select range_id, src, dst, kind, min(source) as source, count(*) as n_ranges from (select range_id, src, dst, kind, source_ as source, g from (select *, line - row_number() over (partition by range_id, src, dst, kind order by line) as g, min(source) over (partition by range_id, src, dst, kind) as source_ from (select range_id, src, dst, kind, line, min(source) as source from c_edges where src <> dst group by all)) group by all) group by range_id, src, dst, kind""")
 def gr1_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GR-1, 2, 12."""
+    """GR-1, 2."""
     return graph.assemble(corpus.edges(spark, sf_dir))
 
 
@@ -257,7 +257,7 @@ def gr7_source_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select e.range_id, e.src, e.dst, case when r.src is null then 'inversion' else 'cycle' end as category from c_dist e left join c_reach r on r.range_id = e.range_id and r.src = e.dst and r.dst = e.src where e.src < e.dst")
 def or12_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OR-12, 13."""
+    """OR-12."""
     e = corpus.edges(spark, sf_dir)
     return graph.order_check(e, graph.closure(e))
 
@@ -404,7 +404,7 @@ def ag12_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select range_id, median(1 + doc_id % 5) as register, median(1 + doc_id // 5 % 5) as orientation, min(3 + quality + 1 - toxic) as faithfulness, median(1 + doc_id % 5) >= 4 and median(1 + doc_id // 5 % 5) >= 4 and min(3 + quality + 1 - toxic) >= 4 as passed from (select *, doc_id // 40 as range_id from labels) group by range_id")
 def ag15_judge_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-15, 16."""
+    """AG-15."""
     d = corpus.table(spark, sf_dir, "labels")
     d = d.select(F.floor(F.col("doc_id") / 40).alias("range_id"), (1 + F.col("doc_id") % 5).alias("register"), (1 + F.floor(F.col("doc_id") / 5) % 5).alias("orientation"), (4 + F.col("quality") - F.col("toxic")).alias("faithfulness"))
     return evaluation.judge_gate(d, "range_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from difflens.catalog import FIXTURE, query
-from difflens.operators import book, story
+from difflens.operators import book, graph, story
 from difflens.sources import corpus
 
 
@@ -187,3 +187,13 @@ def or3_test_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd, tests = F.col("src") % 2 == 1, _nodes(e).where("chunk % 2 = 1").select("range_id", F.col("chunk").alias("test"), "git_rank")
     own = e.where(odd & (F.col("kind") == "exercises") & (F.col("dst") % 2 == 0)).groupBy("range_id", F.col("src").alias("test")).agg(F.min("dst").alias("anchor"))
     return story.test_block(tests, own, e.where(odd & (F.col("kind") == "file-imports") & (F.col("dst") % 2 == 1)))
+
+
+FIXTURE |= _layers("o1", "select range_id, dst as a, src as b from c_dist")
+
+
+@query("select range_id, node, row_number() over (partition by range_id order by depth, node) as position from o1_depth")
+def or1_dependency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OR-1: what is depended on first, by depth over the condensed graph, then by number."""
+    e = corpus.edges(spark, sf_dir)
+    return graph.dependency_order(e, graph.depth(e, graph.cycles(graph.closure(e))))

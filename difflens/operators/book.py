@@ -100,3 +100,67 @@ def partition_check(keys: DataFrame, chapters_: DataFrame) -> DataFrame:
 def ai_line(*texts: Column) -> Column:
     """The first that isn't blank."""
     return F.coalesce(*(F.nullif(F.trim(t), F.lit("")) for t in texts))
+
+
+def _joined(rows: DataFrame, keys: list[str], order: list[str], line: str, sep: str) -> DataFrame:
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, line))).alias("rows"))
+    return g.select(*keys, F.array_join(F.transform("rows", lambda r: r[line]), sep).alias("text"))
+
+
+def order_manifest(sections: DataFrame, chunks: DataFrame, imports: DataFrame) -> DataFrame:
+    """range_id, text, tokens: a block a story section (key, role, imports of other story sections, chunk lines), then how many sections are pinned.
+
+    sections: range_id, path, role, pos, pinned; chunks: range_id, path, pos, title, kind, lines, stub; imports: range_id, src, dst.
+    """
+    story = sections.where(~F.col("pinned"))
+    end = lambda c: story.select("range_id", F.col("path").alias(c))
+    into = imports.where("src <> dst").join(end("src"), ["range_id", "src"], "left_semi").join(end("dst"), ["range_id", "dst"], "left_semi")
+    into = into.groupBy("range_id", F.col("src").alias("path")).agg(F.concat(F.lit(" imports: "), F.array_join(F.array_sort(F.collect_set("dst")), ", ")).alias("into"))
+    line = F.concat(F.lit("  - "), "title", F.lit(" ("), "kind", F.lit(", ~"), F.col("lines").cast("string"), F.lit(" lines)"), F.coalesce(F.concat(F.lit(" [stub: "), "stub", F.lit("]")), F.lit("")))
+    listed = _joined(chunks.select("range_id", "path", "pos", line.alias("line")), ["range_id", "path"], ["pos"], "line", "\n").withColumnRenamed("text", "lines")
+    d = story.join(into, ["range_id", "path"], "left").join(listed, ["range_id", "path"], "left")
+    block = F.concat_ws("\n", F.concat("path", F.lit(" ["), "role", F.lit("]"), F.coalesce("into", F.lit(""))), "lines")
+    n = F.count_if("pinned")
+    tail = sections.groupBy("range_id").agg(F.concat(n.cast("string"), F.lit(" pinned tail section"), F.when(n == 1, "").otherwise("s"), F.lit(" (not reorderable)")).alias("tail"))
+    g = _joined(d.select("range_id", "pos", block.alias("block")), ["range_id"], ["pos"], "block", "\n\n")
+    whole = tail.join(g, "range_id", "left").select("range_id", F.concat_ws("\n\n", "text", "tail").alias("text"))
+    return whole.withColumn("tokens", F.ceil(F.length("text") / 4))
+
+
+#: Fixed value: the last line of a chunk manifest.
+REGROUP = "The grouping above is a starting point; regroup and reorder the chunks into chapters."
+
+
+def chunk_manifest(chunks: DataFrame, calls: DataFrame) -> DataFrame:
+    """range_id, text: chunks in order, calls with their first line (0 if unknown), chapters by number.
+
+    chunks: range_id, chunk, pos, chapter, title, kind, lines, path; calls: range_id, src, dst, line.
+    """
+    s = lambda c: F.col(c).cast("string")
+    line = F.concat(s("chunk"), F.lit(" — "), "title", F.lit(" ("), "kind", F.lit(", ~"), s("lines"), F.lit(" lines) ["), "path", F.lit("]"))
+    first = _joined(chunks.select("range_id", "pos", line.alias("line")), ["range_id"], ["pos"], "line", "\n").withColumnRenamed("text", "listed")
+    call = F.concat(s("src"), F.lit(" -> "), s("dst"), F.lit(" (line "), F.coalesce(s("line"), F.lit("0")), F.lit(")"))
+    said = _joined(calls.where("src <> dst").select("range_id", "src", "dst", call.alias("call")), ["range_id"], ["src", "dst"], "call", "\n").withColumnRenamed("text", "said")
+    parts = _joined(chunks.select("range_id", "chapter", "pos", s("chunk").alias("id")), ["range_id", "chapter"], ["pos"], "id", ", ")
+    numbered = _joined(parts.select("range_id", "chapter", F.concat(s("chapter"), F.lit(". "), "text").alias("line")), ["range_id"], ["chapter"], "line", "\n").withColumnRenamed("text", "numbered")
+    j = first.join(numbered, "range_id").join(said, "range_id", "left")
+    return j.select("range_id", F.concat_ws("\n\n", "listed", F.concat(F.lit("calls:\n"), F.coalesce("said", F.lit("(none)"))), "numbered", F.lit(REGROUP)).alias("text"))
+
+
+def prompt_inputs(sections: DataFrame, chunks: DataFrame, definitions: DataFrame, cap: int) -> DataFrame:
+    """section, text: header, then each chunk's facts with its diff while the section's texts up to it hold at most cap tokens of four characters, else a marker; then definitions, each (path, name) once.
+
+    sections: section, role, imports, imported_by (arrays); chunks: section, pos, id, title, kind, lines, diff; definitions: section, pos, path, name, body.
+    """
+    list_ = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
+    header = F.concat_ws("\n", F.concat("section", F.lit(" ["), "role", F.lit("]")), list_("imports: ", "imports"), list_("imported by: ", "imported_by"))
+    heads = sections.select("section", header.alias("header"))
+    meta = F.concat(F.lit("chunk "), "id", F.lit("\n  "), "title", F.lit(" ("), "kind", F.lit(", ~"), F.col("lines").cast("string"), F.lit(" lines)"))
+    upto = F.sum(F.length("meta") + F.length("diff")).over(Window.partitionBy("section").orderBy("pos"))
+    c = chunks.withColumn("meta", meta).withColumn("kept", upto <= 4 * cap)
+    shown = F.when(~F.col("kept"), "  (diff omitted — over token budget)").when(F.col("diff") == "", "  (no diff content available)").otherwise(F.col("diff"))
+    blocks = _joined(c.select("section", "pos", F.concat_ws("\n", "meta", shown).alias("block")), ["section"], ["pos"], "block", "\n\n").withColumnRenamed("text", "blocks")
+    once = definitions.groupBy("section", "path", "name").agg(F.min_by("body", "pos").alias("body"), F.min("pos").alias("pos"))
+    said = _joined(once.select("section", "pos", F.concat("name", F.lit(" — "), "path", F.lit("\n"), "body").alias("line")), ["section"], ["pos"], "line", "\n\n")
+    said = said.select("section", F.concat(F.lit("context — not part of the diff\n\n"), "text").alias("said"))
+    return heads.join(blocks, "section", "left").join(said, "section", "left").select("section", F.concat_ws("\n\n", "header", "blocks", "said").alias("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from difflens.functions import text
+
 
 def section_progress(chunks: DataFrame) -> DataFrame:
     """section, done, total, status of chunks (section, reviewed)."""
@@ -97,3 +99,43 @@ def label_precision(labels: DataFrame, group: str, gate: float = 0.9) -> DataFra
     """group, n, precision, passed. labels: relevant."""
     g = labels.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(F.col("relevant").cast("double")), 6).alias("precision"))
     return g.withColumn("passed", F.col("precision") >= gate)
+
+
+def deferral_clusters(deferrals: DataFrame) -> DataFrame:
+    """key, deferred (distinct chunks), ready, answering, failed, arriving, text. deferrals: key, chunk_id, inline, ai, status; inline ones count only as arriving."""
+    out, open_ = ~F.col("inline"), F.col("ai") & ~F.coalesce(F.col("status").isin("done", "failed"), F.lit(False))
+    status = lambda s: F.coalesce(F.col("status") == s, F.lit(False))
+    g = deferrals.groupBy("key").agg(
+        F.count_distinct(F.when(out, F.col("chunk_id"))).alias("deferred"), F.count_if(out & F.col("ai") & status("done")).alias("ready"), F.count_if(out & open_).alias("answering"),
+        F.count_if(out & F.col("ai") & status("failed")).alias("failed"), F.count_if(open_).alias("arriving"),
+    )
+    n = lambda c: F.col(c).cast("string")
+    ready = F.concat(F.lit(" · "), n("ready"), F.when(F.col("ready") == 1, " answer ready").otherwise(" answers ready"))
+    wait = F.concat(F.lit(" · "), n("answering"), F.lit(" answering"))
+    tail = F.when(F.col("ready") > 0, ready).when((F.col("failed") == 0) & (F.col("answering") > 0), wait).otherwise("")
+    bad = F.when(F.col("failed") > 0, F.concat(F.lit(" · "), n("failed"), F.lit(" failed"))).otherwise("")
+    return g.withColumn("text", F.when(F.col("deferred") > 0, F.concat(n("deferred"), F.lit(" deferred"), tail, bad)).otherwise(""))
+
+
+def deferred_chunks(deferrals: DataFrame) -> DataFrame:
+    """key, chunk_id, place (in order of first appearance), n, first_range (the first that any has). deferrals: key, seq, chunk_id, inline, line_range."""
+    g = deferrals.where(~F.col("inline")).groupBy("key", "chunk_id").agg(F.min("seq").alias("first"), F.count("*").alias("n"), F.min_by("line_range", F.when(F.col("line_range").isNotNull(), F.col("seq"))).alias("first_range"))
+    return g.select("key", "chunk_id", F.row_number().over(Window.partitionBy("key").orderBy("first")).alias("place"), "n", "first_range")
+
+
+def label_eval(entries: DataFrame, live: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, narrated, missing, stale, gate_failures, judged, invalid, register, grounding (medians), flags, floor_met.
+
+    entries: keys, id, badge, line, fingerprint (those without either text don't count); live: id, expected; results: id, register, grounding, faithfulness (all null if the judge's answer was none).
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    e = entries.where(~(blank("badge") & blank("line"))).join(live, "id", "left").join(results.withColumn("answered", F.lit(True)), "id", "left")
+    missing, narrated = F.col("expected").isNull(), F.coalesce(F.col("fingerprint") == F.col("expected"), F.lit(False))
+    checks = F.when(blank("line"), 0).otherwise((F.size(text.register_failures(F.col("line"), F.lit("chunk"))) > 0).cast("int")) + F.when(blank("badge"), 0).otherwise((F.size(text.badge_failures(F.col("badge"))) > 0).cast("int"))
+    judged = narrated & F.col("register").isNotNull()
+    g = e.groupBy(*keys).agg(
+        F.count_if(narrated).alias("narrated"), F.count_if(missing).alias("missing"), F.count_if(~missing & ~narrated).alias("stale"), F.sum(F.when(narrated, checks).otherwise(0)).alias("gate_failures"),
+        F.count_if(judged).alias("judged"), F.count_if(narrated & F.col("answered") & F.col("register").isNull()).alias("invalid"), F.median(F.when(judged, F.col("register"))).alias("register"),
+        F.median(F.when(judged, F.col("grounding"))).alias("grounding"), F.count_if(judged & (F.col("faithfulness") == "FLAG")).alias("flags"),
+    )
+    return g.withColumn("floor_met", (F.col("flags") == 0) & (F.col("judged") > 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,24 @@ def orphans(jobs: DataFrame, active: DataFrame) -> DataFrame:
     """unit, status: stored `running` without an active unit is failed; an active unit is running whatever is stored."""
     on = active.select("unit").distinct().withColumn("on", F.lit(True))
     return jobs.join(on, "unit", "left").select("unit", F.when(F.col("on"), "running").when(F.col("status") == "running", "failed").otherwise(F.col("status")).alias("status"))
+
+
+def fill_counters(units: DataFrame) -> DataFrame:
+    """range_id, total, done, computed, skipped, capped, capped_count of units (range_id, pos, outcome: fresh, ok, error, full).
+
+    Units are taken in order: fresh ones are skipped, errors leave theirs undone, and the first that finds the store full ends the run.
+    """
+    ended = F.min(F.when(F.col("outcome") == "full", F.col("pos"))).over(Window.partitionBy("range_id"))
+    ran = F.col("ended").isNull() | (F.col("pos") < F.col("ended"))
+    count = lambda *o: F.count_if(F.col("outcome").isin(*o) & ran)
+    g = units.withColumn("ended", ended).groupBy("range_id").agg(F.count("*").alias("total"), count("fresh", "ok").alias("done"), count("ok").alias("computed"), count("fresh").alias("skipped"), F.bool_or(F.col("ended").isNotNull()).alias("capped"))
+    return g.withColumn("capped_count", F.when(F.col("capped"), F.col("total") - F.col("done")).otherwise(0))
+
+
+def narratable_sections(chunks: DataFrame) -> DataFrame:
+    """section, narratable: not the leftovers, and not of low-signal chunks alone. chunks: section, leftover, low_signal."""
+    return chunks.groupBy("section").agg((~F.bool_or("leftover") & ~F.bool_and("low_signal")).alias("narratable"))
+
+
+def auto_run(enabled: Column, fresh_overlay: Column, in_flight: Column, failed: Column) -> Column:
+    return enabled & ~fresh_overlay & ~in_flight & ~failed

@@ -60,3 +60,15 @@ def order_decision(overlay: Column, applied: Column, dismissed: Column, started:
 def glyph_class(state: Column, auto_read: Column) -> Column:
     held = F.coalesce(state, F.lit("unseen"))
     return F.when(F.coalesce(auto_read, F.lit(False)) & (held != "reviewed"), "auto").otherwise(held)
+
+
+#: The settings of a story and the pair that selects file mode.
+DIRECTIONS, PLACEMENTS, FILE_MODE = ("consumer-first", "dependency-first"), ("before", "after", "end"), "dependency-first/after"
+
+
+def story_config(raw: Column, base_direction: Column, base_placement: Column) -> Column:
+    """direction, placement, key, file_mode of a JSON text over a base; values that aren't known leave the base's."""
+    told = lambda path, known, base: F.when(F.get_json_object(raw, path).isin(*known), F.get_json_object(raw, path)).otherwise(base)
+    direction, placement = told("$.direction", DIRECTIONS, base_direction), told("$.testPlacement", PLACEMENTS, base_placement)
+    key = F.concat_ws("/", direction, placement)
+    return F.struct(direction.alias("direction"), placement.alias("placement"), key.alias("key"), (key == FILE_MODE).alias("file_mode"))

@@ -59,3 +59,29 @@ def book_text(rows: DataFrame, title: str = "Reading order") -> DataFrame:
     part = rows.select("range_id", "pos", F.concat_ws("\n", F.concat(F.lit("## "), "heading"), fence, "body", fence).alias("part"))
     g = part.groupBy("range_id").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
     return g.select("range_id", F.concat(F.lit(f"# {title}\n"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n")).alias("text"))
+
+
+def recolored(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """rows (doc_id, line_no, type, …) whose context lines that another chunk changes are add, or del where the file is deleted. changed: doc_id, line_no, deleted."""
+    c = changed.select("doc_id", "line_no", "deleted").distinct()
+    other = F.when((F.col("type") == "context") & F.col("deleted").isNotNull(), F.when(F.col("deleted"), "del").otherwise("add"))
+    return rows.join(c, ["doc_id", "line_no"], "left").select(*(F.coalesce(other, "type").alias("type") if n == "type" else n for n in rows.columns))
+
+
+def book_markdown(sections: DataFrame, chunks: DataFrame, heads: DataFrame) -> DataFrame:
+    """range_id, text: title, counts, sections with their note, chunks with their origin, kind and size, note and fenced body.
+
+    sections: range_id, section_no, title, intro; chunks: range_id, section_no, pos, title, origin (null in its own section), kind, added, removed, reason, note, body (null if there is none); heads: range_id, title, head.
+    """
+    quote = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit("\n\n> AI: "), c)).otherwise("")
+    runs = F.transform(F.regexp_extract_all("body", F.lit("`+"), F.lit(0)), lambda x: F.length(x))
+    fence = F.repeat(F.lit("`"), F.greatest(F.coalesce(F.array_max(runs), F.lit(0)) + 1, F.lit(3)))
+    block = F.coalesce(F.concat(fence, F.lit("diff\n"), "body", F.lit("\n"), fence), F.lit("_content not available (binary or submodule)_"))
+    origin = F.coalesce(F.concat(F.lit(" — from "), "origin"), F.lit(""))
+    size = F.concat(F.lit("\n\n"), "kind", F.lit(" · +"), F.col("added").cast("string"), F.lit(" -"), F.col("removed").cast("string"))
+    low = F.coalesce(F.concat(F.lit(" · low-signal ("), "reason", F.lit(")")), F.lit(""))
+    part = F.concat(F.lit("### "), "title", origin, size, low, quote(F.col("note")), F.lit("\n\n"), block)
+    rows = chunks.select("range_id", "section_no", "pos", part.alias("part")).unionByName(sections.select("range_id", "section_no", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("## "), "title", quote(F.col("intro"))).alias("part")))
+    g = rows.groupBy("range_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "pos", "part"))).alias("parts"), F.count_if(F.col("pos") >= 0).alias("n"), F.count_if(F.col("pos") < 0).alias("m"))
+    top = F.concat(F.lit("# Code story — "), "title", F.lit("\n\n"), F.col("n").cast("string"), F.lit(" chunks · "), F.col("m").cast("string"), F.lit(" sections · head "), F.substring("head", 1, 8), F.lit("\n\n"))
+    return g.join(heads, "range_id").select("range_id", F.concat(top, F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n"), F.lit("\n")).alias("text"))

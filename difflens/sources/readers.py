@@ -46,3 +46,25 @@ def read_overlay(spark: SparkSession, path: str, fields: str, version: int) -> D
 def write_ranges(df: DataFrame, path: str) -> None:
     """Overwrites only the ranges that df holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("range_id").parquet(path)
+
+
+def content_lines(files: DataFrame, head: DataFrame, base: DataFrame) -> DataFrame:
+    """doc_id, side, line_no, text of changed files: base alone of deleted ones, head alone of added ones, neither of binary files and submodules; a renamed file's base is read from its old path.
+
+    files: range_id, doc_id, path, base_path, status, binary, submodule; head, base: range_id, path, text.
+    """
+    shown = files.where(~F.col("binary") & ~F.col("submodule"))
+    old = shown.where("status <> 'added'").select("range_id", "doc_id", F.coalesce("base_path", "path").alias("path")).join(base, ["range_id", "path"])
+    new = shown.where("status <> 'deleted'").select("range_id", "doc_id", "path").join(head, ["range_id", "path"])
+    both = new.select("doc_id", F.lit("head").alias("side"), "text").unionByName(old.select("doc_id", F.lit("base").alias("side"), "text"))
+    return both.select("doc_id", "side", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc_id", "side", (F.col("p") + 1).alias("line_no"), "text")
+
+
+def write_books(books: DataFrame, path: str) -> None:
+    """One text file a range, of books (range_id, text)."""
+    books.select("range_id", "text").write.mode("overwrite").partitionBy("range_id").text(path)
+
+
+def read_books(spark: SparkSession, path: str) -> DataFrame:
+    """range_id, text of what write_books wrote."""
+    return spark.read.text(path, wholetext=True).select(F.col("range_id").cast("long").alias("range_id"), F.regexp_replace("value", r"\n\z", "").alias("text"))

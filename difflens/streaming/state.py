@@ -63,3 +63,11 @@ def running_spend(ledger: DataFrame, delay: str = "1 hour") -> DataFrame:
 def poll_interval_ms(pending: DataFrame, now) -> DataFrame:
     """poll_ms: null without anything pending, 3000 while the youngest (created) is under 30 s old, else 8000."""
     return pending.agg(F.max("created").alias("m")).select(F.when(F.col("m").isNull(), F.lit(None).cast("int")).when(F.unix_timestamp(F.lit(now)) - F.unix_timestamp("m") < 30, 3000).otherwise(8000).alias("poll_ms"))
+
+
+def poll_intervals(deferrals: DataFrame, now) -> DataFrame:
+    """key, poll_ms of deferrals (key, pending, created): null without anything pending, 3000 while the youngest pending one is under 30 s old, else 8000. now: a column aggregated from them or a literal."""
+    youngest = F.max(F.when(F.col("pending"), F.col("created")))
+    g = deferrals.groupBy("key").agg(youngest.alias("m"), now.alias("now"))
+    age = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("m").cast("timestamp"))
+    return g.select("key", F.when(F.col("m").isNull(), F.lit(None).cast("int")).when(age < 30_000_000, 3000).otherwise(8000).alias("poll_ms"))
