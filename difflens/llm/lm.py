@@ -1,9 +1,11 @@
 """Language-model scores from Elias-Fano n-gram tries, one a part of the contexts.
 
 Unigrams: every word's count among all training tokens, looked up for every text's words (see dictionary.py). Bigrams and
-trigrams: every one of the training texts is kept, at any corpus size. Each block of texts sends its distinct contexts and
-their successors, packed, to parts by ranges of the context's hash; the number of parts grows with the tokens. A task
-adds up a part, builds its trie and answers each block with one-byte codes; nothing but totals reaches the driver.
+trigrams: every one of the training texts is kept, at any corpus size. Each block of texts sends its distinct pairs and
+their successors, packed, to parts by ranges of the pair's hash; the number of parts grows with the tokens. A pair is a
+bigram and the context of trigrams at once, so its count is the sum over its successors (END's is a mark). A task
+adds up a part, builds its trie and answers each block with one-byte codes; the pairs of each word are counted with the
+words. Nothing but totals reaches the driver.
 Probabilities interpolate by absolute discounting: P(w | h) = (c(hw) - D) / c(h) + g(h) P(w | shorter h), g(h) = D N(h) / c(h)
 with N(h) distinct successors, down to (c + 0.1) / (N + 0.1 (V + 1)). Unseen n-grams add nothing, unseen contexts have g = 1.
 
@@ -27,20 +29,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dictionary as dic
-from .common import as_bytes, materialise, mix, slices, stable, word_hashes
+from .common import as_bytes, forget, materialise, mix, slices, stable, word_hashes
 
 #: Stands for the hash of a text's end.
 END = np.uint64(0x5BD1E995A1C3F7E5)
 DISCOUNT = 0.5
 ADD = 0.1
-#: Bits of a successor's hash beside its context; training tokens a part; entries of a part that are added up at once.
+#: Bits of a successor's hash beside its pair; training tokens a part; entries of a part that are added up at once.
 WORD_BITS, PART_TOKENS, MERGE = 40, 1 << 20, 1 << 21
 #: Codes of shares from 1 to 1e-12, finer for the larger ones; NOTHING stands for 0.
 NOTHING = 255
 _STEPS = 254
 SHARES = np.append(10.0 ** (-12 * (np.arange(_STEPS + 1) / _STEPS) ** 2), 0.0)
+_COUNTS = np.append(1 / SHARES[:-1], 0.0)
 #: Bucket numbers of the parts in a block's answers begin here; those of the words are below.
 PARTS = 1 << 24
+#: Block number of what a part says of words, and words that a task gathers before it says so.
+OF_WORDS, GATHERED = -2, 1 << 20
 
 
 class EliasFano:
@@ -241,14 +246,22 @@ def summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def total_counts(packed: DataFrame, buckets: int) -> DataFrame:
-    """PACKED rows: a block's words with their totals over all blocks; with block -1, a bucket's number of distinct
-    training words (as tokens)."""
+    """PACKED rows: a block's words with their totals over all blocks, then with their numbers of distinct successors;
+    with block -1, a bucket's number of distinct training words (as tokens). packed: block, bucket, words, counts, and
+    rows of word_successors."""
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
 
     def answers(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-        words, total = summed([w for _, w, _ in rows], [c.astype(np.int64) for _, _, c in rows])
+        told = [(w, c.astype(np.int64)) for block, w, c in rows if block != OF_WORDS]
+        words, total = summed([w for w, _ in told], [c for _, c in told])
+        heads, n = summed([w for block, w, _ in rows if block == OF_WORDS], [c.astype(np.int64) for block, _, c in rows if block == OF_WORDS])
+        at = numbered(words & _HEAD, heads)
+        after = np.where(at >= 0, np.append(n, 0)[at], 0)
         out = [(-1, bucket, b"", b"", int((total > 0).sum()))]
-        out += [(block, bucket, w.tobytes(), dic.pack(total[np.searchsorted(words, w)].tobytes()), 0) for block, w, _ in rows]
+        for block, w, _ in rows:
+            if block != OF_WORDS:
+                at = np.searchsorted(words, w)
+                out.append((block, bucket, w.tobytes(), dic.pack(np.concatenate([total[at], after[at]]).tobytes()), 0))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "bucket", "words", "counts", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,13 +272,28 @@ def total_counts(packed: DataFrame, buckets: int) -> DataFrame:
                     yield answers(now, rows)
                     rows = []
                 now = bucket
-                rows.append((block, np.frombuffer(words, np.uint64), np.frombuffer(dic.unpack(counts), np.uint32)))
+                if block == OF_WORDS:
+                    heads, n = np.frombuffer(dic.unpack(words), np.uint32).reshape(2, -1)
+                    rows.append((block, heads.astype(np.uint64) << np.uint64(32), n))
+                else:
+                    rows.append((block, np.frombuffer(words, np.uint64), np.frombuffer(dic.unpack(counts), np.uint32)))
         if rows:
             yield answers(now, rows)
 
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, dic.PACKED)
 
 
+def word_successors(heads: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Rows (OF_WORDS, bucket, data): numbers of distinct successors of words by the first half of their hashes. One that two buckets share goes to both."""
+    starts = dic.bucket_starts(buckets)
+    low, high = (np.searchsorted(starts, (heads << np.uint64(32)) | rest, "right") - 1 for rest in (np.uint64(0), np.uint64(0xFFFFFFFF)))
+    out = []
+    for b in np.unique(np.concatenate([low, high])).tolist():
+        x, y = np.searchsorted(high, b), np.searchsorted(low, b, "right")
+        out.append((OF_WORDS, b, dic.pack(heads[x:y].astype(np.uint32).tobytes() + n[x:y].astype(np.uint32).tobytes())))
+    return out
+
+
 def numbered(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Index in `known` (rising) of each hash, -1 if it isn't there."""
     if not len(known):
@@ -275,18 +303,24 @@ def numbered(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == u, at, -1)[back]
 
 
-def gram_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all bigrams, then all trigrams within texts: hash of the context, the word's bits, place of the word; and of how many are bigrams."""
+def gram_keys(h: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs within texts: the pair's hash, the bits of the word after it (0 after END), place of the pair's second word.
+
+    The hash: `bits` of the second word's (they tell one of 2**bits parts, so that no word is hot), the first half of the
+    first word's, then the rest of 32 bits of the second's.
+    """
     place = np.arange(len(h)) - np.repeat(first, np.diff([*first, len(h)]))
-    two, three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+    at = np.flatnonzero(place >= 1)
+    after = np.append(h[1:], END) >> np.uint64(64 - WORD_BITS)
+    after[np.append(first[1:], len(h)) - 1] = 0
     with np.errstate(over="ignore"):
-        one = mix(h + _BIGRAM)
-        context = np.concatenate([one[two - 1], mix(one[three - 2] * _TRIGRAM + h[three - 1])])
-    at = np.concatenate([two, three])
-    return context, h[at] >> np.uint64(64 - WORD_BITS), at, len(two)
+        second = mix(h[at - 1] * _PAIR + h[at]) >> np.uint64(32)
+    rest = np.uint64(32 - bits)
+    part = (second >> rest) << np.uint64(64 - bits) if bits else np.uint64(0)
+    return part | (h[at - 1] >> np.uint64(32)) << rest | (second & np.uint64((1 << 32 - bits) - 1)), after[at], at
 
 
-_BIGRAM, _TRIGRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_PAIR, _HEAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF00000000)
 
 
 def _starts(v: np.ndarray) -> np.ndarray:
@@ -347,23 +381,31 @@ class Part:
         of = np.add.reduceat(count, begin) if len(begin) else count
         self.share = coded((count - DISCOUNT) / of[rank])
         self.rest = coded(DISCOUNT * np.diff(np.append(begin, len(context))) / of)
+        self.often = coded(1 / of)
         self.successors = EliasFano.of((rank << WORD_BITS) | word.astype(np.int64), max(1, len(begin) << WORD_BITS))
 
     def codes(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> bytes:
-        """Weights of the contexts, then shares of the n-grams."""
+        """Weights of the contexts, then one by their counts, then shares of the n-grams."""
         at = np.full(len(contexts), -1, np.int64)
         if len(self.contexts):
             near = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
             at = np.where(self.contexts[near] == contexts, near, -1)
-        rest, share = np.zeros(len(contexts), np.uint8), np.full(len(words), NOTHING, np.uint8)
+        rest, often, share = np.zeros(len(contexts), np.uint8), np.full(len(contexts), NOTHING, np.uint8), np.full(len(words), NOTHING, np.uint8)
         rest[at >= 0] = self.rest[at[at >= 0]]
+        often[at >= 0] = self.often[at[at >= 0]]
         owner = np.repeat(at, sizes)
         asked = np.flatnonzero(owner >= 0)
         for i in range(0, len(asked), 1 << 15):
             some = asked[i : i + (1 << 15)]
             found = self.successors.find((owner[some] << WORD_BITS) | words[some].astype(np.int64))
             share[some[found >= 0]] = self.share[found[found >= 0]]
-        return rest.tobytes() + share.tobytes()
+        return rest.tobytes() + often.tobytes() + share.tobytes()
+
+    def heads(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first words of the contexts (pairs), by the first half of their hashes, rising, and their numbers of contexts."""
+        head = (self.contexts >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
+        begin = np.flatnonzero(_starts(head))
+        return head[begin], np.diff(np.append(begin, len(head)))
 
 
 def added(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,8 +415,8 @@ def added(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nda
     return np.repeat(contexts, np.diff(begin)), words, np.bincount(back, count, len(words)).astype(np.int64)
 
 
-def block_grams(docs: DataFrame, parts: int) -> DataFrame:
-    """block, bucket (a part), data: a block's distinct n-grams of a part with their counts in training rows."""
+def block_grams(docs: DataFrame, bits: int) -> DataFrame:
+    """block, bucket (one of 2**bits parts), data: a block's distinct n-grams of a part with their counts in training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in dic.batches_by_block(batches):
@@ -386,10 +428,10 @@ def block_grams(docs: DataFrame, parts: int) -> DataFrame:
                     begins.append(first + n)
                     train.append(np.repeat(part["train"].to_numpy(zero_copy_only=False).astype(bool), np.diff([*first, len(h)])))
                     n += len(h)
-            context, word, at, _ = gram_keys(np.concatenate(tokens), np.concatenate(begins))
+            context, word, at = gram_keys(np.concatenate(tokens), np.concatenate(begins), bits)
             contexts, begin, words, back = grouped(context, word)
             counts = np.bincount(back[np.concatenate(train)[at]], minlength=len(words))
-            cuts = [*np.searchsorted(contexts, dic.bucket_starts(parts)), len(contexts)]
+            cuts = [*np.searchsorted(contexts, dic.bucket_starts(1 << bits)), len(contexts)]
             sizes = np.diff(begin)
             for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
                 if y > x:
@@ -399,11 +441,14 @@ def block_grams(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "block long, bucket int, data binary")
 
 
-def gram_answers(grams: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket (PARTS and the part), data: codes of the block's contexts and n-grams in the part, in their order."""
+def gram_answers(grams: DataFrame, buckets: int, bits: int) -> DataFrame:
+    """block, bucket (PARTS and the part), data: codes of the block's contexts and n-grams in the part, in their order; and rows of word_successors."""
     none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def answers(part: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def row(block: int, bucket: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
+
+    def built(rows: list[tuple[int, bytes]]) -> Part:
         total, new, size = none, [], 0
         for _, data in rows:
             contexts, sizes, words, counts = unpack_grams(data)
@@ -412,23 +457,37 @@ def gram_answers(grams: DataFrame, buckets: int) -> DataFrame:
             size += int(seen.sum())
             if size >= max(MERGE, len(total[0])):
                 total, new, size = added([total, *new]), [], 0
-        trie = Part(*(added([total, *new]) if new else total))
+        return Part(*(added([total, *new]) if new else total))
+
+    def answers(part: int, trie: Part, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         for block, data in rows:
             contexts, sizes, words, _ = unpack_grams(data)
-            codes = len(contexts).to_bytes(8, "big") + dic.pack(trie.codes(contexts, sizes, words))
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([PARTS + part], pa.int32()), pa.array([codes], pa.binary())], ["block", "bucket", "data"])
+            yield row(block, PARTS + part, len(contexts).to_bytes(8, "big") + dic.pack(trie.codes(contexts, sizes, words)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
         now, rows = None, []
         for batch in batches:
             for block, bucket, data in zip(*(batch[c].to_pylist() for c in ("block", "bucket", "data"))):
                 if bucket != now and rows:
-                    yield from answers(now, rows)
+                    yield now, rows
                     rows = []
                 now = bucket
                 rows.append((block, data))
         if rows:
-            yield from answers(now, rows)
+            yield now, rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, n = none[0], none[2]  # of all parts of the task
+        for part, rows in parts(batches):
+            trie = built(rows)
+            yield from answers(part, trie, rows)
+            new, m = trie.heads(bits)
+            heads, n = summed([heads, new], [n, m])
+            if len(heads) > GATHERED:
+                yield from (row(*x) for x in word_successors(heads, n, buckets))
+                heads, n = none[0], none[2]
+        if len(heads):
+            yield from (row(*x) for x in word_successors(heads, n, buckets))
 
     return grams.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, data binary")
 
@@ -439,34 +498,47 @@ def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     buckets = dic.buckets_of(docs)
     packed = materialise(dic.block_words(d, count_block, buckets), "words")
     n_train = packed.agg(F.sum("tokens")).first()[0] or 0
-    totals = materialise(total_counts(packed, buckets), "totals")
+    bits = (max(buckets, -(-n_train // PART_TOKENS)) - 1).bit_length()
+    grams = materialise(gram_answers(block_grams(d, bits), buckets, bits), "grams")
+    successors = grams.where(F.col("block") == OF_WORDS).select("block", "bucket", F.col("data").alias("words"), F.lit(b"").alias("counts"))
+    totals = materialise(total_counts(packed.select("block", "bucket", "words", "counts").unionByName(successors), buckets), "totals")
+    forget(packed)
     distinct = totals.where("block = -1").agg(F.sum("tokens")).first()[0] or 0
     bottom = n_train + ADD * (distinct + 1)
-    grams = materialise(gram_answers(block_grams(d, max(buckets, -(-n_train // PART_TOKENS))), buckets), "grams")
 
     def finish(told: dict[int, bytes]):
-        of_words = [x for b, x in told.items() if b < PARTS]
-        words, total = summed(*zip(*((np.frombuffer(x[8 : 8 + (n := int.from_bytes(x[:8], "big"))], np.uint64), np.frombuffer(dic.unpack(x[8 + n :]), np.int64)) for x in of_words)))
+        words, total, after = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rest, often, share = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
+        for b in sorted(told):  # by ranges of hashes, so that all of a kind rise
+            n, data = int.from_bytes(told[b][:8], "big"), told[b][8:]
+            if b < PARTS:
+                words.append(np.frombuffer(data[:n], np.uint64))
+                told_of = np.frombuffer(dic.unpack(data[n:]), np.int64).reshape(2, -1)
+                total.append(told_of[0])
+                after.append(told_of[1])
+            else:
+                codes = np.frombuffer(dic.unpack(data), np.uint8)
+                rest.append(codes[:n])
+                often.append(codes[n : 2 * n])
+                share.append(codes[2 * n :])
+        words, total, after, rest, often, share = (np.concatenate(x) for x in (words, total, after, rest, often, share))
         prior = (total + ADD) / bottom
-        rest, share = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
-        for b in sorted(b for b in told if b >= PARTS):
-            n, codes = int.from_bytes(told[b][:8], "big"), np.frombuffer(dic.unpack(told[b][8:]), np.uint8)
-            rest.append(codes[:n])
-            share.append(codes[n:])
-        rest, share = np.concatenate(rest), np.concatenate(share)
+        weight = np.where(total > 0, DISCOUNT * after / np.maximum(total, 1), 1.0)  # of a word as context
 
         def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             h, first = tokens_of(part)
             at = numbered(h, words)
-            context, word, place, n_two = gram_keys(h, first)
+            context, word, place = gram_keys(h, first, bits)
             contexts, begin, held, back = grouped(context, word)
             if (at < 0).any() or len(contexts) != len(rest) or len(held) != len(share):
                 raise ValueError("a block holds other words than when they were counted; write the documents first")
             p = prior[at]
             base = np.log10(p)
-            add, weight = SHARES[share][back], SHARES[np.repeat(rest, np.diff(begin))][back]
-            for x in (slice(0, n_two), slice(n_two, None)):  # trigrams build on bigrams
-                p[place[x]] = add[x] + weight[x] * p[place[x]]
+            of = np.repeat(np.arange(len(contexts)), np.diff(begin))[back]
+            pairs = np.maximum(_COUNTS[often[of]] - DISCOUNT, 0) / np.maximum(total[at[place - 1]], 1)
+            p[place] = pairs + weight[at[place - 1]] * p[place]
+            more = np.flatnonzero(h[place] != END)  # trigrams build on bigrams
+            p[place[more] + 1] = SHARES[share[back[more]]] + SHARES[rest[of[more]]] * p[place[more] + 1]
             each = np.log10(p)
             n = np.diff([*first, len(h)])
             rows = [part["doc_id"], pa.array(n, pa.int64()), pa.array(np.add.reduceat((total[at] > 0).astype(np.int64), first)), pa.array(np.full(len(n), n_train, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(each, first))]
@@ -478,4 +550,4 @@ def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     answers = totals.where("block >= 0").select("block", "bucket", F.concat(F.unhex(F.lpad(F.hex(size), 16, "0")), "words", "counts").alias("data"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     # a block is one piece, as its codes stand in the order of its distinct n-grams
-    return dic.meet(d.select("doc_id", "text"), answers.unionByName(grams), finish, schema, chunk_bytes=1 << 60)
+    return dic.meet(d.select("doc_id", "text"), answers.unionByName(grams.where("block >= 0")), finish, schema, chunk_bytes=1 << 60)
