@@ -348,13 +348,13 @@ def se3_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select range_id, md5(string_agg(path, chr(10) order by path)) as fingerprint from (select distinct range_id, path from c_files) group by range_id")
 def fr1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FR-1, FR-8."""
+    """FR-1."""
     return freshness.set_fingerprint(corpus.files(spark, sf_dir), ["range_id"], "path")
 
 
 @query("select path, md5(path) as fingerprint from c_files where substr(md5(path), 1, 1) >= '4'")
 def fr2_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FR-2, 3, 4."""
+    """FR-2."""
     live = corpus.files(spark, sf_dir).select("path", F.md5("path").alias("fingerprint"))
     stored = live.withColumn("fingerprint", F.when(F.substring("fingerprint", 1, 1) < "4", "old").otherwise(F.col("fingerprint")))
     return freshness.fresh(stored, live, ["path"])
@@ -497,4 +497,4 @@ def io1_diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_diff(_diff_texts(spark, sf_dir))[1].groupBy("range_id").agg(F.count("*").alias("hunks"), F.sum("head_count").alias("head_lines"), F.sum("base_count").alias("base_lines"))
 
 
-from difflens import catalog_book, catalog_items, catalog_story, catalog_work  # noqa: E402,F401  register their queries here
+from difflens import catalog_book, catalog_checks, catalog_items, catalog_story, catalog_work  # noqa: E402,F401  register their queries here
