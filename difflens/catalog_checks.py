@@ -31,9 +31,7 @@ def or13_chapter_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = b.sections(b.chapters(b.spine())).groupBy("range_id", "chunk").agg(F.min("pos").alias("pos"))
     nodes = _nodes(e).select("range_id", "chunk", (F.col("bucket") == "test").alias("is_test"), (F.col("bucket") == "low-signal").alias("low_signal"))
     reach = graph.closure(e.where("kind = 'calls'"))
-    modes = [(d, p, checks.chapter_order(e, positions, nodes, reach, d, p)) for d, p in (("consumer-first", "before"), ("dependency-first", "after"), ("consumer-first", "end"))]
-    found = [x.select(F.lit(d).alias("direction"), F.lit(p).alias("placement"), "*") for d, p, x in modes]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return checks.chapter_order(e, positions, nodes, reach, [("consumer-first", "before"), ("dependency-first", "after"), ("consumer-first", "end")])
 
 
 _D = "(select doc_id, doc_id // 10 as book, 1 + doc_id // 10 % 2 as version, md5(coalesce(text, '')) as fingerprint from documents)"

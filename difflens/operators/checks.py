@@ -13,8 +13,8 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(*graph.KEYS, "kind").distinct().groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def chapter_order(edges: DataFrame, positions: DataFrame, nodes: DataFrame, reach: DataFrame, direction: str, placement: str) -> DataFrame:
-    """range_id, kind, src, dst, category of the edges that a book's order goes against.
+def chapter_order(edges: DataFrame, positions: DataFrame, nodes: DataFrame, reach: DataFrame, modes: list[tuple[str, str]]) -> DataFrame:
+    """direction, placement, range_id, kind, src, dst, category of the edges that a book's order goes against, for each mode (direction, placement).
 
     Calls go by direction: consumer-first wants the caller earlier, dependency-first later. Of exercise edges only those from
     a test to what is none count, by placement: before or after what they test, or, with end, not at all. Low-signal chunks and
@@ -29,13 +29,13 @@ def chapter_order(edges: DataFrame, positions: DataFrame, nodes: DataFrame, reac
     e = edges.where("src <> dst and kind in ('calls', 'exercises')").select(*graph.KEYS, "kind").distinct()
     e = e.join(end("src"), ["range_id", "src"]).join(end("dst"), ["range_id", "dst"])
     later, tests = F.col("src_pos") > F.col("dst_pos"), F.col("src_test") & ~F.col("dst_test")
-    wrong = (F.col("kind") == "calls") & (later if direction == "consumer-first" else ~later)
-    if placement != "end":
-        wrong |= (F.col("kind") == "exercises") & tests & (later if placement == "before" else ~later)
+    e = e.withColumn("mode", F.explode(F.array(*(F.struct(F.lit(d).alias("direction"), F.lit(p).alias("placement")) for d, p in modes))))
+    wrong = F.when(F.col("kind") == "calls", later == (F.col("mode.direction") == "consumer-first"))
+    wrong = wrong.otherwise(tests & (F.col("mode.placement") != "end") & (later == (F.col("mode.placement") == "before")))
     back = reach.select("range_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
     both = reach.select(*graph.KEYS).join(back, graph.KEYS, "left_semi").withColumn("both", F.lit(True))
     category = F.when(F.col("both"), "cycle").when(F.col("kind") == "calls", "inversion").otherwise("test-order")
-    return e.where(wrong).join(both, graph.KEYS, "left").select("range_id", "kind", "src", "dst", category.alias("category"))
+    return e.where(wrong).join(both, graph.KEYS, "left").select("mode.direction", "mode.placement", "range_id", "kind", "src", "dst", category.alias("category"))
 
 
 def unit_fingerprints(members: DataFrame, keys: list[str], of: str) -> DataFrame:
