@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, ngram_jaccard, pieces, quality_eb, quality_rules, secret_scan, toxicity, warc
+from . import decontam, langid, lm, ngram_jaccard, periodic, pieces, quality_eb, quality_rules, secret_scan, toxicity, warc
 from .common import ASCII_LOWER, ASCII_UPPER, crc_mod
 
 
@@ -66,6 +66,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "words")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_ngram_jaccard, op2_sentencepiece, op3_language_id, op4_quality_classifier, op5_quality_rules, op6_toxicity, op7_secret_scans, op8_warc, op9_lm_scoring, op10_decontamination, pipeline)
+    every = (op1_ngram_jaccard, op2_sentencepiece, op3_language_id, op4_quality_classifier, op5_quality_rules, op6_toxicity, op7_secret_scans, op8_warc, op9_lm_scoring, op10_decontamination, op11_periodic_runs, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -147,5 +151,37 @@ select p.page_id, cast(p.n as bigint) as payload_bytes, p.digest as payload_dige
 from p left join g on p.digest = g.digest and p.n >= {warc.LEAST}"""
 
 
+#: crc32 of a text of single bytes, by the table of its polynomial.
+_CRC_TABLE = """bits(i, k, v) as (select i, 0, i from (select unnest(range(256))::bigint as i) union all
+  select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end from bits where k < 8),
+crc as (select list(v order by i) as tab from bits where k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """Over rows joined with crc."""
+    codes = f"list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint))"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::bigint)::bigint"
+
+
+def _op11_sql() -> str:
+    return rf"""
+with recursive {_CRC_TABLE},
+d as (select *, cast(len(w0) as bigint) as n from (select row_number() over () as rid, doc_id, {_WORDS.format("coalesce(text, '')")} as w0, {_crc("cast(doc_id as varchar)")} as h from documents, crc)),
+p as (select *, h % 10 = 0 and n > 0 as plant, case when n > 0 then h // 10 % n end as a from d),
+v as (select rid, doc_id, case when plant then list_transform(range(n), lambda i: w0[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + h // 10 % 8)) end + 1]) else w0 end as w from p),
+t as (select rid, unnest(w) as word, unnest(range(len(w))) as i from v),
+six as (select rid, i, array_to_string(w[i + 1 : i + 6], ' ') as g from (select rid, w, unnest(range(len(w) - 5)) as i from v where len(w) >= 12)),
+diagonal as (select a.rid, b.i - a.i as q, a.i from six a join six b on a.rid = b.rid and a.g = b.g and a.i < b.i),
+island as (select rid, q, min(i) as s, max(i) + 6 + q as e from (select *, i - row_number() over (partition by rid, q order by i) as k from diagonal) group by rid, q, k),
+run as (select rid, s, e, min(q) as q from island where e - s >= greatest(12, 2 * q) group by rid, s, e),
+says as (select rid, count(*) as n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' order by s, q) as runs from run group by rid),
+best as (select rid, s, e - s as n, q from run qualify row_number() over (partition by rid order by e - s desc, s, q) = 1),
+gone as (select distinct rid, unnest(range(s + q, e)) as i from run),
+kept as (select rid, string_agg(word, ' ' order by i) as words from t anti join gone using (rid, i) group by rid)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(best.s as bigint) as start, cast(best.n as bigint) as length, cast(best.q as bigint) as period,
+  cast(1000 * best.n // best.q as bigint) as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from v left join says using (rid) left join best using (rid) left join kept using (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _op1_sql(), "op5_quality_rules": _op5_sql(), "op7_secret_scans": _op7_sql(), "op8_warc": _op8_sql()}
+    return {"op1_ngram_jaccard": _op1_sql(), "op5_quality_rules": _op5_sql(), "op7_secret_scans": _op7_sql(), "op8_warc": _op8_sql(), "op11_periodic_runs": _op11_sql()}
