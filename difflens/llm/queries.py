@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, ngram_jaccard, periodic, pieces, quality_eb, quality_rules, secret_scan, toxicity, warc
+from . import decontam, langid, lm, ngram_jaccard, periodic, pieces, quality_eb, quality_rules, repair, secret_scan, toxicity, warc
 from .common import ASCII_LOWER, ASCII_UPPER, crc_mod
 
 
@@ -70,6 +70,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(*repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_ngram_jaccard, op2_sentencepiece, op3_language_id, op4_quality_classifier, op5_quality_rules, op6_toxicity, op7_secret_scans, op8_warc, op9_lm_scoring, op10_decontamination, op11_periodic_runs, pipeline)
+    every = (op1_ngram_jaccard, op2_sentencepiece, op3_language_id, op4_quality_classifier, op5_quality_rules, op6_toxicity, op7_secret_scans, op8_warc, op9_lm_scoring, op10_decontamination, op11_periodic_runs, op12_conversation_repair, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -183,5 +187,35 @@ select doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(best.s as big
 from v left join says using (rid) left join best using (rid) left join kept using (rid)"""
 
 
+def _op12_sql() -> str:
+    return rf"""
+with recursive {_CRC_TABLE},
+c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as k from conversations, crc),
+ids as (select row_number() over () as cid, conv_id from (select distinct conv_id from conversations)),
+harm as (select cid, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+  unnest(range(case k when 0 then 0 when 3 then 2 else 1 end)) as copy from c join ids on ids.conv_id is not distinct from c.conv_id),
+marked as (select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as ends, left(role, 1) as first,
+  row_number() over (partition by cid order by turn nulls first, role, sha256(text), copy) as p,
+  row_number() over (partition by cid, role, text order by turn nulls first, copy) > 1 as again from harm),
+row as (select *, case when ends = '' then 'blank' when again then 'duplicate' when right(ends, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+  lag(first) over (partition by cid order by p) as before from marked),
+lead(role, i, j) as (values ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+extra(i, j, cost, audit, said) as (values (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+  (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:']), (3, 3, 10, 'II', ['user:', 'assistant:']), (2, 2, 10, 'II', ['assistant:', 'user:'])),
+edit as (select cid, p, i, i as j, 2 as cost, 'D' as audit, []::varchar[] as said from row, (select unnest(range(4)) as i)
+  union all select cid, p, i, j, (first <> lead.role)::int + 5 * (fault = 'truncated')::int, case when first = lead.role then 'K' else 'R' end,
+    [case when first = lead.role then row.role when lead.role = 'u' then 'user' else 'assistant' end || ':' || text]
+  from row, lead where fault in ('', 'truncated') and (first = lead.role or lead.role <> 's')),
+way(cid, p, i, cost, audit, said) as (select cid, cast(0 as bigint), 0, 0, '', []::varchar[] from ids
+  union all select cid, p, j, cost, audit, said from (select w.cid, e.p, e.j, w.cost + x.cost + e.cost as cost, w.audit || x.audit || e.audit as audit, w.said || x.said || e.said as said
+    from way w join extra x on x.i = w.i join edit e on e.cid = w.cid and e.p = w.p + 1 and e.i = x.j) qualify row_number() over (partition by cid, j order by cost, audit) = 1),
+done as (select w.cid, w.cost + x.cost as cost, w.audit || x.audit as audit, w.said || x.said as said from way w join extra x on x.i = w.i and x.j in (0, 3)
+  where w.p = (select count(*) from row where row.cid = w.cid) qualify row_number() over (partition by w.cid order by w.cost + x.cost, w.audit || x.audit) = 1),
+counts as (select cid, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+  count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || first not in ('su', 'ua', 'au')) as illegal from row group by cid)
+select conv_id, {", ".join(f"cast(coalesce({x}, 0) as bigint) as {x}" for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))}, audit, sha256(array_to_string(said, chr(10))) as repaired_sha256
+from ids join done using (cid) left join counts using (cid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": _op1_sql(), "op5_quality_rules": _op5_sql(), "op7_secret_scans": _op7_sql(), "op8_warc": _op8_sql(), "op11_periodic_runs": _op11_sql()}
+    return {"op1_ngram_jaccard": _op1_sql(), "op5_quality_rules": _op5_sql(), "op7_secret_scans": _op7_sql(), "op8_warc": _op8_sql(), "op11_periodic_runs": _op11_sql(), "op12_conversation_repair": _op12_sql()}
