@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, ngram_jaccard, periodic, pieces, quality_eb, quality_rules, repair, secret_scan, toxicity, warc
+from . import decontam, langid, lm, ngram_jaccard, packing, periodic, pieces, quality_eb, quality_rules, repair, secret_scan, toxicity, warc
 from .common import ASCII_LOWER, ASCII_UPPER, crc_mod
 
 
@@ -74,6 +74,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(*repair.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+    return packed.pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_ngram_jaccard, op2_sentencepiece, op3_language_id, op4_quality_classifier, op5_quality_rules, op6_toxicity, op7_secret_scans, op8_warc, op9_lm_scoring, op10_decontamination, op11_periodic_runs, op12_conversation_repair, pipeline)
+    every = (op1_ngram_jaccard, op2_sentencepiece, op3_language_id, op4_quality_classifier, op5_quality_rules, op6_toxicity, op7_secret_scans, op8_warc, op9_lm_scoring, op10_decontamination, op11_periodic_runs, op12_conversation_repair, op13_best_fit_packing, pipeline)
     return {f.__name__: f for f in every}
 
 
