@@ -497,4 +497,4 @@ def io1_diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_diff(_diff_texts(spark, sf_dir))[1].groupBy("range_id").agg(F.count("*").alias("hunks"), F.sum("head_count").alias("head_lines"), F.sum("base_count").alias("base_lines"))
 
 
-from difflens import catalog_book, catalog_checks, catalog_items, catalog_story, catalog_work  # noqa: E402,F401  register their queries here
+from difflens import catalog_book, catalog_checks, catalog_items, catalog_story, catalog_streams, catalog_work  # noqa: E402,F401  register their queries here
