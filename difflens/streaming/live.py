@@ -184,11 +184,12 @@ class Merged:
 # ---- running a stream over a table
 
 
-def in_batches(rows: DataFrame, batches: int, job: Callable[[DataFrame], object], name: str) -> None:
+def in_batches(rows: DataFrame, batches: int, job: Callable[[DataFrame], object], name: str) -> list[int]:
     """Feeds rows to a stream in steps by their column `batch` (0 to batches - 1): each step's rows are written to the shared folder, then the stream starts anew from its checkpoint and takes them in.
 
-    job gets the streaming DataFrame and returns a DataStreamWriter without checkpoint and trigger.
+    job gets the streaming DataFrame and returns a DataStreamWriter without checkpoint and trigger. Returns the rows of state that the stream held after each step.
     """
+    held = []
     spark, root = rows.sparkSession, shared_path(rows.sparkSession, name)
     plain = rows.drop("batch")
     with keyed_state(spark):
@@ -197,6 +198,8 @@ def in_batches(rows: DataFrame, batches: int, job: Callable[[DataFrame], object]
             source = spark.readStream.schema(plain.schema).parquet(f"{root}/in")
             query = job(source).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
             query.awaitTermination()
+            held.append(sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]) if query.lastProgress else 0)
+    return held
 
 
 def merged_stream(rows: DataFrame, batches: int, changes: Callable[[DataFrame], DataFrame], mode: str, name: str) -> DataFrame:
