@@ -146,8 +146,8 @@ def ch5_symbol_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ch7_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CH-7: greedy buckets of at most four lines; tests compare it with a loop too."""
-    return chunking.chunks(chunking.parts(corpus.hunks(spark, sf_dir), corpus.symbols(spark, sf_dir)), cap=4)
+    """CH-6, CH-7: parts over four lines cut, then greedy buckets of at most four lines; tests compare it with a loop too."""
+    return chunking.chunks(chunking.parts(corpus.hunks(spark, sf_dir), corpus.symbols(spark, sf_dir)), cap=4, lines=corpus.file_lines(spark, sf_dir))
 
 
 def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +184,29 @@ def ch9_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.whitespace_only(corpus.hunks(spark, sf_dir), corpus.file_lines(spark, sf_dir))
 
 
+_BOTH = """b as (select doc_id, hunk_no, 0 as part, case when doc_id % 17 = 0 then 'base' else 'head' end as side, line_no from c_hunk_lines
+  union all select doc_id, hunk_no, 1, 'base', unnest(range(start, start + other_count)) from c_hunks2 where doc_id % 17 > 0),
+t as (select b.*, coalesce(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), '') as t from b left join c_sides using (doc_id, side, line_no))"""
+FIXTURE["c_sides"] = "c_sides as (select doc_id, 'head' as side, line_no, text from c_lines union all select doc_id, 'base', line_no, case when (doc_id + line_no) % 3 = 0 then '~' || text else text end from c_lines)"
+
+
+def _typed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, i = corpus.files(spark, sf_dir), F.col("doc_id")
+    return f.select("doc_id", (F.col("status") == "deleted").alias("deleted"), (i % 29 == 0).alias("submodule"), F.when(i % 23 == 0, "lockfile").alias("generated_reason"))
+
+
+@query(f"with {_BOTH} select doc_id, hunk_no, count(*) as n_lines, case when max(doc_id) % 23 = 0 then 'generated' when bool_and(t = '') and max(doc_id) % 29 > 0 then 'whitespace' end as change_type from t group by doc_id, hunk_no")
+def ch9_change_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CH-9: both sides' lines, files with a reason, submodules."""
+    return chunking.change_types(corpus.hunks(spark, sf_dir), corpus.sides(spark, sf_dir), _typed_files(spark, sf_dir))
+
+
+@query(f"with {_BOTH} select doc_id, hunk_no, md5(string_agg(t, chr(10) order by part, line_no)) as fingerprint from t group by all")
+def ch10_side_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CH-10: head lines, then base lines."""
+    return chunking.side_fingerprints(corpus.hunks(spark, sf_dir), corpus.sides(spark, sf_dir), _typed_files(spark, sf_dir), F.md5)
+
+
 @query("select doc_id, hunk_no, md5(string_agg(trim(text), chr(10) order by line_no)) as fingerprint from c_hunk_lines join c_lines using (doc_id, line_no) group by all")
 def ch10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fingerprints(corpus.hunks(spark, sf_dir), corpus.file_lines(spark, sf_dir), F.md5)
@@ -246,27 +269,27 @@ def gr5_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select range_id, node, scc from c_scc")
 def gr6_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(graph.closure(corpus.edges(spark, sf_dir)))
+    return graph.strong(corpus.edges(spark, sf_dir))
 
 
 @query("select range_id, scc, min(node) as first_node from c_scc where (range_id, scc) not in (select e.range_id, b.scc from c_dist e join c_scc b on b.range_id = e.range_id and b.node = e.dst left join c_scc a on a.range_id = e.range_id and a.node = e.src where a.scc is null or a.scc <> b.scc) group by all")
 def gr7_source_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = corpus.edges(spark, sf_dir)
-    return graph.source_cycles(e, graph.cycles(graph.closure(e)))
+    return graph.source_cycles(e, graph.strong(e))
 
 
 @query("select e.range_id, e.src, e.dst, case when r.src is null then 'inversion' else 'cycle' end as category from c_dist e left join c_reach r on r.range_id = e.range_id and r.src = e.dst and r.dst = e.src where e.src < e.dst")
 def or12_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OR-12."""
     e = corpus.edges(spark, sf_dir)
-    return graph.order_check(e, graph.closure(e))
+    return graph.order_check(e, graph.strong(e))
 
 
 @query("select count(*) as edges, 0 as violations from c_dist")
 def or1_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OR-1: edges outside cycles whose target doesn't stand first in the dependency order; there are none."""
     e = corpus.edges(spark, sf_dir)
-    sccs = graph.cycles(graph.closure(e))
+    sccs = graph.strong(e)
     pos = graph.dependency_order(e, graph.depth(e, sccs))
     a, b = pos.select("range_id", F.col("node").alias("src"), F.col("position").alias("p")), pos.select("range_id", F.col("node").alias("dst"), F.col("position").alias("q"))
     s, t = sccs.select("range_id", F.col("node").alias("src"), F.col("scc").alias("s")), sccs.select("range_id", F.col("node").alias("dst"), F.col("scc").alias("t"))
@@ -475,6 +498,41 @@ def rn1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.unified_rows(corpus.hunks(spark, sf_dir), corpus.file_lines(spark, sf_dir))
 
 
+def _chunk_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as hunks of their symbols' chunks; in deleted files the primary side is the base."""
+    p = chunking.parts(corpus.hunks(spark, sf_dir), corpus.symbols(spark, sf_dir)).join(corpus.files(spark, sf_dir).select("doc_id", (F.col("status") == "deleted").alias("deleted")), "doc_id")
+    main = lambda a, b: F.when(F.col("deleted"), F.col(a)).otherwise(F.col(b))
+    return p.select("doc_id", F.coalesce("sym_id", F.lit(-1)).alias("chunk"), (F.col("hunk_no") * 1000 + F.col("part_no")).alias("hunk_no"), "deleted", F.col("start").alias("head_start"), F.col("start").alias("base_start"), main("other_count", "count").alias("head_count"), main("count", "other_count").alias("base_count"))
+
+
+#: Every line is shown by the first stretch that reaches it; gaps by what earlier stretches of the chunk have shown.
+FIXTURE |= {
+    "r_hunks": """r_hunks as (select p.doc_id, coalesce(sym_id, -1) as chunk, status = 'deleted' as del, row_number() over w as o, start, count, other_count, case when count > 0 then start - 1 else start end as before, lead(start) over w as nxt, n
+  from c_parts p join c_files using (doc_id) join (select doc_id, max(line_no) as n from c_lines group by doc_id) using (doc_id) window w as (partition by p.doc_id, coalesce(sym_id, -1) order by start, hunk_no, part_no))""",
+    "r_own": "r_own as (select doc_id, chunk, o, del, unnest(range(start, start + count)) as line_no from r_hunks)",
+    "r_near": """r_near as (select * from (select doc_id, chunk, o, del, 1 as phase, unnest(range(before - 2, before + 1)) as line_no, n from r_hunks union all
+  select doc_id, chunk, o, del, 4, unnest(range(before + count + 1, least(before + count + 3, coalesce(nxt - 1, 1073741824)) + 1)), n from r_hunks) where line_no between 1 and n qualify row_number() over (partition by doc_id, chunk, line_no order by o, phase) = 1)""",
+    "r_context": "r_context as (select * from r_near c where not exists (select 1 from r_own w where w.doc_id = c.doc_id and w.chunk = c.chunk and w.line_no = c.line_no and (w.o < c.o or w.o = c.o and c.phase = 4)))",
+    "r_rows": """r_rows as (select doc_id, chunk, o, phase, 'context' as type, case when del then 'base' else 'head' end as side, line_no from r_context union all
+  select doc_id, chunk, o, 3, case when del then 'del' else 'add' end, case when del then 'base' else 'head' end, line_no from r_own union all
+  select doc_id, chunk, o, 2, 'del', 'base', unnest(range(start, start + other_count)) from r_hunks where not del)""",
+    "r_gaps": """r_gaps as (select h.doc_id, h.chunk, h.o from r_hunks h join r_rows r on r.doc_id = h.doc_id and r.chunk = h.chunk and r.o < h.o group by h.doc_id, h.chunk, h.o, h.before having h.before - 3 > coalesce(max(r.line_no) filter (r.phase <> 2), 0))""",
+    "r_all": """r_all as (select x.doc_id, x.chunk, row_number() over (partition by x.doc_id, x.chunk order by o, phase, x.line_no) as row_no, type, case when x.side = 'head' then x.line_no end as head, case when x.side = 'base' then x.line_no end as base, coalesce(text, '') as text
+  from (select * from r_rows union all select doc_id, chunk, o, 0, 'gap', null, null from r_gaps) x left join c_sides s on s.doc_id = x.doc_id and s.side = x.side and s.line_no = x.line_no)""",
+}
+
+
+@query("select * from r_all")
+def rn1_chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RN-1: every symbol's chunk with deleted lines, deleted files and the clamp before the next hunk."""
+    return rendering.chunk_rows(_chunk_hunks(spark, sf_dir), corpus.sides(spark, sf_dir))
+
+
+@query("select doc_id, chunk, string_agg(case type when 'gap' then '…' when 'add' then '+' || text when 'del' then '-' || text else ' ' || text end, chr(10) order by row_no) as diff from r_all group by doc_id, chunk")
+def rn3_chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.diff_text(rendering.chunk_rows(_chunk_hunks(spark, sf_dir), corpus.sides(spark, sf_dir)), ("doc_id", "chunk"))
+
+
 def _diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as diff text, one text a range."""
     f, h = corpus.files(spark, sf_dir), corpus.hunks(spark, sf_dir)

@@ -30,8 +30,8 @@ def or13_chapter_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, e = _Book(spark, sf_dir), _edges(spark, sf_dir)
     positions = b.sections(b.chapters(b.spine())).groupBy("range_id", "chunk").agg(F.min("pos").alias("pos"))
     nodes = _nodes(e).select("range_id", "chunk", (F.col("bucket") == "test").alias("is_test"), (F.col("bucket") == "low-signal").alias("low_signal"))
-    reach = graph.closure(e.where("kind = 'calls'"))
-    return checks.chapter_order(e, positions, nodes, reach, [("consumer-first", "before"), ("dependency-first", "after"), ("consumer-first", "end")])
+    sccs = graph.strong(e.where("kind = 'calls'"))
+    return checks.chapter_order(e, positions, nodes, sccs, [("consumer-first", "before"), ("dependency-first", "after"), ("consumer-first", "end")])
 
 
 _D = "(select doc_id, doc_id // 10 as book, 1 + doc_id // 10 % 2 as version, md5(coalesce(text, '')) as fingerprint from documents)"

@@ -196,4 +196,4 @@ FIXTURE |= _layers("o1", "select range_id, dst as a, src as b from c_dist")
 def or1_dependency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OR-1: what is depended on first, by depth over the condensed graph, then by number."""
     e = corpus.edges(spark, sf_dir)
-    return graph.dependency_order(e, graph.depth(e, graph.cycles(graph.closure(e))))
+    return graph.dependency_order(e, graph.depth(e, graph.strong(e)))

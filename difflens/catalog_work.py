@@ -150,7 +150,10 @@ FIXTURE |= {
     "c_snap": "c_snap as (select e.doc_id, i.line_no as ideal, coalesce(max(e.line_no) filter (e.flag = 2), max(e.line_no) filter (e.flag = 1), i.line_no) as cut from c_ends i join c_ends e on e.doc_id = i.doc_id and e.line_no between i.line_no - 7 and i.line_no group by e.doc_id, i.line_no)",
     "c_tall": "c_tall as (select doc_id, max(line_no) as n from c_lines group by doc_id)",
     "c_cut": "c_cut as (select doc_id, 1 as piece_no, 0 as top, case when n <= 12 then n else cut end as bottom, n from c_tall left join (select doc_id, cut from c_snap where ideal = 12) using (doc_id) union all select c.doc_id, c.piece_no + 1, c.bottom, case when c.bottom + 12 >= c.n then c.n else s.cut end, c.n from c_cut c left join c_snap s on s.doc_id = c.doc_id and s.ideal = c.bottom + 12 where c.bottom < c.n)",
-    "c_lots": "c_lots as (select *, coalesce(sym_id, -1) as sym, greatest(count, other_count, 1) as w, row_number() over (partition by doc_id, coalesce(sym_id, -1) order by start, hunk_no, part_no) as i from c_parts)",
+    "c_marks": r"c_marks as (select doc_id, line_no, case when not regexp_matches(text, '\S') then 2 when regexp_matches(text, '[;{}]\s*$') then 1 else 0 end as flag from c_lines)",
+    "c_halves": "c_halves as (select p.doc_id, p.hunk_no, p.part_no, coalesce(max(line_no) filter (flag = 2), max(line_no) filter (flag = 1), any_value(start) + 3) - any_value(start) + 1 as k from c_parts p left join c_marks m on m.doc_id = p.doc_id and m.line_no between start + 1 and start + 3 where count > 4 group by all)",
+    "c_pieces": "c_pieces as (select doc_id, hunk_no, part_no, sym_id, sym_kind, start + x.a as start, x.b - x.a as count, case when x.a = 0 then other_count else 0 end as other_count from (select p.*, unnest(case when k is null then [{'a': 0, 'b': count}] else [{'a': 0, 'b': k}, {'a': k, 'b': count}] end) as x from c_parts p left join c_halves using (doc_id, hunk_no, part_no)))",
+    "c_lots": "c_lots as (select *, coalesce(sym_id, -1) as sym, greatest(count, 1) as w, row_number() over (partition by doc_id, coalesce(sym_id, -1) order by start, hunk_no, part_no) as i from c_pieces)",
     "c_dealt": "c_dealt as (select doc_id, sym, i, 0 as bucket, w as held from c_lots where i = 1 union all select l.doc_id, l.sym, l.i, case when d.held + l.w > 4 then d.bucket + 1 else d.bucket end, case when d.held + l.w > 4 then l.w else d.held + l.w end from c_dealt d join c_lots l on l.doc_id = d.doc_id and l.sym = d.sym and l.i = d.i + 1)",
     "c_frags": """c_frags as (select l.doc_id, l.sym_id, d.bucket, case when any_value(l.sym_kind) = 'function' then case when any_value(t.n_buckets) > 1 then 'method-fragment' else 'method' end else 'other' end as kind, any_value(t.n_buckets) as n_buckets, sum(l.count) as n_lines, min(l.start) filter (l.count > 0) as start, max(l.start + l.count - 1) filter (l.count > 0) as "end", count(*) as n_parts
  from c_lots l join c_dealt d on d.doc_id = l.doc_id and d.sym = l.sym and d.i = l.i join (select doc_id, sym, max(bucket) + 1 as n_buckets from c_dealt group by all) t on t.doc_id = l.doc_id and t.sym = l.sym group by l.doc_id, l.sym_id, d.bucket)""",
@@ -169,7 +172,7 @@ def ch6_oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select doc_id, sym_id, bucket, case when n_buckets > 1 then 'fragment ' || (bucket + 1) end as label from c_frags""")
 def ch8_fragment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CH-8."""
-    c = chunking.chunks(chunking.parts(corpus.hunks(spark, sf_dir), corpus.symbols(spark, sf_dir)), cap=4)
+    c = chunking.chunks(chunking.parts(corpus.hunks(spark, sf_dir), corpus.symbols(spark, sf_dir)), cap=4, lines=corpus.file_lines(spark, sf_dir))
     return c.select("doc_id", "sym_id", "bucket", chunking.fragment_label(F.col("bucket"), F.col("n_buckets")).alias("label"))
 
 

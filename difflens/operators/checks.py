@@ -13,7 +13,7 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(*graph.KEYS, "kind").distinct().groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def chapter_order(edges: DataFrame, positions: DataFrame, nodes: DataFrame, reach: DataFrame, modes: list[tuple[str, str]]) -> DataFrame:
+def chapter_order(edges: DataFrame, positions: DataFrame, nodes: DataFrame, sccs: DataFrame, modes: list[tuple[str, str]]) -> DataFrame:
     """direction, placement, range_id, kind, src, dst, category of the edges that a book's order goes against, for each mode (direction, placement).
 
     Calls go by direction: consumer-first wants the caller earlier, dependency-first later. Of exercise edges only those from
@@ -21,8 +21,8 @@ def chapter_order(edges: DataFrame, positions: DataFrame, nodes: DataFrame, reac
     chunks without a position are left out. category: cycle if both chunks reach each other by calls, else inversion or
     test-order.
 
-    positions: range_id, chunk, pos (of the first occurrence); nodes: range_id, chunk, is_test, low_signal; reach: closure of
-    the calls between chunks with a position.
+    positions: range_id, chunk, pos (of the first occurrence); nodes: range_id, chunk, is_test, low_signal; sccs: cycles of
+    the calls between chunks with a position (range_id, node, scc).
     """
     known = positions.join(nodes, ["range_id", "chunk"]).where("not low_signal")
     end = lambda c: known.select("range_id", F.col("chunk").alias(c), F.col("pos").alias(f"{c}_pos"), F.col("is_test").alias(f"{c}_test"))
@@ -32,10 +32,9 @@ def chapter_order(edges: DataFrame, positions: DataFrame, nodes: DataFrame, reac
     e = e.withColumn("mode", F.explode(F.array(*(F.struct(F.lit(d).alias("direction"), F.lit(p).alias("placement")) for d, p in modes))))
     wrong = F.when(F.col("kind") == "calls", later == (F.col("mode.direction") == "consumer-first"))
     wrong = wrong.otherwise(tests & (F.col("mode.placement") != "end") & (later == (F.col("mode.placement") == "before")))
-    back = reach.select("range_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = reach.select(*graph.KEYS).join(back, graph.KEYS, "left_semi").withColumn("both", F.lit(True))
-    category = F.when(F.col("both"), "cycle").when(F.col("kind") == "calls", "inversion").otherwise("test-order")
-    return e.where(wrong).join(both, graph.KEYS, "left").select("mode.direction", "mode.placement", "range_id", "kind", "src", "dst", category.alias("category"))
+    at = lambda c: sccs.select("range_id", F.col("node").alias(c), F.col("scc").alias(f"{c}_scc"))
+    category = F.when(F.col("src_scc") == F.col("dst_scc"), "cycle").when(F.col("kind") == "calls", "inversion").otherwise("test-order")
+    return e.where(wrong).join(at("src"), ["range_id", "src"], "left").join(at("dst"), ["range_id", "dst"], "left").select("mode.direction", "mode.placement", "range_id", "kind", "src", "dst", category.alias("category"))
 
 
 def unit_fingerprints(members: DataFrame, keys: list[str], of: str) -> DataFrame:

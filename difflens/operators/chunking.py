@@ -83,9 +83,21 @@ def bucketize(weights: Column, cap: int) -> Column:
     return F.aggregate(weights, start, step, lambda acc: acc["out"])
 
 
-def chunks(parts_: DataFrame, cap: int = 40) -> DataFrame:
-    """doc_id, sym_id, bucket, kind, n_lines, start, end, n_parts, n_buckets: parts by symbol, dealt into buckets of at most cap lines."""
-    rows = F.array_sort(F.collect_list(F.struct("start", "hunk_no", "part_no", "count", F.greatest("count", "other_count", F.lit(1)).alias("weight"))))
+def cut_parts(parts_: DataFrame, lines: DataFrame, cap: int) -> DataFrame:
+    """parts_ with those of more than cap lines in pieces (split_oversize), which keep their part's number and symbol."""
+    named = parts_.select("doc_id", F.struct("hunk_no", "part_no").alias("hunk_no"), "start", "count", "other_count")
+    pieces = split_oversize(named, lines, cap).select("doc_id", "hunk_no.*", "start", "count", "other_count")
+    return pieces.join(parts_.select("doc_id", "hunk_no", "part_no", "sym_id", "sym_kind"), ["doc_id", "hunk_no", "part_no"]).select(*parts_.columns)
+
+
+def chunks(parts_: DataFrame, cap: int = 40, lines: DataFrame | None = None) -> DataFrame:
+    """doc_id, sym_id, bucket, kind, n_lines, start, end, n_parts, n_buckets: parts by symbol, dealt into buckets of at most cap lines.
+
+    With lines (doc_id, line_no, text) longer parts are cut first. A part without lines weighs one.
+    """
+    if lines is not None:
+        parts_ = cut_parts(parts_, lines, cap)
+    rows = F.array_sort(F.collect_list(F.struct("start", "hunk_no", "part_no", "count", F.greatest("count", F.lit(1)).alias("weight"))))
     g = parts_.groupBy("doc_id", "sym_id", "sym_kind").agg(rows.alias("rows"))
     g = g.withColumn("buckets", bucketize(F.transform("rows", lambda r: r["weight"]), cap)).withColumn("n_buckets", F.array_max("buckets") + 1)
     one = g.select("doc_id", "sym_id", "sym_kind", "n_buckets", F.explode(F.arrays_zip("rows", "buckets")).alias("x"))
@@ -110,14 +122,48 @@ def leftovers(expected: DataFrame, owned: DataFrame) -> DataFrame:
     return g.groupBy("doc_id", "g").agg(F.min("line_no").alias("start"), F.max("line_no").alias("end")).drop("g")
 
 
+def _trimmed(text: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def both_sides(hunks: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """doc_id, hunk_no, part (0 primary, 1 other side), side, line_no of a hunk's changed lines: head before base; of a deleted file (doc_ids) the base side alone."""
+    h = hunks if deleted is None else hunks.join(deleted.select("doc_id", F.lit(True).alias("gone")), "doc_id", "left")
+    gone = F.lit(False) if deleted is None else F.coalesce("gone", F.lit(False))
+    span = lambda start, n: F.when(F.col(n) > 0, F.sequence(F.col(start), F.col(start) + F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    one = lambda part, side, ns: F.transform(ns, lambda i: F.struct(F.lit(part).alias("part"), side.alias("side"), i.cast("int").alias("line_no")))
+    other = F.when(gone, F.array().cast("array<int>")).otherwise(span("other_start", "other_count"))
+    rows = F.concat(one(0, F.when(gone, "base").otherwise("head"), span("start", "count")), one(1, F.lit("base"), other))
+    return h.select("doc_id", "hunk_no", F.explode(rows).alias("r")).select("doc_id", "hunk_no", "r.*")
+
+
+def change_types(hunks: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
+    """doc_id, hunk_no, n_lines, change_type: generated if the file has a reason for it, else whitespace if all changed lines of both sides are blank and the file is no submodule, else null.
+
+    lines: doc_id, side, line_no, text; files: doc_id, deleted, submodule, generated_reason.
+    """
+    j = both_sides(hunks, files.where("deleted")).join(lines, ["doc_id", "side", "line_no"], "left")
+    g = j.groupBy("doc_id", "hunk_no").agg(F.count("*").alias("n_lines"), F.bool_and(_trimmed(F.coalesce("text", F.lit(""))) == "").alias("blank"))
+    kind = F.when(F.col("generated_reason").isNotNull(), "generated").when(F.col("blank") & ~F.col("submodule"), "whitespace")
+    return g.join(files, "doc_id").select("doc_id", "hunk_no", "n_lines", kind.alias("change_type"))
+
+
+def side_fingerprints(hunks: DataFrame, lines: DataFrame, files: DataFrame, digest) -> DataFrame:
+    """doc_id, hunk_no, fingerprint: digest of the trimmed changed lines of both sides, head before base."""
+    j = both_sides(hunks, files.where("deleted")).join(lines, ["doc_id", "side", "line_no"], "left")
+    rows = j.groupBy("doc_id", "hunk_no").agg(F.array_sort(F.collect_list(F.struct("part", "line_no", _trimmed(F.coalesce("text", F.lit(""))).alias("t")))).alias("rows"))
+    return rows.select("doc_id", "hunk_no", digest(F.array_join(F.transform("rows", lambda r: r["t"]), "\n")).alias("fingerprint"))
+
+
 def whitespace_only(hunks: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, hunk_no, n_lines, whitespace_only: whether all changed lines of a hunk are blank."""
     j = changed_lines(hunks).join(lines, ["doc_id", "line_no"])
-    return j.groupBy("doc_id", "hunk_no").agg(F.count("*").alias("n_lines"), F.bool_and(F.trim("text") == "").alias("whitespace_only"))
+    return j.groupBy("doc_id", "hunk_no").agg(F.count("*").alias("n_lines"), F.bool_and(_trimmed(F.col("text")) == "").alias("whitespace_only"))
 
 
 def fingerprints(hunks: DataFrame, lines: DataFrame, digest) -> DataFrame:
     """doc_id, hunk_no, fingerprint: digest of the trimmed changed lines in order."""
-    j = changed_lines(hunks).join(lines, ["doc_id", "line_no"]).select("doc_id", "hunk_no", "line_no", F.trim("text").alias("t"))
+    j = changed_lines(hunks).join(lines, ["doc_id", "line_no"]).select("doc_id", "hunk_no", "line_no", _trimmed(F.col("text")).alias("t"))
     rows = j.groupBy("doc_id", "hunk_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "t"))).alias("rows"))
     return rows.select("doc_id", "hunk_no", digest(F.array_join(F.transform("rows", lambda r: r["t"]), "\n")).alias("fingerprint"))

@@ -62,6 +62,52 @@ def cycles(reach: DataFrame) -> DataFrame:
     return both.groupBy("range_id", F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("scc"))
 
 
+def least_along(flow: DataFrame, start: DataFrame, follow: bool = True) -> DataFrame:
+    """range_id, way, node, label: the smallest start label among a node and all nodes that lead to it. flow: range_id, way, at, to; start: range_id, way, node, label.
+
+    follow: labels are nodes themselves and start as their own label; then they are followed too and travel far in few rounds.
+    """
+    keys, label = ["range_id", "way", "node"], start
+    while True:
+        near = flow.join(label.withColumnRenamed("node", "at"), ["range_id", "way", "at"]).groupBy("range_id", "way", F.col("to").alias("node")).agg(F.min("label").alias("near"))
+        new = label.join(near, keys, "left").select(*keys, "label", F.least("label", "near").alias("to"))
+        if follow:
+            further = label.select("range_id", "way", F.col("node").alias("to"), F.col("label").alias("beyond"))
+            new = new.join(further, ["range_id", "way", "to"]).withColumn("to", F.least("to", "beyond"))
+        new = _cut(new.select(*keys, F.col("to").alias("label"), (~F.col("to").eqNullSafe(F.col("label"))).alias("moved")))
+        label = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return label
+
+
+def strong(edges: DataFrame) -> DataFrame:
+    """range_id, node, scc: nodes on a cycle with the smallest node of theirs, as cycles() of the closure, in memory that grows with the edges alone.
+
+    Each turn first trims edges that can't lie on a cycle as they begin or end in a dead end, then gives every node the
+    smallest node that leads to it and the smallest that it leads to. Where both are one, that is its cycle; a cycle can't
+    hold nodes that differ in either, so edges between such nodes go. Each turn ends at least one part's smallest node.
+    """
+    rest, found = _cut(edges.where("src <> dst").select(*KEYS).distinct()), None
+    while not rest.isEmpty():
+        for _ in range(2):
+            entered, left = rest.select("range_id", F.col("dst").alias("src")).distinct(), rest.select("range_id", F.col("src").alias("dst")).distinct()
+            rest = rest.join(entered, ["range_id", "src"], "left_semi").join(left, ["range_id", "dst"], "left_semi")
+        rest = _cut(rest.select(*KEYS))
+        flow = _cut(rest.select("range_id", F.lit(0).alias("way"), F.col("src").alias("at"), F.col("dst").alias("to")).union(rest.select("range_id", F.lit(1), "dst", "src")))
+        nodes = flow.select("range_id", "way", F.col("at").alias("node")).union(flow.select("range_id", "way", "to")).distinct()
+        label = least_along(flow, _cut(nodes.withColumn("label", F.col("node"))))
+        wide = _cut(label.groupBy("range_id", "node").agg(F.min(F.when(F.col("way") == 0, F.col("label"))).alias("before"), F.min(F.when(F.col("way") == 1, F.col("label"))).alias("after")))
+        same = wide.where("before = after").select("range_id", "node", F.col("before").alias("scc"))
+        several = same.groupBy("range_id", "scc").count().where("count > 1").select("range_id", "scc")
+        mine = same.join(several, ["range_id", "scc"], "left_semi").select("range_id", "node", "scc")
+        found = mine if found is None else found.unionByName(mine)
+        open_ = wide.where("before <> after")
+        end = lambda c: open_.select("range_id", F.col("node").alias(c), F.struct("before", "after").alias(f"{c}_mark"))
+        rest = _cut(rest.join(end("src"), ["range_id", "src"]).join(end("dst"), ["range_id", "dst"]).where("src_mark = dst_mark").select(*KEYS))
+    nothing = edges.select("range_id", F.col("src").alias("node"), F.col("src").alias("scc")).where(F.lit(False))
+    return nothing if found is None else _cut(found)
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """range_id, node, component: the smallest node that edges lead to in either direction. nodes: range_id, node.
 
@@ -89,11 +135,12 @@ def source_cycles(edges: DataFrame, sccs: DataFrame) -> DataFrame:
     return sccs.groupBy("range_id", "scc").agg(F.min("node").alias("first_node")).join(entered, ["range_id", "scc"], "left_anti")
 
 
-def order_check(edges: DataFrame, reach: DataFrame) -> DataFrame:
+def order_check(edges: DataFrame, sccs: DataFrame) -> DataFrame:
     """range_id, src, dst, category: edges whose target stands after their source; in one cycle that is no inversion."""
     late = edges.where("src < dst").select(*KEYS).distinct()
-    back = reach.select("range_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back"))
-    return late.join(back, KEYS, "left").select(*KEYS, F.when(F.col("back"), "cycle").otherwise("inversion").alias("category"))
+    end = lambda c: sccs.select("range_id", F.col("node").alias(c), F.col("scc").alias(f"{c}_scc"))
+    met = late.join(end("src"), ["range_id", "src"], "left").join(end("dst"), ["range_id", "dst"], "left")
+    return met.select(*KEYS, F.when(F.col("src_scc") == F.col("dst_scc"), "cycle").otherwise("inversion").alias("category"))
 
 
 def frontier(edges: DataFrame, reviewed: DataFrame) -> DataFrame:

@@ -23,11 +23,55 @@ def unified_rows(hunks: DataFrame, lines: DataFrame, context: int = 3) -> DataFr
     return d.select("doc_id", F.row_number().over(order).alias("row_no"), "r.type", F.col("r.line_no").alias("line_no"), "r.text")
 
 
-def diff_text(rows: DataFrame) -> DataFrame:
-    """doc_id, diff: rows as text with + and space signs, … for a gap."""
-    sign = F.when(F.col("type") == "add", F.concat(F.lit("+"), "text")).when(F.col("type") == "gap", F.lit("…")).otherwise(F.concat(F.lit(" "), "text"))
-    lines = rows.select("doc_id", "row_no", sign.alias("line")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("rows"))
-    return lines.select("doc_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("diff"))
+def chunk_rows(hunks: DataFrame, lines: DataFrame, context: int = 3) -> DataFrame:
+    """doc_id, chunk, row_no, type (gap, context, del, add), head, base (line numbers), text: each chunk's hunks in both sides' coordinates.
+
+    Hunks go by their start on the primary side: head, or base in a deleted file, whose own lines are all deletions. Context
+    comes from the primary side and never twice; after a hunk it ends before the next one. Deleted lines stand before added
+    ones. A gap stands where the next context begins beyond the last line shown. Files without content have no rows.
+
+    hunks: doc_id, chunk, hunk_no, deleted, head_start, head_count, base_start, base_count (with a count of 0 a start is the
+    line before); lines: doc_id, side (head, base), line_no, text.
+    """
+    main = F.when(F.col("deleted"), "base").otherwise("head")
+    h = hunks.withColumns({"main": main, "start": F.when(F.col("deleted"), F.col("base_start")).otherwise(F.col("head_start")), "count": F.when(F.col("deleted"), F.col("base_count")).otherwise(F.col("head_count"))})
+    tall = lines.groupBy("doc_id", F.col("side").alias("main")).agg(F.max("line_no").alias("n"))
+    w = Window.partitionBy("doc_id", "chunk").orderBy("start", "hunk_no")
+    before, last = F.when(F.col("count") > 0, F.col("start") - 1).otherwise(F.col("start")), F.col("before") + F.col("count")
+    h = h.join(tall, ["doc_id", "main"]).withColumn("before", before)
+    h = h.withColumn("upto", F.least(last + context, F.lead("start").over(w) - 1, "n"))
+    shown = F.greatest(F.least("before", "n"), F.when(F.col("count") > 0, last), "upto")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumns({"place": F.row_number().over(w), "shown": F.greatest(F.coalesce(F.max(shown).over(earlier), F.lit(0)), F.lit(0))})
+    dels = F.when(F.col("deleted"), 0).otherwise(F.col("base_count"))
+
+    def stretch(phase, kind, side, from_, to):
+        ns = F.when(from_ <= to, F.sequence(from_.cast("int"), to.cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(ns, lambda n: F.struct(F.lit(phase).alias("phase"), kind.alias("type"), side.alias("side"), n.alias("line_no")))
+
+    side, own = F.col("main"), F.when(F.col("deleted"), "del").otherwise("add")
+    body = F.concat(
+        stretch(1, F.lit("context"), side, F.greatest(F.col("before") - context + 1, F.col("shown") + 1), F.least("before", "n")),
+        stretch(2, F.lit("del"), F.lit("base"), F.col("base_start"), F.col("base_start") + dels - 1),
+        stretch(3, own, side, F.col("start"), F.col("start") + F.col("count") - 1),
+        stretch(4, F.lit("context"), side, F.greatest(last + 1, F.col("shown") + 1), F.col("upto")),
+    )
+    h = h.withColumn("body", body).withColumn("begun", F.coalesce(F.max(F.size("body") > 0).over(earlier), F.lit(False)))
+    none = F.array().cast("array<struct<phase:int,type:string,side:string,line_no:int>>")
+    gap = F.array(F.struct(F.lit(0).alias("phase"), F.lit("gap").alias("type"), F.lit(None).cast("string").alias("side"), F.lit(None).cast("int").alias("line_no")))
+    skipped = F.col("begun") & (F.col("before") - context > F.col("shown"))
+    r = h.select("doc_id", "chunk", "place", F.explode(F.concat(F.when(skipped, gap).otherwise(none), F.col("body"))).alias("r")).select("doc_id", "chunk", "place", "r.*")
+    met = r.join(lines, ["doc_id", "side", "line_no"], "left")
+    order = F.row_number().over(Window.partitionBy("doc_id", "chunk").orderBy("place", "phase", "line_no"))
+    on = lambda s: F.when(F.col("side") == s, F.col("line_no")).alias(s)
+    return met.select("doc_id", "chunk", order.alias("row_no"), "type", on("head"), on("base"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def diff_text(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, diff: rows as text with +, - and space signs, … for a gap."""
+    sign = F.when(F.col("type") == "add", F.concat(F.lit("+"), "text")).when(F.col("type") == "del", F.concat(F.lit("-"), "text")).when(F.col("type") == "gap", F.lit("…")).otherwise(F.concat(F.lit(" "), "text"))
+    lines = rows.select(*keys, "row_no", sign.alias("line")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("rows"))
+    return lines.select(*keys, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("diff"))
 
 
 def changed_span(rows: DataFrame) -> DataFrame:

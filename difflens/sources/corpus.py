@@ -28,7 +28,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("conf/c"), s, F.lit(".json")))
     )
     status = F.when(F.col("doc_id") % 17 == 0, "deleted").when(F.col("doc_id") % 13 == 0, "added").when(F.col("doc_id") % 11 == 0, "renamed").otherwise("modified")
-    d = d.select(F.floor(F.col("doc_id") / 40).alias("range_id"), (F.col("doc_id") % 40).cast("int").alias("file_no"), "doc_id", name.alias("path"), status.alias("status"))
+    d = d.select(F.expr("doc_id div 40").alias("range_id"), (F.col("doc_id") % 40).cast("int").alias("file_no"), "doc_id", name.alias("path"), status.alias("status"))
     return d.withColumn("base_path", F.when(F.col("status") == "renamed", F.concat(F.lit("old/"), F.col("path"))))
 
 
@@ -39,6 +39,13 @@ def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", n.cast("int").alias("line_no"), F.when((F.col("doc_id") + F.floor(n / 6)) % 9 == 0, "").otherwise(F.col("raw")).alias("text"))
 
 
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, side, line_no, text: the head's lines, and the base's, of which every third is another text."""
+    head = file_lines(spark, sf_dir)
+    other = F.when((F.col("doc_id") + F.col("line_no")) % 3 == 0, F.concat(F.lit("~"), "text")).otherwise(F.col("text"))
+    return head.select("doc_id", F.lit("head").alias("side"), "line_no", "text").unionByName(head.select("doc_id", F.lit("base").alias("side"), "line_no", other.alias("text")))
+
+
 def is_changed():
     return (F.col("line_no") + F.col("doc_id")) % 11 < 6
 

@@ -21,7 +21,7 @@ def parse_diff(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.bool_or(line.startswith("new file mode")).alias("added"),
         F.bool_or(line.startswith("deleted file mode")).alias("deleted"),
         F.bool_or(line.rlike("^(Binary files |GIT binary patch)")).alias("binary"),
-        F.bool_or(line.rlike("^(new file mode|deleted file mode|old mode|index .*) ?160000$")).alias("submodule"),
+        F.bool_or(line.rlike(r"^(index [0-9a-f]+\.\.[0-9a-f]+|(old|new|new file|deleted file) mode) 160000$")).alias("submodule"),
     )
     status = F.when(F.col("added"), "added").when(F.col("deleted"), "deleted").when(F.col("base_path").isNotNull(), "renamed").otherwise("modified")
     path = F.coalesce(F.when(F.col("deleted"), F.col("from")), F.col("to"), F.col("named"))
