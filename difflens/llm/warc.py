@@ -2,21 +2,26 @@
 
 A writing task puts out one archive per slice of its rows, under a name of its own; only archives named in the
 materialised manifest count, so that a task run twice does no harm. A reading task gets a byte range. It looks for the
-gzip magic, takes a place for a record's start if its first bytes decode to a WARC version line, owns the records that
-start inside its range and reads on past the range's end for the last one.
+gzip magic, takes a place for a record's start if what it decodes to begins with the version line of a WARC and lines of
+`name: value`, owns the records that start inside its range and reads on past the range's end for the last one.
+
+Archives of others are read too: any 0.x or 1.x version, any record type. A record without a type or a whole block of its
+stated length comes back as `malformed`; none is left out.
 
 A null html is an empty payload, a null page_id gives records without a page id. Payloads under `least` bytes are always
-responses. Repeated rows are records of their own (equal page_ids: one of them is the response). An empty table gives no
-archive and no rows; other columns aren't touched.
+responses. Repeated rows are records of their own; rows that share the largest page_id of a payload are all responses. An
+empty table gives no archive and no rows; only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,9 +34,11 @@ LEAST = 1000
 RANGE_BYTES = 4 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
-#: Of a record's header block, at most so many bytes are decoded to validate a candidate.
-PEEK = 64
-RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: What a record's header begins with: its version line, then whole lines with a name (or going on), then perhaps a cut one.
+HEADER = re.compile(rb"WARC/[01]\.\d+\r?\n(?:(?:[^\r\n:]+:|[ \t])[^\r\n]*\r?\n)*(?:\r?\n|[^\r\n]*\Z)")
+#: Bytes decoded to validate a candidate, bytes decompressed at a time.
+PEEK, STEP = 1024, 1 << 16
+RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string"
 _EPOCH = "2024-01-01T00:00:00Z"
 
 
@@ -76,19 +83,35 @@ def encode_record(page_id, url, payload: bytes, digest: str, kind: str, refers_t
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
+def _sha1_of(stated: str | None) -> str | None:
+    """A digest field as hex: of sha1 in base 32 or hex, else none."""
+    name, _, value = (stated or "").strip().partition(":")
+    if name.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
 def decode_record(data: bytes) -> tuple:
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda name: int(fields[name]) if name in fields else None
-    kind = fields["warc-type"]
-    if kind == "response":
-        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    """The columns of RECORD. The payload is a response's HTTP body, as it was sent, or the block of other records; a revisit has none, and the size that its HTTP header states."""
+    head, _, block = re.split(rb"(\r?\n\r?\n)", data, maxsplit=1) if re.search(rb"\r?\n\r?\n", data) else (data, b"", b"")
+    lines = re.sub(rb"\r?\n[ \t]+", b" ", head).decode("utf-8", "replace").splitlines()
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    number = lambda name: int(fields[name]) if re.fullmatch(r"-?\d+", fields.get(name, "")) else None
+    size, kind = number("content-length"), fields.get("warc-type", "").lower()
+    names = (fields.get("warc-record-id"), fields.get("warc-refers-to"))
+    if not kind or size is None or not 0 <= size <= len(block):
+        return number("warc-page-id"), fields.get("warc-target-uri"), None, None, None, "malformed", number("warc-refers-to-page-id"), *names
+    block = block[:size]
+    http, gap, body = block.partition(b"\r\n\r\n")
+    if kind == "revisit":
+        sizes = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if re.fullmatch(rb"(?i)content-length:\s*\d+\s*", x)]
+        payload, n, digest = None, sizes[0] if sizes else None, _sha1_of(fields.get("warc-payload-digest"))
     else:
-        size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-    return number("warc-page-id"), fields.get("warc-target-uri"), payload if kind == "response" else None, size, digest, kind, number("warc-refers-to-page-id")
+        payload = body if kind == "response" and fields.get("content-type", "").lower().startswith("application/http") and gap else block
+        n, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    return number("warc-page-id"), fields.get("warc-target-uri"), payload, n, digest, kind, number("warc-refers-to-page-id"), *names
 
 
 def write_archives(records: DataFrame, path: str) -> DataFrame:
@@ -109,17 +132,30 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
 
 
 def member_starts(data: bytes, upto: int) -> Iterator[int]:
-    """Places before upto where a gzip member with a WARC record starts: magic that decodes to the version line."""
+    """Places before upto where a gzip member with a WARC record starts: magic that decodes to a header's beginning."""
     at = data.find(MAGIC)
     while 0 <= at < upto:
         try:
-            if zlib.decompressobj(31).decompress(data[at : at + 4096], PEEK).startswith(VERSION):
+            if HEADER.match(zlib.decompressobj(31).decompress(data[at : at + 4096], PEEK)):
                 yield at
         except zlib.error:
             pass
         at = data.find(MAGIC, at + 1)
 
 
+def member_at(data: memoryview, at: int, more: Callable[[], bytes]) -> tuple[bytes | None, int]:
+    """The decoded member that begins at a place of data, and how many bytes of data and what follows it (more) it takes; None if it is cut off. Each byte is handed on once."""
+    z, out, taken = zlib.decompressobj(31), [], 0
+    while True:
+        step = bytes(data[at + taken : at + taken + STEP]) or more()
+        if not step:
+            return None, taken
+        out.append(z.decompress(step))
+        taken += len(step) - len(z.unused_data)
+        if z.eof:
+            return b"".join(out), taken
+
+
 def read_archives(spark: SparkSession, path: str, files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records (columns of RECORD) of archives: files has file (under path) and bytes."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))
@@ -130,35 +166,29 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame, range_bytes:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         names = [x.split()[0] for x in RECORD.split(", ")]
-        types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_file(f"{root}/{row['file']}") as f:
                     own = min(range_bytes, row["bytes"] - row["start"])
                     data = f.read_at(own + 4096, row["start"])
-                    rows, held = [], 0
-                    end = 0
+                    rows, held, end, view = [], 0, 0, memoryview(data)
                     for at in member_starts(data, own):
                         if at < end:  # inside a record that is already read
                             continue
-                        z, text, more = zlib.decompressobj(31), [], data[at:]
-                        next_read, end = row["start"] + len(data), len(data)
-                        while more:
-                            text.append(z.decompress(more))
-                            if z.eof:
-                                break
-                            more = f.read_at(1 << 20, next_read)
-                            next_read += len(more)
-                        if not z.eof:
+                        beyond = itertools.count(row["start"] + len(data), STEP)
+                        record, taken = member_at(view, at, lambda: f.read_at(STEP, next(beyond)))  # noqa: B023
+                        if record is None:
                             raise ValueError(f"{row['file']}: record at {row['start'] + at} is cut off")
-                        rows.append(decode_record(b"".join(text)))
-                        end = max(at + 1, next_read - row["start"] - len(z.unused_data))
+                        rows.append(decode_record(record))
+                        end = at + taken
                         held += len(rows[-1][2] or b"")
                         if held > 16 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                            yield packed(rows)
                             rows, held = [], 0
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        yield packed(rows)
 
     return ranges.mapInArrow(read, RECORD)
 
