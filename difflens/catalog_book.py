@@ -76,6 +76,36 @@ def jn14_context_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.definitions(_known(spark, sf_dir)[1], corpus.symbols(spark, sf_dir), corpus.file_lines(spark, sf_dir))
 
 
+#: Files whose id leaves 1 by 4 aren't in the diff. Test files' ranges grow to the span around them.
+FIXTURE |= {
+    "j_scope": f"""j_scope as (select distinct o.doc_id, o.sym, l.line_no from (select o.*, {_TEST} as test from c_owned o join c_files using (doc_id) where doc_id % 4 <> 1) o join c_lines l on l.doc_id = o.doc_id
+  and (l.line_no = o.line_no or o.test and exists (select 1 from c_symbols s where s.doc_id = o.doc_id and o.line_no between s.a and s.b and l.line_no between s.a and s.b and s.depth = 1)))""",
+    "j_names": "j_names as (select distinct doc_id, sym, case when line_no % 3 = 0 then 'T' || (line_no % 5) else 'f' || ((line_no * 5 + doc_id) % 20) end as name from j_scope where (line_no + doc_id) % 2 = 0)",
+    "j_spans": "j_spans as (select doc_id, name, any_value(sym_id) as sym_id, any_value(a) as a, any_value(b) as b from c_named group by doc_id, name having count(*) = 1)",
+    "j_one": """j_one as (select n.*, s.doc_id as to_doc, s.sym_id, s.a, s.b from j_names n join j_spans s on s.name = n.name and (s.doc_id = n.doc_id or exists (select 1 from c_pairs p where p.doc_id = n.doc_id and p.to_doc = s.doc_id)) where s.doc_id % 4 <> 1
+  and not (s.doc_id = n.doc_id and exists (select 1 from c_owned o where o.doc_id = n.doc_id and o.sym = n.sym and o.line_no between s.a and s.b)) qualify count(*) over (partition by n.doc_id, n.sym, n.name) = 1)""",
+    "j_two": """j_two as (select n.*, s.doc_id as to_doc, s.sym_id, s.a, s.b from (select * from j_names where (doc_id, sym, name) not in (select doc_id, sym, name from j_one)) n join c_pairs p on p.doc_id = n.doc_id join j_spans s on s.name = n.name and s.doc_id = p.to_doc where s.doc_id % 4 = 1 qualify count(*) over (partition by n.doc_id, n.sym, n.name) = 1)""",
+    "j_body": """j_body as (select *, coalesce((list_filter(range(5, 8), lambda i: trim(coalesce(t[i + 1], 'x')) = ''))[1], (list_filter(range(5, 8), lambda i: regexp_matches(coalesce(t[i + 1], ''), '[;{}]\\s*$')))[1] + 1, 5) as cut from (select d.doc_id, d.sym, d.name, d.to_doc, d.sym_id as to_sym, d.changed, list(l.text order by l.line_no) as t
+  from (select *, true as changed from j_one union all select *, false from j_two) d join c_lines l on l.doc_id = d.to_doc and l.line_no between d.a and d.b group by all))""",
+}
+
+
+@query("select doc_id, sym, name, to_doc, to_sym, changed, case when len(t) <= 5 then array_to_string(t, chr(10)) else array_to_string(t[1 : cut], chr(10)) || chr(10) || '… (' || (len(t) - cut) || case when len(t) - cut = 1 then ' more line)' else ' more lines)' end end as body from j_body")
+def jn14_both_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-13, JN-14, SC-14: changed files first, then files the diff doesn't touch; bodies of more than five lines are cut."""
+    spans, pairs, files = corpus.symbols(spark, sf_dir), _pairs(spark, sf_dir), corpus.files(spark, sf_dir)
+    out = "doc_id % 4 = 1"
+    owned = _owned(spark, sf_dir).where(f"not ({out})")
+    tests = owned.join(files.where(paths.is_test(F.col("path"))).select("doc_id"), "doc_id").select("doc_id", "sym", F.col("line_no").alias("start"), F.col("line_no").alias("end"), F.col("line_no").alias("hunk_no"))
+    grown = references.widened(tests.select("doc_id", F.struct("sym", "hunk_no").alias("hunk_no"), "start", "end"), spans.where("depth = 1"))
+    wide = grown.select("doc_id", "hunk_no.sym", F.explode(F.sequence("start", "end")).alias("line_no"))
+    scope = owned.select("doc_id", "sym", "line_no").unionByName(wide).distinct().join(corpus.file_lines(spark, sf_dir).select("doc_id", "line_no"), ["doc_id", "line_no"])
+    name = F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("T"), (F.col("line_no") % 5).cast("string"))).otherwise(F.concat(F.lit("f"), ((F.col("line_no") * 5 + F.col("doc_id")) % 20).cast("string")))
+    names = scope.where("(line_no + doc_id) % 2 = 0").select("doc_id", "sym", name.alias("name"))
+    by = lambda d, c, yes: d.where(f"{c} % 4 = 1" if yes else f"{c} % 4 <> 1")
+    return references.context_definitions(names, owned, (by(spans, "doc_id", False), by(pairs, "to_doc", False)), (by(spans, "doc_id", True), by(pairs, "to_doc", True)), corpus.file_lines(spark, sf_dir), most=5, reach=2)
+
+
 @query(f"select d.* from {_DEFS} d where (to_doc, to_sym) not in (select n.doc_id, n.sym_id from c_named n join c_owned o on o.doc_id = n.doc_id and o.line_no = n.a)")
 def jn15_visible_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = corpus.symbols(spark, sf_dir)

@@ -11,12 +11,16 @@ def changed_lines(hunks: DataFrame) -> DataFrame:
     return hunks.where("count > 0").select("doc_id", "hunk_no", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("line_no"))
 
 
+def symbol_lines(symbols: DataFrame) -> DataFrame:
+    """symbols with line_no: a row for each line that a symbol spans. Lines then meet their symbols by equality, in as many rows as there are lines times the depth of nesting."""
+    return symbols.withColumn("line_no", F.explode(F.sequence("start_line", "end_line")))
+
+
 def innermost_symbol(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """lines with sym_id, sym_kind of the deepest symbol around each line, null outside all."""
-    s = symbols.select(F.col("doc_id").alias("s_doc"), "sym_id", "depth", F.col("kind").alias("sym_kind"), "start_line", "end_line")
-    met = lines.join(s, (F.col("doc_id") == F.col("s_doc")) & F.col("line_no").between(F.col("start_line"), F.col("end_line")), "left")
-    deepest = F.max_by(F.struct("sym_id", "sym_kind"), F.struct("depth", -F.col("sym_id")))
-    return met.groupBy(*lines.columns).agg(deepest.alias("s")).select(*lines.columns, "s.sym_id", "s.sym_kind")
+    deepest = F.max_by(F.struct("sym_id", F.col("kind").alias("sym_kind")), F.struct("depth", -F.col("sym_id")))
+    around = symbol_lines(symbols).groupBy("doc_id", "line_no").agg(deepest.alias("s"))
+    return lines.join(around, ["doc_id", "line_no"], "left").select(*lines.columns, "s.sym_id", "s.sym_kind")
 
 
 def parts(hunks: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from difflens.functions import text
+from difflens.operators.chunking import symbol_lines
 
 #: Names that say nothing.
 NOISE = ("console", "JSON", "Math", "Object", "Array", "String", "Number", "Promise", "Set", "Map", "parseInt", "structuredClone", "nameof", "var", "ToString", "Equals", "GetHashCode")
@@ -39,6 +40,37 @@ def unresolved(scoped: DataFrame, resolved: DataFrame) -> DataFrame:
     return left.groupBy("doc_id", "sym").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
+def context_definitions(scoped: DataFrame, owned: DataFrame, changed: tuple[DataFrame, DataFrame], unchanged: tuple[DataFrame, DataFrame], lines: DataFrame, most: int = 80, reach: int = 5) -> DataFrame:
+    """doc_id, sym, name, to_doc, to_sym, changed, body: the definition of each name (scoped: doc_id, sym, name) that the chunk's reader can't see.
+
+    Changed files come first: the chunk's own, where spans on its own lines (owned: doc_id, line_no, sym) don't count, and
+    those it imports. Names that they leave open are sought in imported files that the diff doesn't touch. In either case a
+    file counts with its only span of the name, and just one file may be left. changed, unchanged: spans and imports
+    (doc_id, to_doc). Bodies are capped at `most` lines (text.cap_body).
+    """
+
+    def single(names: DataFrame, spans: DataFrame, imports: DataFrame, own: bool) -> DataFrame:
+        one = spans.groupBy(F.col("doc_id").alias("to_doc"), "name").agg(F.count("*").alias("n"), F.min_by(F.struct("sym_id", "start_line", "end_line"), "sym_id").alias("span")).where("n = 1").drop("n")
+        tries = names.join(imports.distinct(), "doc_id").where("doc_id <> to_doc")
+        if own:
+            tries = tries.unionByName(names.withColumn("to_doc", F.col("doc_id")))
+        met = tries.join(one, ["to_doc", "name"]).select("doc_id", "sym", "name", "to_doc", "span.*")
+        if own:
+            inside = met.where("doc_id = to_doc").withColumn("line_no", F.explode(F.sequence("start_line", "end_line"))).join(owned, ["doc_id", "line_no", "sym"], "left_semi").select("doc_id", "sym", "name", "to_doc").distinct()
+            met = met.join(inside, ["doc_id", "sym", "name", "to_doc"], "left_anti")
+        left = met.groupBy("doc_id", "sym", "name").agg(F.count("*").alias("n"), F.min(F.struct("to_doc", "sym_id", "start_line", "end_line")).alias("x")).where("n = 1")
+        return left.select("doc_id", "sym", "name", "x.to_doc", F.col("x.sym_id").alias("to_sym"), "x.start_line", "x.end_line", F.lit(own).alias("changed"))
+
+    names = scoped.select("doc_id", "sym", "name").distinct()
+    first = single(names, *changed, own=True)
+    second = single(names.join(first, ["doc_id", "sym", "name"], "left_anti"), *unchanged, own=False)
+    found = first.unionByName(second)
+    span = found.select("to_doc", "to_sym", "start_line", "end_line").distinct().withColumn("line_no", F.explode(F.sequence("start_line", "end_line")))
+    rows = span.join(lines.withColumnRenamed("doc_id", "to_doc"), ["to_doc", "line_no"]).groupBy("to_doc", "to_sym").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
+    body = text.cap_body(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"), most, reach)
+    return found.join(rows.select("to_doc", "to_sym", body.alias("body")), ["to_doc", "to_sym"]).select("doc_id", "sym", "name", "to_doc", "to_sym", "changed", "body")
+
+
 def definitions(resolved: DataFrame, spans: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, sym, to_doc, to_sym, body: each definition of a chunk once, without those that the chunk itself declares; bodies are capped."""
     wanted = resolved.where("doc_id <> to_doc or sym <> to_sym").select("doc_id", "sym", "to_doc", "to_sym").distinct()
@@ -57,10 +89,11 @@ def visible(defs: DataFrame, owned: DataFrame, spans: DataFrame) -> DataFrame:
 
 def widened(ranges: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, hunk_no, start, end: each range grown to the smallest span around it."""
-    s = spans.select(F.col("doc_id").alias("s_doc"), "start_line", "end_line")
-    met = ranges.join(s, (F.col("doc_id") == F.col("s_doc")) & (F.col("start_line") <= F.col("start")) & (F.col("end_line") >= F.col("end")), "left")
-    best = met.groupBy("doc_id", "hunk_no", "start", "end").agg(F.min_by(F.struct("start_line", "end_line"), F.struct(F.col("end_line") - F.col("start_line"), "start_line")).alias("s"))
-    return best.select("doc_id", "hunk_no", F.coalesce("s.start_line", "start").alias("start"), F.coalesce("s.end_line", "end").alias("end"))
+    s = symbol_lines(spans.select("doc_id", "start_line", "end_line")).withColumnRenamed("line_no", "start")
+    inside = F.col("end_line") >= F.col("end")
+    best = F.min_by(F.when(inside, F.struct("start_line", "end_line")), F.when(inside, F.struct(F.col("end_line") - F.col("start_line"), "start_line")))
+    grown = ranges.join(s, ["doc_id", "start"], "left").groupBy("doc_id", "hunk_no", "start", "end").agg(best.alias("s"))
+    return grown.select("doc_id", "hunk_no", F.coalesce("s.start_line", "start").alias("start"), F.coalesce("s.end_line", "end").alias("end"))
 
 
 def namespaces(usings: DataFrame, declared: DataFrame, ancestors) -> DataFrame:
