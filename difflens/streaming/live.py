@@ -65,7 +65,11 @@ class _Dwell(StatefulProcessor):
 
 
 def dwell(ticks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """key, seq, banked, current, cleared after each batch, for the keys it holds. ticks: a stream of state.dwell()'s rows. A key without ticks for ttl_ms is forgotten."""
+    """key, seq, banked, current, cleared after each batch, for the keys it holds. ticks: a stream of state.dwell()'s rows.
+
+    A key without ticks for ttl_ms is forgotten; such a stream watches the clock, so it needs a trigger by processing time
+    (availableNow would not end).
+    """
     kind = ticks.schema["key"].dataType.simpleString()
     return ticks.groupBy("key").transformWithStateInPandas(
         _Dwell(ttl_ms), f"key {kind}, seq long, banked long, current long, cleared boolean", "Update", "ProcessingTime" if ttl_ms else "None")

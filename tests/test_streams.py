@@ -23,7 +23,7 @@ def test_dwell_stream_equals_batch_under_a_random_split(spark):
             accruing = rnd.random() < 0.7
             ticks.append((key, seq, accruing, accruing and rnd.random() < 0.1, rnd.choice([0, 50, 400, 2000]), rnd.randrange(12), sum(seq >= c for c in cuts)))
     t = spark.createDataFrame(ticks, TICK)
-    out = live.merged_stream(t, 3, lambda s: live.dwell(s, ttl_ms=3_600_000).withColumnRenamed("key", "id").withColumn("op", F.lit("upsert")), "update", "dwell-test")
+    out = live.merged_stream(t, 3, lambda s: live.dwell(s).withColumnRenamed("key", "id").withColumn("op", F.lit("upsert")), "update", "dwell-test")
     assert rows(out.select("id", "banked", "current", "cleared")) == rows(state.dwell(t.drop("batch")))
 
 
