@@ -22,7 +22,8 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            tables = ", ".join(FIXTURE[n] for n in FIXTURE if _used(n, sql))
+            used = _used(sql)
+            tables = ", ".join(FIXTURE[n] for n in FIXTURE if n in used)
             more = f", {sql[5:]}" if sql.startswith("with ") else f" {sql}"
             SQL[f.__name__] = f"with recursive {tables}{more}" if tables else sql
         return f
@@ -66,9 +67,14 @@ FIXTURE = {
 }
 
 
-def _used(name: str, sql: str, seen: frozenset = frozenset()) -> bool:
-    word = lambda n, s: re.search(rf"\b{n}\b", s) is not None
-    return word(name, sql) or any(word(name, FIXTURE[n].split(" as ", 1)[1]) and n != name and _used(n, sql, seen | {name}) for n in FIXTURE if n not in seen)
+def _used(sql: str) -> set[str]:
+    """The corpus tables that a query names, and those that these name."""
+    found, todo = set(), [sql]
+    while todo:
+        named = set(re.findall(r"\w+", todo.pop())) & FIXTURE.keys() - found
+        found |= named
+        todo += [FIXTURE[n].split(" as ", 1)[1] for n in named]
+    return found
 
 
 # ---- paths, classes, texts (SC-*, TX-*)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from difflens.catalog import _RESOLVED, FIXTURE, _imports, query
 from difflens.functions import paths
-from difflens.operators import book, chunking, evaluation, freshness, graph, imports, ordering, references, rendering
+from difflens.operators import book, checks, chunking, evaluation, freshness, graph, imports, ordering, references, rendering
 from difflens.sources import corpus
 from difflens.streaming import state
 
@@ -374,3 +374,43 @@ def rn4_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, string_agg(case when r.type = 'add' then '+' || l.text when r.type = 'gap' then '…' else ' ' || l.text end, chr(10) order by r.row_no) as diff from c_rows r left join c_lines l using (doc_id, line_no) group by doc_id")
 def rn3_diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.diff_text(rendering.unified_rows(corpus.hunks(spark, sf_dir), corpus.file_lines(spark, sf_dir)))
+
+
+# ---- file order (OR-12), fingerprints of all kinds (FR-1)
+
+FIXTURE |= {
+    "f_edges": "f_edges as (select distinct f.range_id, x.src, x.dst from (select doc_id as src, to_doc as dst from c_pairs union all select to_doc, doc_id from c_pairs where (doc_id + to_doc) % 4 = 0) x join c_files f on f.doc_id = x.src where src % 19 > 0 and dst % 19 > 0)",
+    "f_reach": "f_reach as (select range_id, src, dst from f_edges union select r.range_id, r.src, e.dst from f_reach r join f_edges e on e.range_id = r.range_id and e.src = r.dst)",
+    "f_files": f"f_files as (select *, doc_id % 10 in (5, 7) as low, {_TEST} as test from c_files)",
+}
+
+
+@query("""select e.range_id, e.src, e.dst, case when r.src is not null then 'cycle' when a.test and not b.test then 'test-order' else 'inversion' end as category
+from f_edges e join f_files a on a.doc_id = e.src join f_files b on b.doc_id = e.dst left join f_reach r on r.range_id = e.range_id and r.src = e.dst and r.dst = e.src where a.file_no < b.file_no and not a.low and not b.low""")
+def or12_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OR-12: files in their own order; every nineteenth is a leftover, generated ones and lockfiles are low-signal."""
+    f = corpus.files(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir).select(F.col("doc_id").alias("src"), F.col("to_doc").alias("dst"))
+    both = pairs.unionByName(pairs.where("(src + dst) % 4 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    edges = both.join(f.select("range_id", F.col("doc_id").alias("src")), "src")
+    files = f.select("range_id", F.col("doc_id").alias("file"), F.col("file_no").alias("pos"), (F.col("doc_id") % 19 == 0).alias("leftover"), (F.col("doc_id") % 10).isin(5, 7).alias("low_signal"), paths.is_test(F.col("path")).alias("is_test"))
+    return checks.file_order(edges, files)
+
+
+FIXTURE["k_rows"] = "k_rows as (select doc_id // 40 as range_id, md5(cast(doc_id // 40 as varchar)) as head, doc_id % 5 as section_no, 's' || doc_id % 5 as section, doc_id as chunk, doc_id % 3 as test from documents)"
+FIXTURE["k_sections"] = "k_sections as (select range_id, head, section_no, section, string_agg(chunk, chr(10) order by chunk desc) as chunks, md5(concat_ws(chr(10), head, '7', section, string_agg(chunk, chr(10) order by chunk desc))) as fingerprint from k_rows group by range_id, head, section_no, section)"
+
+
+@query("""select distinct range_id, 'graph' as kind, '' as key, md5(head || chr(10) || '7') as fingerprint from k_rows
+union all select range_id, kind, cast(chunk as varchar), md5(concat_ws(chr(10), head, '7', chunk)) from k_rows, (select unnest(['context', 'chunk']) as kind)
+union all select range_id, 'section', section, fingerprint from k_sections
+union all select range_id, 'opener', '', md5(string_agg(distinct fingerprint, chr(10) order by fingerprint)) from k_sections group by range_id
+union all select range_id, 'book', '', md5(concat_ws(chr(10), any_value(head), '7', string_agg(section || chr(10) || chunks, chr(10) order by section_no))) from k_sections group by range_id
+union all select range_id, 'chapter', '', md5(concat_ws(chr(10), any_value(head), '7', 'chapter', string_agg('|' || chr(10) || chunks, chr(10) order by section_no))) from (select range_id, any_value(head) as head, section_no, string_agg(chunk, chr(10) order by chunk desc) as chunks from k_rows where test > 0 group by range_id, section_no) group by range_id""")
+def fr1_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FR-1: the seven kinds; sections run backwards through a range's documents, every third document is a test."""
+    i = F.col("doc_id")
+    d = corpus.table(spark, sf_dir, "documents").select(F.expr("doc_id div 40").alias("range_id"), (i % 5).alias("section_no"), (-i).alias("pos"), i.alias("chunk"), (i % 3).alias("test"))
+    heads = d.select("range_id", F.md5(F.col("range_id").cast("string")).alias("head")).distinct()
+    sections = d.withColumn("section", F.concat(F.lit("s"), F.col("section_no").cast("string")))
+    return freshness.fingerprints(heads, sections.drop("test"), d.where("test > 0").select("range_id", F.col("section_no").alias("chapter_no"), "pos", "chunk"), "7")

@@ -37,6 +37,23 @@ def chapter_order(edges: DataFrame, positions: DataFrame, nodes: DataFrame, sccs
     return e.where(wrong).join(at("src"), ["range_id", "src"], "left").join(at("dst"), ["range_id", "dst"], "left").select("mode.direction", "mode.placement", "range_id", "kind", "src", "dst", category.alias("category"))
 
 
+def file_order(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """range_id, src, dst, category of the imports whose file stands before what it imports: cycle if both lie on one cycle, test-order from a test to what is none, else inversion.
+
+    Files among the leftovers have no position: imports from or to them don't count, nor do paths through them. Files of
+    low-signal chunks alone are exempt, but paths may lead through them. edges: range_id, src, dst; files: range_id, file,
+    pos, leftover, low_signal, is_test.
+    """
+    placed = files.where("not leftover")
+    end = lambda c: placed.select("range_id", F.col("file").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("pos", "low_signal", "is_test")))
+    e = edges.where("src <> dst").select(*graph.KEYS).distinct().join(end("src"), ["range_id", "src"]).join(end("dst"), ["range_id", "dst"])
+    sccs = graph.strong(e)
+    at = lambda c: sccs.select("range_id", F.col("node").alias(c), F.col("scc").alias(f"{c}_scc"))
+    wrong = e.where("src_pos < dst_pos and not src_low_signal and not dst_low_signal").join(at("src"), ["range_id", "src"], "left").join(at("dst"), ["range_id", "dst"], "left")
+    category = F.when(F.col("src_scc") == F.col("dst_scc"), "cycle").when(F.col("src_is_test") & ~F.col("dst_is_test"), "test-order").otherwise("inversion")
+    return wrong.select(*graph.KEYS, category.alias("category"))
+
+
 def unit_fingerprints(members: DataFrame, keys: list[str], of: str) -> DataFrame:
     """keys, fingerprint: digest of a unit's sorted member fingerprints, repeated ones too."""
     joined = F.array_join(F.array_sort(F.collect_list(of)), "|")

@@ -11,6 +11,39 @@ def set_fingerprint(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.md5(F.array_join(F.array_sort(F.collect_set(F.col(member).cast("string"))), "\n")).alias("fingerprint"))
 
 
+def _digest(*parts: Column) -> Column:
+    """Of columns and arrays, line by line."""
+    return F.md5(F.concat_ws("\n", *parts))
+
+
+def fingerprints(heads: DataFrame, sections: DataFrame, chapters: DataFrame, version: str) -> DataFrame:
+    """range_id, kind, key, fingerprint of all that is stored of a range, each with what it depends on, in order.
+
+    graph: head and version; context and chunk: these and the chunk (key); section: these, its id (key) and its chunks in
+    order, wherever it stands; opener: the sorted distinct fingerprints of the sections; book: sections with their chunks,
+    all in order; chapter: the chapters' chunks in order, tests left out by the caller. Chunk ids hold their content.
+
+    heads: range_id, head; sections: range_id, section_no, section, pos, chunk; chapters: range_id, chapter_no, pos, chunk.
+    """
+    ids = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    version_ = F.lit(version)
+    of = lambda d, kind, key, print_: d.select("range_id", F.lit(kind).alias("kind"), key.cast("string").alias("key"), print_.alias("fingerprint"))
+    none = F.lit("")
+    chunk = sections.select("range_id", "chunk").distinct().join(heads, "range_id")
+    each = _digest("head", version_, F.col("chunk").cast("string"))
+    by = sections.groupBy("range_id", "section_no", "section").agg(F.transform(ids("pos", "chunk"), lambda x: x["chunk"].cast("string")).alias("chunks")).join(heads, "range_id")
+    by = by.withColumn("fingerprint", _digest("head", version_, F.col("section").cast("string"), "chunks"))
+    opener = by.groupBy("range_id").agg(F.array_sort(F.collect_set("fingerprint")).alias("all"))
+    book = by.groupBy("range_id", "head").agg(F.flatten(F.transform(ids("section_no", "section", "chunks"), lambda x: F.concat(F.array(x["section"].cast("string")), x["chunks"]))).alias("all"))
+    story = chapters.groupBy("range_id", "chapter_no").agg(F.transform(ids("pos", "chunk"), lambda x: x["chunk"].cast("string")).alias("chunks"))
+    story = story.groupBy("range_id").agg(F.flatten(F.transform(ids("chapter_no", "chunks"), lambda x: F.concat(F.array(F.lit("|")), x["chunks"]))).alias("all"))
+    story = heads.join(story, "range_id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<string>")))
+    out = of(heads, "graph", none, _digest("head", version_))
+    for d in (of(chunk, "context", F.col("chunk"), each), of(chunk, "chunk", F.col("chunk"), each), of(by, "section", F.col("section"), F.col("fingerprint")), of(opener, "opener", none, _digest("all")), of(book, "book", none, _digest("head", version_, "all")), of(story, "chapter", none, _digest("head", version_, F.lit("chapter"), "all"))):
+        out = out.unionByName(d)
+    return out
+
+
 def fresh(stored: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
     """stored rows whose keys and fingerprint are live."""
     return stored.join(live.select(*keys, "fingerprint"), [*keys, "fingerprint"], "left_semi")
