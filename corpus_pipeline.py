@@ -73,7 +73,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("secrets", secrets), ("encoded", encoded)]
-#: SQL can't express these stages; tests/llm holds each against a brute-force version.
+#: SQL can't express these stages; tests/llm holds them against hand cases, and their operators against brute force where it exists.
 ORACLE_SQL = None
 
 
