@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from difflens.catalog import FIXTURE, query
 from difflens.catalog_story import _Book, _edges, _layers, _nodes, _sections
 from difflens.operators import checks, freshness, graph
-from difflens.sources import corpus
+from difflens.sources import corpus, stored
+from difflens.sources.scratch import shared_path
 
 
 @query("select kind, count(*) as n from (select distinct range_id, src, dst, kind from c_edges where src <> dst) group by kind")
@@ -60,6 +61,23 @@ def fr4_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.fresh_graph(edges, stores, live)
 
 
+@query("""with g as (select range_id, src, dst, kind, count(*) as n, max(line) as last_line from c_edges where src <> dst and (range_id % 3 = 0 or range_id % 5 = 0 or line > 1) group by all) select range_id, src, dst, kind, n, last_line, case when range_id % 3 = 0 or range_id % 5 = 0 then 2 else 1 end as run from g where range_id % 7 > 0""")
+def fr4_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FR-1, FR-4: stored graphs follow their ranges' heads. A first run stores the graphs of edges past the first line, without every fifth range. In
+    the second, every third range has another head, every fifth is new, every seventh is gone; run tells which run built an edge."""
+    e, i = corpus.edges(spark, sf_dir), F.col("range_id")
+    ranges, path = e.select("range_id").distinct(), shared_path(spark, "graphs")
+
+    def run(no: int, live: DataFrame, edges: DataFrame) -> DataFrame:
+        heads = live.select("range_id", F.concat_ws(":", i.cast("string"), F.when((i % 3 == 0) & F.lit(no > 1), "moved")).alias("head"))
+        prints = heads.select("range_id", F.lit("graph").alias("kind"), freshness.graph_print(F.col("head"), "7").alias("fingerprint"))
+        count = lambda stale: edges.where("src <> dst").join(stale, "range_id", "left_semi").groupBy(*graph.KEYS, "kind").agg(F.count("*").alias("n"), F.max("line").alias("last_line"), F.lit(no).alias("run"))
+        return stored.refresh_graph(spark, path, prints, count, "src long, dst long, kind string, n long, last_line int, run int", parts=16)
+
+    run(1, ranges.where(i % 5 > 0), e.where("line > 1"))
+    return run(2, ranges.where(i % 7 > 0), e)
+
+
 @query("select range_id, mode, version, fresh and (mode = 'chapter') = (version = 2) as fresh from (select distinct range_id, case when range_id % 2 = 1 then 'chapter' else 'file' end as mode, 1 + range_id // 2 % 2 as version, range_id % 5 > 0 as fresh from c_files)")
 def fr5_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FR-5: odd ranges show chapters, others files; every second pair of ranges has overlays of version 2; of five ranges one has changed."""

@@ -231,13 +231,16 @@ def tx7_chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with l as (select coalesce(a.range_id, b.range_id) as range_id, coalesce(a.path, b.path) as path, o, i from (select range_id, path, string_agg(distinct target, ', ' order by target) as o from {_RESOLVED} where path <> target group by all) a full join (select range_id, target as path, string_agg(distinct path, ', ' order by path) as i from {_RESOLVED} where path <> target group by all) b on a.range_id = b.range_id and a.path = b.path),
 h as (select f.path, f.doc_id, f.path || ' [impl]' || coalesce(chr(10) || 'imports: ' || o, '') || coalesce(chr(10) || 'imported by: ' || i, '') as head from c_files f left join l on l.range_id = f.range_id and l.path = f.path),
-d as (select doc_id, hunk_no, 'chunk ' || hunk_no || chr(10) || '  hunk ' || hunk_no || ' (other, ~' || count || ' lines)' as meta, coalesce(diff, '') as diff from c_hunks left join (select doc_id, hunk_no, string_agg('+' || text, chr(10) order by line_no) as diff from c_hunk_lines join c_lines using (doc_id, line_no) group by all) using (doc_id, hunk_no)),
-k as (select *, sum(length(meta) + length(diff)) over (partition by doc_id order by hunk_no) <= 600 as kept from d),
-b as (select doc_id, string_agg(meta || chr(10) || case when not kept then '  (diff omitted — over token budget)' when diff = '' then '  (no diff content available)' else diff end, chr(10) || chr(10) order by hunk_no) as blocks from k group by doc_id),
-s as (select doc_id, 'context — not part of the diff' || chr(10) || chr(10) || string_agg('T' || t || ' — p' || p || chr(10) || 'body ' || t, chr(10) || chr(10) order by pos) as said from (select doc_id, sym_id // 3 % 5 as t, sym_id % 2 as p, min(sym_id) as pos from c_symbols where depth = 0 group by all) group by doc_id)
-select h.path as section, head || coalesce(chr(10) || chr(10) || blocks, '') || coalesce(chr(10) || chr(10) || said, '') as text from h left join b on b.doc_id = h.doc_id left join s on s.doc_id = h.doc_id""")
+d as (select doc_id, hunk_no, row_number() over (partition by doc_id order by hunk_no) as i, 'chunk ' || hunk_no || chr(10) || '  hunk ' || hunk_no || ' (other, ~' || count || ' lines)' as meta, case when coalesce(diff, '') = '' then '  (no diff content available)' else diff end as shown from c_hunks left join (select doc_id, hunk_no, string_agg('+' || text, chr(10) order by line_no) as diff from c_hunk_lines join c_lines using (doc_id, line_no) group by all) using (doc_id, hunk_no)),
+k(doc_id, i, whole, block, over_) as (select h.doc_id, cast(0 as bigint), head || coalesce(string_agg(chr(10) || chr(10) || meta || chr(10) || '  (diff omitted — over token budget)', '' order by d.i), ''), '', false from h left join d on d.doc_id = h.doc_id group by h.doc_id, head
+  union all select doc_id, i, case when o then whole else tried end, meta || chr(10) || case when o then '  (diff omitted — over token budget)' else shown end, o from (select d.*, whole, tried, over_ or length(tried) > 600 as o from (select k.doc_id, k.i + 1 as j, k.whole, k.over_, replace(k.whole, d.meta || chr(10) || '  (diff omitted — over token budget)', d.meta || chr(10) || d.shown) as tried from k join d on d.doc_id = k.doc_id and d.i = k.i + 1) t join d on d.doc_id = t.doc_id and d.i = t.j)),
+b as (select doc_id, arg_max(whole, i) as whole, count(*) filter (over_) as omitted from k group by doc_id),
+t as (select doc_id, row_number() over (partition by doc_id order by min(sym_id)) as i, count(*) over (partition by doc_id) as n, 'T' || t || ' — p' || p || chr(10) || 'body ' || t as line from (select doc_id, sym_id // 3 % 5 as t, sym_id % 2 as p, sym_id from c_symbols where depth = 0) group by doc_id, t, p),
+e(doc_id, i, n, said) as (select distinct doc_id, cast(0 as bigint), n, 'context — not part of the diff' from t union all select e.doc_id, t.i, e.n, said || chr(10) || chr(10) || line from e join t on t.doc_id = e.doc_id and t.i = e.i + 1 where length(said || chr(10) || chr(10) || line || case e.n - t.i when 0 then '' when 1 then chr(10) || chr(10) || '… (1 more definition omitted — over context budget)' else chr(10) || chr(10) || '… (' || (e.n - t.i) || ' more definitions omitted — over context budget)' end) <= 120),
+s as (select doc_id, n - i as more, said || case n - i when 0 then '' when 1 then chr(10) || chr(10) || '… (1 more definition omitted — over context budget)' else chr(10) || chr(10) || '… (' || (n - i) || ' more definitions omitted — over context budget)' end as said from (select doc_id, any_value(n) as n, max(i) as i, arg_max(said, i) as said from e group by doc_id))
+select h.path as section, whole || coalesce(chr(10) || chr(10) || said, '') as text, omitted, coalesce(more, 0) as definitions_omitted, cast(ceil(length(whole || coalesce(chr(10) || chr(10) || said, '')) / 4) as bigint) as tokens from h join b on b.doc_id = h.doc_id left join s on s.doc_id = h.doc_id""")
 def tx8_prompt_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX-8: a file is a section, its hunks the chunks, its types the definitions; 150 tokens a section."""
+    """TX-8, OR-19: a file is a section, its hunks the chunks, its types the definitions; 150 tokens a section, and 30 of definitions on top."""
     f, none = corpus.files(spark, sf_dir), F.array().cast("array<string>")
     lists = imports.import_lists(imports.import_graph(_imports(spark, sf_dir), f)[0])
     sections = f.join(lists, ["range_id", "path"], "left").select(F.col("path").alias("section"), F.lit("impl").alias("role"), F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
@@ -248,7 +251,7 @@ def tx8_prompt_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.select("section", F.col("hunk_no").alias("pos"), _s("hunk_no").alias("id"), F.concat(F.lit("hunk "), _s("hunk_no")).alias("title"), F.lit("other").alias("kind"), F.col("count").alias("lines"), diff.alias("diff"))
     d = corpus.symbols(spark, sf_dir).where("depth = 0").join(f.select("doc_id", F.col("path").alias("section")), "doc_id")
     d = d.select("section", F.col("sym_id").alias("pos"), F.concat(F.lit("p"), _s(F.col("sym_id") % 2)).alias("path"), "name", F.concat(F.lit("body "), F.expr("substring(name, 2)")).alias("body"))
-    return book.prompt_inputs(sections, c, d, cap=150)
+    return book.prompt_inputs(sections, c, d, cap=150, definitions_cap=30)
 
 
 # ---- runs (FR-13 to 15), polls (ST-8), deferrals and labels (AG-9, 10, 16)

@@ -127,8 +127,11 @@ def order_manifest(sections: DataFrame, chunks: DataFrame, imports: DataFrame) -
     return whole.withColumn("tokens", F.ceil(F.length("text") / 4))
 
 
-#: Fixed value: the last line of a chunk manifest.
+#: The last line of a chunk manifest, the markers of a prompt's diffs, the heading of its definitions.
 REGROUP = "The grouping above is a starting point; regroup and reorder the chunks into chapters."
+OMITTED = "  (diff omitted — over token budget)"
+NO_DIFF = "  (no diff content available)"
+CONTEXT = "context — not part of the diff"
 
 
 def chunk_manifest(chunks: DataFrame, calls: DataFrame) -> DataFrame:
@@ -147,8 +150,13 @@ def chunk_manifest(chunks: DataFrame, calls: DataFrame) -> DataFrame:
     return j.select("range_id", F.concat_ws("\n\n", "listed", F.concat(F.lit("calls:\n"), F.coalesce("said", F.lit("(none)"))), "numbered", F.lit(REGROUP)).alias("text"))
 
 
-def prompt_inputs(sections: DataFrame, chunks: DataFrame, definitions: DataFrame, cap: int) -> DataFrame:
-    """section, text: header, then each chunk's facts with its diff while the section's texts up to it hold at most cap tokens of four characters, else a marker; then definitions, each (path, name) once.
+def prompt_inputs(sections: DataFrame, chunks: DataFrame, definitions: DataFrame, cap: int, definitions_cap: int) -> DataFrame:
+    """section, text, omitted, definitions_omitted, tokens: header, then each chunk's facts with its diff or a marker, then definitions, each (path, name) once.
+
+    Two budgets in tokens of four characters, one on top of the other. cap bounds header and chunks: a diff takes its
+    marker's place while the whole, with markers for all later chunks, holds at most cap; from the first that doesn't, all keep
+    their markers, even those that would fit. definitions_cap bounds the block of definitions, the count of those left out
+    included, in the same way. A section whose markers alone pass cap shows no diff; tokens is the whole text's size.
 
     sections: section, role, imports, imported_by (arrays); chunks: section, pos, id, title, kind, lines, diff; definitions: section, pos, path, name, body.
     """
@@ -156,11 +164,34 @@ def prompt_inputs(sections: DataFrame, chunks: DataFrame, definitions: DataFrame
     header = F.concat_ws("\n", F.concat("section", F.lit(" ["), "role", F.lit("]")), list_("imports: ", "imports"), list_("imported by: ", "imported_by"))
     heads = sections.select("section", header.alias("header"))
     meta = F.concat(F.lit("chunk "), "id", F.lit("\n  "), "title", F.lit(" ("), "kind", F.lit(", ~"), F.col("lines").cast("string"), F.lit(" lines)"))
-    upto = F.sum(F.length("meta") + F.length("diff")).over(Window.partitionBy("section").orderBy("pos"))
-    c = chunks.withColumn("meta", meta).withColumn("kept", upto <= 4 * cap)
-    shown = F.when(~F.col("kept"), "  (diff omitted — over token budget)").when(F.col("diff") == "", "  (no diff content available)").otherwise(F.col("diff"))
-    blocks = _joined(c.select("section", "pos", F.concat_ws("\n", "meta", shown).alias("block")), ["section"], ["pos"], "block", "\n\n").withColumnRenamed("text", "blocks")
+    shown = F.when(F.col("diff") == "", F.lit(NO_DIFF)).otherwise(F.col("diff"))
+    c = chunks.select("section", "pos", "id", meta.alias("meta"), shown.alias("shown")).join(heads.select("section", F.length("header").alias("size")), "section")
+    every, upto = Window.partitionBy("section"), Window.partitionBy("section").orderBy("pos", "id")
+    least = F.col("size") + F.sum(F.length("meta") + len(OMITTED) + 3).over(every)  # a line break, and an empty line before each chunk
+    c = c.withColumn("total", least + F.sum(F.length("shown") - len(OMITTED)).over(upto)).withColumn("kept", F.max("total").over(upto) <= 4 * cap)
+    c = c.select("section", "pos", "id", "kept", F.concat_ws("\n", "meta", F.when(F.col("kept"), F.col("shown")).otherwise(F.lit(OMITTED))).alias("block"))
+    blocks = c.groupBy("section").agg(_lines("block", "pos", "id").alias("blocks"), F.count_if(~F.col("kept")).alias("omitted"))
+
     once = definitions.groupBy("section", "path", "name").agg(F.min_by("body", "pos").alias("body"), F.min("pos").alias("pos"))
-    said = _joined(once.select("section", "pos", F.concat("name", F.lit(" — "), "path", F.lit("\n"), "body").alias("line")), ["section"], ["pos"], "line", "\n\n")
-    said = said.select("section", F.concat(F.lit("context — not part of the diff\n\n"), "text").alias("said"))
-    return heads.join(blocks, "section", "left").join(said, "section", "left").select("section", F.concat_ws("\n\n", "header", "blocks", "said").alias("text"))
+    once = once.withColumn("line", F.concat("name", F.lit(" — "), "path", F.lit("\n"), "body"))
+    first = Window.partitionBy("section").orderBy("pos", "path", "name")
+    after = F.count("*").over(every) - F.row_number().over(first)
+    d = once.withColumn("total", len(CONTEXT) + F.sum(F.length("line") + 2).over(first) + F.coalesce(F.length(_left_out(after)) + 2, F.lit(0)))
+    d = d.withColumn("kept", F.max("total").over(first) <= 4 * definitions_cap)
+    d = d.groupBy("section").agg(_lines("line", "pos", "path", "name", where=F.col("kept")).alias("lines"), F.count_if(~F.col("kept")).alias("definitions_omitted"))
+    said = d.select("section", "definitions_omitted", F.concat_ws("\n\n", F.lit(CONTEXT), F.when(F.col("lines") != "", F.col("lines")), _left_out(F.col("definitions_omitted"))).alias("said"))
+    none = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    out = heads.join(blocks, "section", "left").join(said, "section", "left").select("section", F.concat_ws("\n\n", "header", "blocks", "said").alias("text"), none("omitted"), none("definitions_omitted"))
+    return out.withColumn("tokens", F.ceil(F.length("text") / 4).cast("long"))
+
+
+def _lines(line: str, *order: str, where: Column | None = None) -> Column:
+    """The group's lines in order, an empty line between them; those that where leaves out never enter the list."""
+    one = F.struct(*order, line)
+    rows = F.array_sort(F.collect_list(one if where is None else F.when(where, one)))
+    return F.array_join(F.transform(rows, lambda x: x[line]), "\n\n")
+
+
+def _left_out(n: Column) -> Column:
+    """The count of definitions left out; null for none."""
+    return F.when(n > 0, F.concat(F.lit("… ("), n.cast("string"), F.lit(" more definition"), F.when(n > 1, "s").otherwise(""), F.lit(" omitted — over context budget)")))

@@ -16,6 +16,11 @@ def _digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws("\n", *parts))
 
 
+def graph_print(head: Column, version: str) -> Column:
+    """What a range's graph depends on."""
+    return _digest(head, F.lit(version))
+
+
 def fingerprints(heads: DataFrame, sections: DataFrame, chapters: DataFrame, version: str) -> DataFrame:
     """range_id, kind, key, fingerprint of all that is stored of a range, each with what it depends on, in order.
 
@@ -38,7 +43,7 @@ def fingerprints(heads: DataFrame, sections: DataFrame, chapters: DataFrame, ver
     story = chapters.groupBy("range_id", "chapter_no").agg(F.transform(ids("pos", "chunk"), lambda x: x["chunk"].cast("string")).alias("chunks"))
     story = story.groupBy("range_id").agg(F.flatten(F.transform(ids("chapter_no", "chunks"), lambda x: F.concat(F.array(F.lit("|")), x["chunks"]))).alias("all"))
     story = heads.join(story, "range_id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<string>")))
-    out = of(heads, "graph", none, _digest("head", version_))
+    out = of(heads, "graph", none, graph_print(F.col("head"), version))
     for d in (of(chunk, "context", F.col("chunk"), each), of(chunk, "chunk", F.col("chunk"), each), of(by, "section", F.col("section"), F.col("fingerprint")), of(opener, "opener", none, _digest("all")), of(book, "book", none, _digest("head", version_, "all")), of(story, "chapter", none, _digest("head", version_, F.lit("chapter"), "all"))):
         out = out.unionByName(d)
     return out
