@@ -291,18 +291,6 @@ def or12_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.order_check(e, graph.strong(e))
 
 
-@query("select count(*) as edges, 0 as violations from c_dist")
-def or1_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OR-1: edges outside cycles whose target doesn't stand first in the dependency order; there are none."""
-    e = corpus.edges(spark, sf_dir)
-    sccs = graph.strong(e)
-    pos = graph.dependency_order(e, graph.depth(e, sccs))
-    a, b = pos.select("range_id", F.col("node").alias("src"), F.col("position").alias("p")), pos.select("range_id", F.col("node").alias("dst"), F.col("position").alias("q"))
-    s, t = sccs.select("range_id", F.col("node").alias("src"), F.col("scc").alias("s")), sccs.select("range_id", F.col("node").alias("dst"), F.col("scc").alias("t"))
-    d = e.where("src <> dst").select("range_id", "src", "dst").distinct().join(a, ["range_id", "src"]).join(b, ["range_id", "dst"]).join(s, ["range_id", "src"], "left").join(t, ["range_id", "dst"], "left")
-    return d.agg(F.count("*").alias("edges"), F.count_if((F.col("q") > F.col("p")) & ~F.coalesce(F.col("s") == F.col("t"), F.lit(False))).alias("violations"))
-
-
 @query("select e.range_id, count(*) as interactions, count(*) filter ((e.src % 3 = 0) <> (e.dst % 3 = 0)) as frontier from (select distinct range_id, src, dst, kind from c_edges where src <> dst and kind in ('calls', 'exercises')) e group by e.range_id")
 def gr10_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-10, 11: every third node is reviewed."""
@@ -316,6 +304,24 @@ def gr13_free_glances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.free_glances(corpus.edges(spark, sf_dir))
 
 
+@query("""select range_id, count(*) as n, min(glances) as least, quantile_disc(glances, 0.5) as median, quantile_disc(glances, 0.9) as p90, max(glances) as most, round(avg(glances), 6) as mean, round(count(*) filter (glances > 0) / count(*), 6) as share from (select range_id, node, count(*) filter (q.at_ < p.at_) as glances from (select range_id, node, min(at_) as at_ from (select range_id, src as node, 10 * line + src as at_ from c_edges union all select range_id, dst, 100 + 10 * line + dst from c_edges) group by all) p
+left join (select range_id, src as node, dst as other from c_dist union select range_id, dst, src from c_dist) n using (range_id, node) left join (select range_id, node as other, min(at_) as at_ from (select range_id, src as node, 10 * line + src as at_ from c_edges union all select range_id, dst, 100 + 10 * line + dst from c_edges) group by all) q using (range_id, other) group by range_id, node) group by range_id""")
+def gr13_glance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-13: a chunk occurs with each line of its edges, targets a hundred later than sources; its first occurrence counts."""
+    e = corpus.edges(spark, sf_dir)
+    places = e.select("range_id", F.explode(F.array(F.struct(F.col("src").alias("node"), (10 * F.col("line") + F.col("src")).alias("pos")), F.struct(F.col("dst").alias("node"), (100 + 10 * F.col("line") + F.col("dst")).alias("pos")))).alias("at"))
+    return graph.glance_summary(e, places.select("range_id", "at.node", "at.pos"))
+
+
+@query("select event_id, case when h <= 0 then 0 else round(greatest(least(least(t + h, v + 30) - greatest(t, v), h), 0) / h, 6) end as fraction, h > 0 and least(t + h, v + 30) - greatest(t, v) >= 0.6 * h as visible from (select event_id, cast(event_id % 90 as double) as t, cast(user_id % 50 - 5 as double) as h, cast(event_id // 7 % 60 as double) as v from events)")
+def sc22_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-22: rows of many heights, some of none, in a view of thirty."""
+    e, number = corpus.table(spark, sf_dir, "events"), lambda c: F.expr(c).cast("double")
+    top, view = number("event_id % 90"), number("event_id div 7 % 60")
+    seen = state.visible_fraction(top, top + number("user_id % 50 - 5"), view, view + 30)
+    return e.select("event_id", F.round(seen, 6).alias("fraction"), (seen >= state.MIN_VISIBLE).alias("visible"))
+
+
 @query("select kind, range_id, src, dst from (select *, row_number() over (partition by kind order by md5('s|' || range_id || '|' || src || '|' || dst)) as r from (select distinct kind, range_id, src, dst from c_edges where src <> dst)) where r <= 30")
 def gr14_edge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_sample(corpus.edges(spark, sf_dir))

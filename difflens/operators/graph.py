@@ -158,6 +158,21 @@ def free_glances(edges: DataFrame) -> DataFrame:
     return n.groupBy("range_id", "node").agg(F.count_if(F.col("other") < F.col("node")).alias("glances"))
 
 
+def glance_summary(edges: DataFrame, places: DataFrame) -> DataFrame:
+    """range_id, n, least, median, p90, most, mean, share: over a range's placed nodes, how many distinct neighbors stand before each; share of nodes with one at least.
+
+    A node stands at its first place; without neighbors it has none before it; neighbors without a place don't count.
+    places: range_id, node, pos.
+    """
+    at = places.groupBy("range_id", "node").agg(F.min("pos").alias("pos"))
+    other = at.select("range_id", F.col("node").alias("other"), F.col("pos").alias("other_pos"))
+    near = neighbors(edges).select("range_id", "node", "other").distinct().join(other, ["range_id", "other"])
+    each = at.join(near, ["range_id", "node"], "left").groupBy("range_id", "node").agg(F.count_if(F.col("other_pos") < F.col("pos")).alias("glances"))
+    quantile = lambda q: F.expr(f"percentile_disc({q}) within group (order by glances)").cast("long")
+    share = F.round(F.count_if(F.col("glances") > 0) / F.count("*"), 6)
+    return each.groupBy("range_id").agg(F.count("*").alias("n"), F.min("glances").alias("least"), quantile(0.5).alias("median"), quantile(0.9).alias("p90"), F.max("glances").alias("most"), F.round(F.avg("glances"), 6).alias("mean"), share.alias("share"))
+
+
 def edge_sample(edges: DataFrame, most: int = 30, seed: str = "s") -> DataFrame:
     """kind, range_id, src, dst: at most `most` edges of a kind, those with the smallest digests. A sampling operator."""
     e = edges.where("src <> dst").select("kind", *KEYS).distinct()

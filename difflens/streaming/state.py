@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATES = ("unseen", "seen", "reviewed")
@@ -38,6 +38,16 @@ def dwell(ticks: DataFrame) -> DataFrame:
     return g.select("key", "banked", "current", (F.col("banked") + F.col("current") >= need).alias("cleared"))
 
 
+#: Fixed value: from which visible fraction on a row counts as seen.
+MIN_VISIBLE = 0.6
+
+
+def visible_fraction(top: Column, bottom: Column, view_top: Column, view_bottom: Column) -> Column:
+    """The share of a row's height within the view, 0 to 1; 0 for a row without height."""
+    height, overlap = bottom - top, F.least(bottom, view_bottom) - F.greatest(top, view_top)
+    return F.when(height <= 0, F.lit(0.0)).otherwise(F.greatest(F.least(overlap, height), F.lit(0.0)) / height)
+
+
 def newly(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Keys in after that weren't in before."""
     return after.select(key).distinct().join(before.select(key), key, "left_anti")

@@ -1,12 +1,13 @@
-"""Stored tables that follow their inputs, and prompts under two budgets."""
+"""Stored tables that follow their inputs, prompts under two budgets, glances and visible fractions."""
 
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from difflens.operators import book, freshness
+from difflens.operators import book, freshness, graph
 from difflens.sources import stored
+from difflens.streaming import state
 
 
 def live(spark, prints):
@@ -101,3 +102,17 @@ def test_budget_edges(spark):
     assert one.text.endswith(f"{book.NO_DIFF}\n\n{book.CONTEXT}\n\n… (1 more definition omitted — over context budget)")
     none = prompt(spark, [], [], 1, 1)
     assert (none.text, none.omitted, none.definitions_omitted) == ("a.ts [impl]\nimported by: b.ts", 0, 0)
+
+
+def test_glances_by_place(spark):
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, 1), (1, 3, 9)], "range_id long, src long, dst long").withColumns({"kind": F.lit("calls"), "source": F.lit("references")})
+    places = spark.createDataFrame([(1, 1, 5), (1, 1, 50), (1, 2, 7), (1, 3, 1), (1, 4, 2)], "range_id long, node long, pos int")
+    r = graph.glance_summary(edges, places).first()
+    # in order 3, 4 (no neighbor), 1 (after 3), 2 (after 1); 9 has no place
+    assert (r.n, r.least, r.median, r.most, r["mean"], r["share"]) == (4, 0, 0, 1, 0.5, 0.5)
+
+
+def test_visible_fraction(spark):
+    rows = [(0.0, 10.0, 0.0, 30.0, 1.0), (-5.0, 5.0, 0.0, 30.0, 0.5), (40.0, 50.0, 0.0, 30.0, 0.0), (3.0, 3.0, 0.0, 30.0, 0.0), (-10.0, 50.0, 0.0, 30.0, 0.5)]
+    d = spark.createDataFrame(rows, "a double, b double, c double, d double, expected double")
+    assert all(r.got == r.expected for r in d.withColumn("got", state.visible_fraction(*(F.col(c) for c in "abcd"))).collect())
