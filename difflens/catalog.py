@@ -304,7 +304,7 @@ def gr13_free_glances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.free_glances(corpus.edges(spark, sf_dir))
 
 
-@query("""select range_id, count(*) as n, min(glances) as least, quantile_disc(glances, 0.5) as median, quantile_disc(glances, 0.9) as p90, max(glances) as most, round(avg(glances), 6) as mean, round(count(*) filter (glances > 0) / count(*), 6) as share from (select range_id, node, count(*) filter (q.at_ < p.at_) as glances from (select range_id, node, min(at_) as at_ from (select range_id, src as node, 10 * line + src as at_ from c_edges union all select range_id, dst, 100 + 10 * line + dst from c_edges) group by all) p
+@query("""select range_id, count(*) as n, min(glances) as least, round(quantile_cont(glances, 0.5), 6) as median, round(quantile_cont(glances, 0.9), 6) as p90, max(glances) as most, round(avg(glances), 6) as mean, round(count(*) filter (glances > 0) / count(*), 6) as share from (select range_id, node, count(*) filter (q.at_ < p.at_) as glances from (select range_id, node, min(at_) as at_ from (select range_id, src as node, 10 * line + src as at_ from c_edges union all select range_id, dst, 100 + 10 * line + dst from c_edges) group by all) p
 left join (select range_id, src as node, dst as other from c_dist union select range_id, dst, src from c_dist) n using (range_id, node) left join (select range_id, node as other, min(at_) as at_ from (select range_id, src as node, 10 * line + src as at_ from c_edges union all select range_id, dst, 100 + 10 * line + dst from c_edges) group by all) q using (range_id, other) group by range_id, node) group by range_id""")
 def gr13_glance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-13: a chunk occurs with each line of its edges, targets a hundred later than sources; its first occurrence counts."""

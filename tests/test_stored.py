@@ -109,7 +109,7 @@ def test_glances_by_place(spark):
     places = spark.createDataFrame([(1, 1, 5), (1, 1, 50), (1, 2, 7), (1, 3, 1), (1, 4, 2)], "range_id long, node long, pos int")
     r = graph.glance_summary(edges, places).first()
     # in order 3, 4 (no neighbor), 1 (after 3), 2 (after 1); 9 has no place
-    assert (r.n, r.least, r.median, r.most, r["mean"], r["share"]) == (4, 0, 0, 1, 0.5, 0.5)
+    assert (r.n, r.least, r.median, r.most, r["mean"], r["share"]) == (4, 0, 0.5, 1, 0.5, 0.5)
 
 
 def test_visible_fraction(spark):
