@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from difflens.functions import paths
+from difflens.operators.chunking import by_merge
 
 #: What is tried after a specifier, in this order; again under /index.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".svelte")
@@ -39,7 +40,7 @@ def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
     tries = F.array(plain, *[F.concat(plain, F.lit(x)) for x in EXTENSIONS], *[F.concat(plain, F.lit(f"/index{x}")) for x in EXTENSIONS])
     d = imports.where(F.col("specifier").startswith(".")).select("range_id", "path", "specifier", F.posexplode(tries).alias("rank", "target"))
     known = files.select("range_id", F.col("path").alias("target")).distinct()
-    return d.join(known, ["range_id", "target"]).groupBy("range_id", "path", "specifier").agg(F.min_by("target", "rank").alias("target"))
+    return by_merge(d).join(known, ["range_id", "target"]).groupBy("range_id", "path", "specifier").agg(F.min_by("target", "rank").alias("target"))
 
 
 def resolve_alias(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def resolve_alias(imports: DataFrame, files: DataFrame) -> DataFrame:
     d = imports.where(F.col("specifier").startswith("$") & (F.size(rest) >= 2)).withColumn("suffix", paths.strip_code_extensions(F.array_join(rest, "/")))
     parts = F.split(paths.strip_code_extensions(F.col("path")), "/")
     ends = files.select("range_id", F.col("path").alias("target"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
-    met = d.join(ends, ["range_id", "suffix"]).groupBy("range_id", "path", "specifier").agg(F.min("target").alias("target"), F.count_distinct("target").alias("n"))
+    met = d.join(by_merge(ends), ["range_id", "suffix"]).groupBy("range_id", "path", "specifier").agg(F.min("target").alias("target"), F.count_distinct("target").alias("n"))
     return met.where("n = 1").drop("n")
 
 

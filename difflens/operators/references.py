@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from difflens.functions import text
-from difflens.operators.chunking import symbol_lines
+from difflens.operators.chunking import by_merge, symbol_lines
 
 #: Names that say nothing.
 NOISE = ("console", "JSON", "Math", "Object", "Array", "String", "Number", "Promise", "Set", "Map", "parseInt", "structuredClone", "nameof", "var", "ToString", "Equals", "GetHashCode")
@@ -22,7 +22,7 @@ def resolve(scoped: DataFrame, spans: DataFrame, imports: DataFrame) -> DataFram
     """scoped with to_doc, to_sym, to_line: the name's span in its own or an imported file (imports: doc_id, to_doc), if a file has one such span and one file is left."""
     one = spans.groupBy(F.col("doc_id").alias("to_doc"), "name").agg(F.count("*").alias("n"), F.min("sym_id").alias("to_sym"), F.min("start_line").alias("to_line")).where("n = 1").drop("n")
     tries = scoped.withColumn("to_doc", F.col("doc_id")).unionByName(scoped.join(imports, "doc_id"))
-    met = tries.join(one, ["to_doc", "name"]).groupBy("doc_id", "sym", "name", "line")
+    met = tries.join(by_merge(one), ["to_doc", "name"]).groupBy("doc_id", "sym", "name", "line")
     return met.agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("to_doc", "to_sym", "to_line"))).where("n = 1").drop("n")
 
 
@@ -54,9 +54,9 @@ def context_definitions(scoped: DataFrame, owned: DataFrame, changed: tuple[Data
         tries = names.join(imports.distinct(), "doc_id").where("doc_id <> to_doc")
         if own:
             tries = tries.unionByName(names.withColumn("to_doc", F.col("doc_id")))
-        met = tries.join(one, ["to_doc", "name"]).select("doc_id", "sym", "name", "to_doc", "span.*")
+        met = tries.join(by_merge(one), ["to_doc", "name"]).select("doc_id", "sym", "name", "to_doc", "span.*")
         if own:
-            inside = met.where("doc_id = to_doc").withColumn("line_no", F.explode(F.sequence("start_line", "end_line"))).join(owned, ["doc_id", "line_no", "sym"], "left_semi").select("doc_id", "sym", "name", "to_doc").distinct()
+            inside = by_merge(met.where("doc_id = to_doc").withColumn("line_no", F.explode(F.sequence("start_line", "end_line")))).join(owned, ["doc_id", "line_no", "sym"], "left_semi").select("doc_id", "sym", "name", "to_doc").distinct()
             met = met.join(inside, ["doc_id", "sym", "name", "to_doc"], "left_anti")
         left = met.groupBy("doc_id", "sym", "name").agg(F.count("*").alias("n"), F.min(F.struct("to_doc", "sym_id", "start_line", "end_line")).alias("x")).where("n = 1")
         return left.select("doc_id", "sym", "name", "x.to_doc", F.col("x.sym_id").alias("to_sym"), "x.start_line", "x.end_line", F.lit(own).alias("changed"))
@@ -66,7 +66,7 @@ def context_definitions(scoped: DataFrame, owned: DataFrame, changed: tuple[Data
     second = single(names.join(first, ["doc_id", "sym", "name"], "left_anti"), *unchanged, own=False)
     found = first.unionByName(second)
     span = found.select("to_doc", "to_sym", "start_line", "end_line").distinct().withColumn("line_no", F.explode(F.sequence("start_line", "end_line")))
-    rows = span.join(lines.withColumnRenamed("doc_id", "to_doc"), ["to_doc", "line_no"]).groupBy("to_doc", "to_sym").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
+    rows = by_merge(span).join(lines.withColumnRenamed("doc_id", "to_doc"), ["to_doc", "line_no"]).groupBy("to_doc", "to_sym").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
     body = text.cap_body(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"), most, reach)
     return found.join(rows.select("to_doc", "to_sym", body.alias("body")), ["to_doc", "to_sym"]).select("doc_id", "sym", "name", "to_doc", "to_sym", "changed", "body")
 
@@ -75,7 +75,8 @@ def definitions(resolved: DataFrame, spans: DataFrame, lines: DataFrame) -> Data
     """doc_id, sym, to_doc, to_sym, body: each definition of a chunk once, without those that the chunk itself declares; bodies are capped."""
     wanted = resolved.where("doc_id <> to_doc or sym <> to_sym").select("doc_id", "sym", "to_doc", "to_sym").distinct()
     span = spans.select(F.col("doc_id").alias("to_doc"), F.col("sym_id").alias("to_sym"), F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
-    told = wanted.select("to_doc", "to_sym").distinct().join(span, ["to_doc", "to_sym"]).join(lines.withColumnRenamed("doc_id", "to_doc"), ["to_doc", "line_no"])
+    told = wanted.select("to_doc", "to_sym").distinct().join(by_merge(span), ["to_doc", "to_sym"])
+    told = by_merge(told).join(lines.withColumnRenamed("doc_id", "to_doc"), ["to_doc", "line_no"])
     rows = told.groupBy("to_doc", "to_sym").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
     body = text.cap_body(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"))
     return wanted.join(rows.select("to_doc", "to_sym", body.alias("body")), ["to_doc", "to_sym"])
@@ -83,8 +84,8 @@ def definitions(resolved: DataFrame, spans: DataFrame, lines: DataFrame) -> Data
 
 def visible(defs: DataFrame, owned: DataFrame, spans: DataFrame) -> DataFrame:
     """Definitions (to_doc, to_sym) whose span doesn't begin on a changed line of the diff."""
-    inside = spans.join(owned.select("doc_id", F.col("line_no").alias("start_line")), ["doc_id", "start_line"]).select(F.col("doc_id").alias("to_doc"), F.col("sym_id").alias("to_sym"))
-    return defs.join(inside, ["to_doc", "to_sym"], "left_anti")
+    inside = by_merge(spans).join(owned.select("doc_id", F.col("line_no").alias("start_line")), ["doc_id", "start_line"]).select(F.col("doc_id").alias("to_doc"), F.col("sym_id").alias("to_sym"))
+    return defs.join(by_merge(inside), ["to_doc", "to_sym"], "left_anti")
 
 
 def widened(ranges: DataFrame, spans: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def widened(ranges: DataFrame, spans: DataFrame) -> DataFrame:
     s = symbol_lines(spans.select("doc_id", "start_line", "end_line")).withColumnRenamed("line_no", "start")
     inside = F.col("end_line") >= F.col("end")
     best = F.min_by(F.when(inside, F.struct("start_line", "end_line")), F.when(inside, F.struct(F.col("end_line") - F.col("start_line"), "start_line")))
-    grown = ranges.join(s, ["doc_id", "start"], "left").groupBy("doc_id", "hunk_no", "start", "end").agg(best.alias("s"))
+    grown = ranges.join(by_merge(s), ["doc_id", "start"], "left").groupBy("doc_id", "hunk_no", "start", "end").agg(best.alias("s"))
     return grown.select("doc_id", "hunk_no", F.coalesce("s.start_line", "start").alias("start"), F.coalesce("s.end_line", "end").alias("end"))
 
 
