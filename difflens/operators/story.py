@@ -13,7 +13,7 @@ _LAST = 1 << 30
 def layers(before: DataFrame) -> DataFrame:
     """range_id, node, depth: how long a chain of edges (range_id, first, then) leads to a node; nodes of a cycle share a depth."""
     flow = before.select("range_id", F.col("then").alias("src"), F.col("first").alias("dst"))
-    return graph.depth(flow, graph.strong(flow))
+    return graph.depth(flow)
 
 
 def spine(chunks: DataFrame, calls: DataFrame, direction: str = "consumer-first") -> DataFrame:
@@ -128,7 +128,7 @@ def test_block(tests: DataFrame, own: DataFrame, imports: DataFrame) -> DataFram
     first = nodes.join(own.groupBy("range_id", "test").agg(F.min("anchor").alias("anchor")), ["range_id", "test"], "left")
     best = graph.least_along(e.select("range_id", way, F.col("src").alias("at"), F.col("dst").alias("to")), first.select("range_id", way, F.col("test").alias("node"), F.col("anchor").alias("label")), follow=False)
     best = best.select("range_id", F.col("node").alias("test"), F.col("label").alias("anchor"))
-    depth = graph.depth(e, graph.strong(e)).withColumnRenamed("node", "test")
+    depth = graph.depth(e).withColumnRenamed("node", "test")
     d = tests.join(best, ["range_id", "test"], "left").join(depth, ["range_id", "test"], "left")
     w = Window.partitionBy("range_id").orderBy(F.col("anchor").asc_nulls_last(), F.coalesce("depth", F.lit(0)), "git_rank")
     return d.select("range_id", "test", "anchor", F.row_number().over(w).alias("position"))
