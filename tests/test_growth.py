@@ -9,20 +9,25 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_exploded_rows_are_not_broadcast(spark):
-    hunks = spark.createDataFrame([(1, 1, 2, 6, 2, 0)], "doc_id long, hunk_no int, start int, count int, other_start int, other_count int")
-    spans = spark.createDataFrame([(1, 1, 0, "f", "function", 1, 9)], "doc_id long, sym_id int, depth int, name string, kind string, start_line int, end_line int")
-    lines = spark.createDataFrame([(1, i, "x") for i in range(1, 10)], "doc_id long, line_no int, text string")
-    scoped = spark.createDataFrame([(1, 0, "f", 3)], "doc_id long, sym int, name string, line int")
-    pairs = spark.createDataFrame([(1, 2)], "doc_id long, to_doc long")
+def test_exploded_rows_are_not_broadcast(spark, tmp_path):
+    def stored(rows, fields):  # a table that Spark knows to be small
+        path = str(tmp_path / fields.replace(" ", "_").replace(",", ""))
+        spark.createDataFrame(rows, fields).write.parquet(path)
+        return spark.read.parquet(path)
+
+    hunks = stored([(1, 1, 2, 6, 2, 0)], "doc_id long, hunk_no int, start int, count int, other_start int, other_count int")
+    spans = stored([(1, 1, 0, "f", "function", 1, 9)], "doc_id long, sym_id int, depth int, name string, kind string, start_line int, end_line int")
+    lines = stored([(1, i, "x") for i in range(1, 10)], "doc_id long, line_no int, text string")
+    scoped = stored([(1, 0, "f", 3)], "doc_id long, sym int, name string, line int")
+    pairs = stored([(1, 2)], "doc_id long, to_doc long")
     at = chunking.innermost_symbol(chunking.changed_lines(hunks), spans)
     assert "Broadcast" not in _plan(at) and [r.sym_id for r in at.collect()] == [1] * 6
     told = references.resolve(scoped, spans, pairs)
     assert "SortMergeJoin" in _plan(told) and told.count() == 1
-    tests = spark.createDataFrame([(1, 1, 3, 4)], "doc_id long, hunk_no int, start int, end int")
+    tests = stored([(1, 1, 3, 4)], "doc_id long, hunk_no int, start int, end int")
     assert "Broadcast" not in _plan(references.widened(tests, spans))
     assert "Broadcast" not in _plan(chunking.fingerprints(hunks, lines, lambda c: c))
-    files = spark.createDataFrame([(1, "a.ts"), (1, "b.ts")], "range_id long, path string")
-    said = spark.createDataFrame([(1, "a.ts", "./b")], "range_id long, path string, specifier string")
+    files = stored([(1, "a.ts"), (1, "b.ts")], "range_id long, path string")
+    said = stored([(1, "a.ts", "./b")], "range_id long, path string, specifier string")
     found = imports.resolve_relative(said, files)
     assert "Broadcast" not in _plan(found) and found.first().target == "b.ts"
