@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from difflens.operators import chunking, imports, references
+from pyspark.sql import functions as F
+
+from difflens.operators import chunking, graph, imports, references
 
 
 def _plan(df) -> str:
@@ -31,3 +33,19 @@ def test_exploded_rows_are_not_broadcast(spark, tmp_path):
     said = stored([(1, "a.ts", "./b")], "range_id long, path string, specifier string")
     found = imports.resolve_relative(said, files)
     assert "Broadcast" not in _plan(found) and found.first().target == "b.ts"
+
+
+def test_groups_are_dealt_by_rows(spark, monkeypatch):
+    """As many parts as rows need, whatever the input's splits; nothing is grouped before they are dealt."""
+    monkeypatch.setattr(graph, "PART_ROWS", 4)
+    rows = [(r, 1, 2, "calls", "references", n) for r in range(6) for n in (1, 2, 2, 4, None, None)] + [(0, 1, 2, "calls", "test-anchor", 9), (0, 3, 3, "calls", "x", 1)]
+    e = spark.createDataFrame(rows, "range_id long, src long, dst long, kind string, source string, line int").coalesce(1)
+    nodes = e.select("range_id", F.explode(F.array("src", "dst")).alias("node"))
+    for got in (graph.assemble(e), graph.free_glances(e), graph.edge_sample(e), graph.islands(e, nodes), graph.glance_summary(e, nodes.withColumn("pos", F.col("node")))):
+        told = _plan(got)
+        assert "REPARTITION_BY_NUM" in told
+        below = told[told.rindex("REPARTITION_BY_NUM") :]
+        assert "Aggregate" not in below and "Window" not in below
+    assert {tuple(r) for r in graph.assemble(e).collect()} == {(r, 1, 2, "calls", "references", 4 if r == 0 else 3) for r in range(6)}
+    assert {tuple(r) for r in graph.free_glances(e).collect()} == {(r, n, n - 1) for r in range(6) for n in (1, 2)}
+    assert {(r.range_id, r.nodes, r.alone) for r in graph.islands(e, nodes).collect()} == {(r, 3 if r == 0 else 2, 1 if r == 0 else 0) for r in range(6)}
