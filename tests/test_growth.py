@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from difflens import catalog
 from difflens.operators import chunking, graph, imports, references
 
 
@@ -49,3 +50,8 @@ def test_groups_are_dealt_by_rows(spark, monkeypatch):
     assert {tuple(r) for r in graph.assemble(e).collect()} == {(r, 1, 2, "calls", "references", 4 if r == 0 else 3) for r in range(6)}
     assert {tuple(r) for r in graph.free_glances(e).collect()} == {(r, n, n - 1) for r in range(6) for n in (1, 2)}
     assert {(r.range_id, r.nodes, r.alone) for r in graph.islands(e, nodes).collect()} == {(r, 3 if r == 0 else 2, 1 if r == 0 else 0) for r in range(6)}
+
+
+def test_books_read_their_parts_once(spark):
+    told = _plan(catalog.queries()["or6_woven_tests"](spark, "/root/testdata/sf0.001"))
+    assert "FileScan" not in told and "Window" in told
