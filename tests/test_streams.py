@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from difflens.sources.scratch import shared_path
@@ -73,3 +74,38 @@ def test_completions(spark):
     df = spark.createDataFrame(marks, "section long, chunk_id string, seq long, reviewed boolean, total int, batch int")
     assert rows(live.completions_of_batches(df)) == [(1, 2), (1, 4)]
     assert rows(live.appended_stream(df, 3, live.completions, "completions-test", "update")) == [(1, 2), (1, 4)]
+
+
+def test_rows_of_all_steps_are_computed_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def step(key):
+        asked.add(1)
+        return key % 3
+
+    t = spark.range(30).select(F.col("id"), F.col("id").alias("seq"), F.lit("upsert").alias("op"), step("id").alias("batch"))
+    out = live.merged_stream(t, 4, lambda s: s, "append", "once-test")  # the last step has no rows
+    assert [r[0] for r in rows(out.select("id"))] == list(range(30)) and asked.value == 30
+
+
+def test_dwell_reads_and_writes_a_keys_state_once_a_step():
+    class Held:
+        value, asked = None, []
+
+        def get(self):
+            self.asked.append("get")
+            return self.value
+
+        def update(self, value):
+            self.asked.append("update")
+            self.value = value
+
+    dwell = live._Dwell(None)
+    dwell.held = Held()
+    tick = lambda seq, accruing, spike, dt, lines: Row(key=7, seq=seq, accruing=accruing, spike=spike, dt=dt, lines=lines)
+    first = list(dwell.handleInputRows((7,), iter([tick(2, True, False, 1000, 1), tick(1, True, False, 50, 3)]), None))
+    assert first == [Row(key=7, seq=2, banked=0, current=state.MOST_DT + 50, cleared=False)]
+    second = list(dwell.handleInputRows((7,), iter([tick(3, False, False, 0, 1), tick(4, True, False, 700, 1), tick(5, True, False, 700, 1)]), None))
+    assert second == [Row(key=7, seq=5, banked=750, current=1400, cleared=True)]
+    assert Held.asked == ["get", "update"] * 2 and dwell.held.value == (True, 750, 1400, 3)
