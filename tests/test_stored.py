@@ -116,3 +116,31 @@ def test_visible_fraction(spark):
     rows = [(0.0, 10.0, 0.0, 30.0, 1.0), (-5.0, 5.0, 0.0, 30.0, 0.5), (40.0, 50.0, 0.0, 30.0, 0.0), (3.0, 3.0, 0.0, 30.0, 0.0), (-10.0, 50.0, 0.0, 30.0, 0.5)]
     d = spark.createDataFrame(rows, "a double, b double, c double, d double, expected double")
     assert all(r.got == r.expected for r in d.withColumn("got", state.visible_fraction(*(F.col(c) for c in "abcd"))).collect())
+
+
+def test_fingerprints_are_computed_once_and_stored_once_a_key(spark, tmp_path):
+    asked, path = spark.sparkContext.accumulator(0), str(tmp_path / "once")
+
+    def run(head):
+        @F.udf("string")
+        def digest(key):
+            asked.add(1)
+            return head if key % 2 else "same"
+
+        live_ = spark.range(40).select(F.col("id").alias("range_id"), digest("id").alias("fingerprint"))
+        build = lambda stale: stale.select("range_id", F.explode(F.array(F.lit(head), F.lit("and")).alias("v")).alias("v"))
+        return sorted((r.range_id, r.v) for r in stored.refresh(spark, path, live_, build, ["range_id"], "v string", parts=4).collect())
+
+    assert run("one") == sorted((k, v) for k in range(40) for v in ("one", "and")) and asked.value == 40
+    assert run("two") == sorted((k, v) for k in range(40) for v in ("two" if k % 2 else "one", "and")) and asked.value == 80
+    kept = spark.read.parquet(path).groupBy("_held").agg(F.count("*").alias("rows"), F.count("_fingerprint").alias("prints"))
+    assert {tuple(r) for r in kept.collect()} == {(False, 40, 40), (True, 80, 0)}
+
+
+def test_a_table_with_fingerprints_on_every_row_is_read_on(spark, tmp_path):
+    path = str(tmp_path / "old")
+    old = [(k, "a", held, "old" if held else None) for k in (1, 2, 3) for held in (False, True)]
+    rows = spark.createDataFrame(old, "range_id long, _fingerprint string, _held boolean, v string")
+    rows.withColumn("_part", F.pmod(F.xxhash64("range_id"), F.lit(4)).cast("int")).write.partitionBy("_part").parquet(path)
+    asked = []
+    assert runner(spark, path, asked)({1: "a", 2: "b"}, "new") == [(1, "old"), (2, "new"), (2, "new")] and asked == [[2]]
