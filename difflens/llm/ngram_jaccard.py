@@ -37,6 +37,8 @@ HOT_SHARE = 2.0**-17
 BLOCK = 512
 LEAF = 8
 BLOOM_BITS = 1 << 23
+#: Words or shingles that are hashed at a time, so that the steps' arrays stay in a core's cache.
+STEP = 1 << 15
 #: Shared shingles of a class by which the first traversal meets it; pairs of one class that a task verifies at once.
 ROUTES, FAN = 4, 1024
 #: Further first traversals, of all open groups and between components, before the whole one.
@@ -48,9 +50,12 @@ COARSE, FINE = 2, 8
 
 
 def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+    """Sorted distinct shingle hashes of each text. Shingles of all texts are hashed together; those that reach into the next text are left out."""
     h, first = word_hashes(as_bytes(part))
-    return [_distinct(shingle_hashes(h[a:b], n)) for a, b in zip(first, first[1:])]
+    every = max(h.size - n + 1, 0)
+    runs = [shingle_hashes(h[s : min(s + STEP, every) + n - 1], n) for s in range(0, every, STEP)]
+    runs = np.concatenate(runs) if runs else h[:0]
+    return [_distinct(runs[a : b - n + 1] if b - a >= n else shingle_hashes(h[a:b], n)) for a, b in zip(first.tolist(), first[1:].tolist())]
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -58,13 +63,19 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if x.size else x
 
 
-def class_of(s: np.ndarray) -> int:
-    """A set's class: a hash of the whole set, as a signed 64-bit number; 0 for the empty set."""
-    if not s.size:
-        return 0
-    with np.errstate(over="ignore"):
-        total = mix(s).sum(dtype=np.uint64) + mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return int(mix(np.array([total + np.uint64(s.size)], np.uint64)).view(np.int64)[0]) or 1
+def classes_of(sets: list[np.ndarray]) -> list[int]:
+    """Each set's class: a hash of the whole set, as a signed 64-bit number; 0 for the empty set."""
+    size = np.array([s.size for s in sets], np.int64)
+    out, full = np.zeros(len(sets), np.int64), size > 0
+    if full.any():
+        flat = np.concatenate(sets)
+        near, far = (np.concatenate([mix(flat[s : s + STEP] ^ np.uint64(x)) for s in range(0, flat.size, STEP)]) for x in (0, 0xA5A5A5A5A5A5A5A5))
+        begin = (np.cumsum(size) - size)[full]
+        with np.errstate(over="ignore"):
+            total = np.add.reduceat(near, begin) + np.add.reduceat(far, begin) * np.uint64(0x9E3779B97F4A7C15)
+            found = mix(total + size[full].astype(np.uint64)).view(np.int64)
+        out[full] = np.where(found == 0, 1, found)
+    return out.tolist()
 
 
 def bitmap(s: np.ndarray, times: int = 1) -> bytes:
@@ -82,7 +93,7 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, most=8 << 20):
                 sets = _sets(part, n)
-                rows = [(0, i, k, class_of(s), s.size, bitmap(s, COARSE)) for i, k, s in zip(part["doc_id"].to_pylist(), part["row_key"].to_pylist(), sets)]
+                rows = [(0, i, k, c, s.size, bitmap(s, COARSE)) for i, k, c, s in zip(part["doc_id"].to_pylist(), part["row_key"].to_pylist(), classes_of(sets), sets)]
                 u, c = np.unique(np.concatenate(sets), return_counts=True)
                 rows += [(1, None, None, int(h), int(k), None) for h, k in zip(u[c >= 4].view(np.int64), c[c >= 4])]
                 rows.append((2, None, None, 0, sum(s.size for s in sets), None))
@@ -100,10 +111,10 @@ def prefix_length(size: int, pct: int) -> int:
 
 def prefixes(docs: DataFrame, n: int, pct: int, common: np.ndarray, hot: np.ndarray) -> DataFrame:
     """token, cls, size, room (shingles from this one on, itself included), often (the token is hot): each row's prefix shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast((common, hot))  # at most 1 / COMMON_SHARE hashes
+    shared = docs.sparkSession.sparkContext.broadcast((common, np.isin(common, hot)))  # at most 1 / COMMON_SHARE hashes; hot ones are common, too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hottest = shared.value
+        known, hot_known = shared.value
         for batch in batches:
             for part in slices(batch):
                 sets = [s for s in _sets(part, n) if s.size]
@@ -112,16 +123,17 @@ def prefixes(docs: DataFrame, n: int, pct: int, common: np.ndarray, hot: np.ndar
                 flat = np.concatenate(sets)
                 at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
                 often = known[at] == flat if len(known) else np.zeros(flat.size, bool)
+                hottest = often & hot_known[at] if len(known) else often
                 out, begin = [], 0
                 seen = set()
-                for s in sets:
-                    o = often[begin : begin + s.size]
+                for s, cls in zip(sets, classes_of(sets)):
+                    o, hs = often[begin : begin + s.size], hottest[begin : begin + s.size]
                     begin += s.size
-                    cls = class_of(s)
                     if cls not in seen:
                         seen.add(cls)
-                        token = np.concatenate([s[~o], s[o]])[: prefix_length(s.size, pct)]
-                        out.append((token, np.full(token.size, cls), np.full(token.size, s.size), s.size - np.arange(token.size), np.isin(token, hottest)))
+                        order = np.argsort(o, kind="stable")[: prefix_length(s.size, pct)]  # uncommon ones first
+                        token = s[order]
+                        out.append((token, np.full(token.size, cls), np.full(token.size, s.size), s.size - np.arange(token.size), hs[order]))
                 if out:
                     token, cls, size, room, common = (np.concatenate(x) for x in zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(room, pa.int32()), pa.array(common)], ["token", "cls", "size", "room", "often"])
@@ -189,40 +201,46 @@ def shared_tokens(tokens: DataFrame, pct: int) -> DataFrame:
     return by.mapInArrow(run, "token long, cls long, size int, room int, often boolean, comp long")
 
 
+def _places(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a Bloom bitmap that each key sets."""
+    k = keys.to_numpy().view(np.uint64)
+    return tuple((x % np.uint64(BLOOM_BITS)).astype(np.int64) for x in (k, k >> np.uint64(32)))
+
+
 def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """cls, size, fine (a bitmap FINE times as wide as the set), held (packed shingle hashes) of the classes that `wanted` (cls) names, once each, and some others that its Bloom bitmap lets pass."""
+    """cls, size, fine (a bitmap FINE times as wide as the set), held (packed shingle hashes) of the classes of the texts that `wanted` (row_key, the text's hash) names, once each, and some others that its Bloom bitmap lets pass. Other texts aren't read into words."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(BLOOM_BITS, dtype=bool)
         for batch in batches:
-            c = batch["cls"].to_numpy().view(np.uint64)
-            flags[(c % np.uint64(BLOOM_BITS)).astype(np.int64)] = True
+            for at in _places(batch["row_key"]):
+                flags[at] = True
         yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
     bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)  # eight bitmaps of 1 MB come here, whatever the input
-    for row in wanted.select("cls").repartition(8).mapInArrow(mark, "bits binary").toLocalIterator():
+    for row in wanted.select("row_key").repartition(8).mapInArrow(mark, "bits binary").toLocalIterator():
         bits |= np.frombuffer(row["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, sent = np.unpackbits(shared.value).astype(bool), set()
         for batch in batches:
-            for part in slices(batch):
-                out = []
-                for s in _sets(part, n):
-                    cls = class_of(s)
-                    if cls and flags[cls % BLOOM_BITS] and cls not in sent:
+            one, two = _places(batch["row_key"])
+            for part in slices(batch.filter(pa.array(flags[one] & flags[two]))):
+                out, sets = [], _sets(part, n)
+                for s, cls in zip(sets, classes_of(sets)):
+                    if cls and cls not in sent:
                         sent.add(cls)
                         out.append((cls, s.size, bitmap(s, FINE), s.tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["cls", "size", "fine", "held"])
 
-    found = docs.select("text").mapInArrow(run, "cls long, size int, fine binary, held binary")
+    found = docs.select("text", F.xxhash64("text").alias("row_key")).mapInArrow(run, "cls long, size int, fine binary, held binary")
     return found.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("size", "fine", "held")))
 
 
-def verified(docs: DataFrame, n: int, pct: int, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked. A set moves once a pair, to its partner with more pairs; one with many meets them in parts."""
+def verified(docs: DataFrame, n: int, pct: int, pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are linked; keys: cls, row_key of a text of each class. A set moves once a pair, to its partner with more pairs; one with many meets them in parts."""
     ends = pairs.select(F.col("a").alias("e")).union(pairs.select("b")).groupBy("e").agg(F.count("*").alias("n"))
     ends = materialise(ends, "ends")
     known = pairs.join(ends.toDF("e_a", "n_a"), F.col("a") == F.col("e_a")).join(ends.toDF("e_b", "n_b"), F.col("b") == F.col("e_b"))
@@ -230,7 +248,7 @@ def verified(docs: DataFrame, n: int, pct: int, pairs: DataFrame) -> DataFrame:
     fans = pairs.groupBy(F.col("a").alias("f_a")).agg(F.ceil(F.count("*") / FAN).alias("fans"))
     dealt = pairs.join(fans, F.col("a") == F.col("f_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("fans")).alias("fan"))
     dealt = materialise(dealt, "dealt")
-    sets = materialise(whole_sets(docs, n, dealt.select(F.col("a").alias("cls")).union(dealt.select("b")).distinct()), "sets")
+    sets = materialise(whole_sets(docs, n, keys.join(dealt.select(F.col("a").alias("cls")).union(dealt.select("b")).distinct(), "cls")), "sets")
 
     def possible(x: tuple, y: tuple) -> bool:
         s, t = np.frombuffer(x[1], np.uint8), np.frombuffer(y[1], np.uint8)
@@ -538,10 +556,11 @@ def links_of(docs: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataFrame]:
     common = np.sort(np.array([h for h, _ in held], np.int64).view(np.uint64))
     hot = np.sort(np.array([h for h, k in held if k >= max(WIDE, total * HOT_SHARE)], np.int64).view(np.uint64))
     met = materialise(shared_tokens(prefixes(docs, n, pct, common, hot).withColumn("comp", F.col("cls")), pct), "met")
-    sigs = materialise(found.where("kind = 0 and cls <> 0").groupBy("cls").agg(F.first("sig").alias("sig")), "sigs")
+    sigs = materialise(found.where("kind = 0 and cls <> 0").groupBy("cls").agg(F.first("sig").alias("sig"), F.min("row_key").alias("row_key")), "sigs")
+    keys = sigs.select("cls", "row_key")
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = near_pairs(met, sigs, pct)
-    links = verified(docs, n, pct, tried)
+    links = verified(docs, n, pct, tried, keys)
     comps, tried = components(links), tried.select(*pair)
     for near_only in [True] * ROUNDS + [False]:
         # what is left: shingles whose classes lie in several components
@@ -554,7 +573,7 @@ def links_of(docs: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataFrame]:
         forget(rest)
         if left.isEmpty():
             continue
-        new = verified(docs, n, pct, left)
+        new = verified(docs, n, pct, left, keys)
         links, tried = links.union(new), tried.union(left)
         comps = components(links)
     forget(met, sigs)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,27 @@ def test_keep_one_of_repeated_null_and_shared_ids(spark, tmp_path):
     assert got == Counter({(1, a): 1, (2, b): 1, (None, c): 1, (5, ""): 2})
 
 
+def test_jaccard_sets_of_many_texts(spark, monkeypatch):
+    """Texts are hashed together, to the sets that each has alone; only texts that are asked for are cut into shingles."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefg"), int(k))) for k in rng.integers(0, 9, 200)] + [None, " ", "a b c d e f"] * 2
+    batch = pa.record_batch({"text": pa.array(texts, pa.string())})
+    alone = [common.shingle_hashes(common.word_hashes([(t or "").encode()])[0], 4) for t in texts]
+    calls, whole = [], ngram_jaccard.shingle_hashes
+    monkeypatch.setattr(ngram_jaccard, "shingle_hashes", lambda h, n: calls.append(h.size) or whole(h, n))
+    sets = ngram_jaccard._sets(batch, 4)
+    assert [s.tolist() for s in sets] == [sorted(set(x.tolist())) for x in alone]
+    assert sum(k >= 4 for k in calls) == 1
+    classes = ngram_jaccard.classes_of(sets)
+    assert classes == [ngram_jaccard.classes_of([s])[0] for s in sets]
+    assert all((c == 0) == (s.size == 0) for c, s in zip(classes, sets)) and len(set(classes)) == len({tuple(s.tolist()) for s in sets})
+
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    wanted = docs.where("text = 'a b c d e f'").select(F.xxhash64("text").alias("row_key")).distinct()
+    found = ngram_jaccard.whole_sets(docs, 4, wanted).collect()
+    assert [(r.cls, r.size, bytes(r.held)) for r in found] == [(classes[-1], 3, sets[-1].tobytes())]
+
+
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
