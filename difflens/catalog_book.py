@@ -92,16 +92,19 @@ FIXTURE |= {
 
 @query("select doc_id, sym, name, to_doc, to_sym, changed, case when len(t) <= 5 then array_to_string(t, chr(10)) else array_to_string(t[1 : cut], chr(10)) || chr(10) || '… (' || (len(t) - cut) || case when len(t) - cut = 1 then ' more line)' else ' more lines)' end end as body from j_body")
 def jn14_both_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-13, JN-14, SC-14: changed files first, then files the diff doesn't touch; bodies of more than five lines are cut."""
-    spans, pairs, files = corpus.symbols(spark, sf_dir), _pairs(spark, sf_dir), corpus.files(spark, sf_dir)
+    """JN-13, JN-14, SC-14: changed files first, then files the diff doesn't touch; bodies of more than five lines are cut.
+
+    What is read many times is stored once: the driver keeps the whole plan again for each of its stages.
+    """
+    spans, pairs, files = graph.cut(corpus.symbols(spark, sf_dir)), graph.cut(_pairs(spark, sf_dir)), corpus.files(spark, sf_dir)
     out = "doc_id % 4 = 1"
-    owned = _owned(spark, sf_dir).where(f"not ({out})")
+    owned = graph.cut(_owned(spark, sf_dir).where(f"not ({out})"))
     tests = owned.join(files.where(paths.is_test(F.col("path"))).select("doc_id"), "doc_id").select("doc_id", "sym", F.col("line_no").alias("start"), F.col("line_no").alias("end"), F.col("line_no").alias("hunk_no"))
     grown = references.widened(tests.select("doc_id", F.struct("sym", "hunk_no").alias("hunk_no"), "start", "end"), spans.where("depth = 1"))
     wide = grown.select("doc_id", "hunk_no.sym", F.explode(F.sequence("start", "end")).alias("line_no"))
     scope = owned.select("doc_id", "sym", "line_no").unionByName(wide).distinct().join(corpus.file_lines(spark, sf_dir).select("doc_id", "line_no"), ["doc_id", "line_no"])
     name = F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("T"), (F.col("line_no") % 5).cast("string"))).otherwise(F.concat(F.lit("f"), ((F.col("line_no") * 5 + F.col("doc_id")) % 20).cast("string")))
-    names = scope.where("(line_no + doc_id) % 2 = 0").select("doc_id", "sym", name.alias("name"))
+    names = graph.cut(scope.where("(line_no + doc_id) % 2 = 0").select("doc_id", "sym", name.alias("name")).distinct())
     by = lambda d, c, yes: d.where(f"{c} % 4 = 1" if yes else f"{c} % 4 <> 1")
     return references.context_definitions(names, owned, (by(spans, "doc_id", False), by(pairs, "to_doc", False)), (by(spans, "doc_id", True), by(pairs, "to_doc", True)), corpus.file_lines(spark, sf_dir), most=5, reach=2)
 

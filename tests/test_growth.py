@@ -55,3 +55,9 @@ def test_groups_are_dealt_by_rows(spark, monkeypatch):
 def test_books_read_their_parts_once(spark):
     told = _plan(catalog.queries()["or6_woven_tests"](spark, "/root/testdata/sf0.001"))
     assert "FileScan" not in told and "Window" in told
+
+
+def test_lookups_read_their_tables_once(spark):
+    """The driver keeps the plan of each stage: what is read many times is stored, not repeated in it."""
+    told = _plan(catalog.queries()["jn14_both_lookups"](spark, "/root/testdata/sf0.001"))
+    assert told.count("FileScan") <= 1 and "SortMergeJoin" in told
